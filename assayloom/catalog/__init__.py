@@ -6,7 +6,9 @@ from importlib import import_module
 
 from assayloom.catalog.registry import ORACLE, QUERIES
 
-_MODULES = ("rows", "summaries", "maps")
+_MODULES = (
+    "rows", "summaries", "maps", "windowed", "sampled", "sources", "sinks", "scalars", "models", "streams",
+)
 
 
 def _load() -> None:

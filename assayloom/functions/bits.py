@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = 64
 
@@ -44,24 +44,31 @@ def unpack(fp: Column, nbits: int) -> Column:
     )
 
 
-def pack(nbits: int):
-    """Vectorised packer: array of bit positions -> array of nbits // 64 words.
+def _packer(nbits: int):
+    words = nbits // WORD
+
+    def pack_batches(batches):
+        for batch in batches:
+            positions = batch.column(1)
+            counts = np.diff(positions.offsets.to_numpy())
+            flat = positions.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.repeat(np.arange(batch.num_rows), counts)
+            out = np.zeros((batch.num_rows, words), dtype=np.uint64)
+            np.bitwise_or.at(out, (rows, flat >> 6), np.left_shift(np.uint64(1), (flat & 63).astype(np.uint64)))
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * words
+            packed = pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(out.view(np.int64).ravel()), mask=positions.is_null()
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "fp"])
+
+    return pack_batches
+
+
+def pack_positions(rows: DataFrame, nbits: int) -> DataFrame:
+    """(id, positions) to (id, fp); a NULL list stays NULL.
 
     Catalyst has no keyed update of an array, so packing there costs words x positions per row;
     one numpy scatter per Arrow batch costs the number of positions.
     """
-    words = nbits // WORD
-
-    @F.pandas_udf("array<bigint>")
-    def pack_positions(positions: pd.Series) -> pd.Series:
-        out = np.zeros((len(positions), words), dtype=np.uint64)
-        filled = [i for i, p in enumerate(positions) if p is not None and len(p)]
-        if filled:
-            parts = [np.asarray(positions.iloc[i], dtype=np.int64) for i in filled]
-            rows = np.repeat(np.asarray(filled), [len(p) for p in parts])
-            pos = np.concatenate(parts)
-            np.bitwise_or.at(out, (rows, pos >> 6), np.left_shift(np.uint64(1), (pos & 63).astype(np.uint64)))
-        packed = list(out.view(np.int64))
-        return pd.Series([None if p is None else w for p, w in zip(positions, packed)])
-
-    return pack_positions
+    typed = rows.select(F.col("id").cast("long"), F.col("positions").cast("array<int>"))
+    return typed.mapInArrow(_packer(nbits), "id long, fp array<bigint>")

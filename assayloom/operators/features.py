@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayloom.functions.bits import pack
+from assayloom.functions.bits import pack_positions
 
 NBITS = 4096
 GRAM = 4
@@ -37,12 +37,17 @@ def gram_positions(text: Column, q: int = GRAM) -> Column:
 def fingerprints(rows: DataFrame, text: str = "text", featuriser: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, fp, outcome). The featuriser maps a text column to an array of words; NULL means it failed.
 
-    Default: hashed 4-grams. A chemistry library's featuriser is passed in as a pandas UDF.
+    Default: hashed 4-grams. A chemistry library's featuriser is passed in as a pandas UDF, marked
+    asNondeterministic() so that it runs once per row.
     """
     source = F.col(text)
-    fp = featuriser(source) if featuriser else pack(NBITS)(gram_positions(source))
-    outcome = F.when(source.isNull(), "null_input").when(F.col("fp").isNull(), "failed").otherwise("success")
-    return rows.select("id", text, fp.alias("fp")).select("id", "fp", outcome.alias("outcome"))
+    if featuriser:
+        fps = rows.select("id", featuriser(source).alias("fp"), source.isNull().alias("_null"))
+        outcome = F.when(F.col("_null"), "null_input").when(F.col("fp").isNull(), "failed").otherwise("success")
+    else:
+        fps = pack_positions(rows.select("id", gram_positions(source).alias("positions")), NBITS)
+        outcome = F.when(F.col("fp").isNull(), "null_input").otherwise("success")
+    return fps.select("id", "fp", outcome.alias("outcome"))
 
 
 def pattern_flags(

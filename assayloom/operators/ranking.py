@@ -12,6 +12,8 @@ from assayloom.runtime import cut_lineage
 SALTS = 64
 SKETCH_ACCURACY = 10_000
 SINGLE_PASS_K = 1_000
+# Groups up to this size keep all their values; the sketch's bracket is wide enough only above it.
+WHOLE_GROUP = 20_000
 
 
 def _col(c: str | Column) -> Column:
@@ -102,6 +104,7 @@ def exact_percentiles(
             F.when(F.col("_v") > hi, hi).when(F.col("_v") >= lo, F.col("_v")).cast("double")
         )
     snapped = F.greatest(*folded) if len(folded) > 1 else folded[0]
+    snapped = F.when(n <= WHOLE_GROUP, F.col("_v")).otherwise(snapped)
     counts = marked.groupBy(*by, n.alias("_n"), snapped.alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
     upto = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.col("_s").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0

@@ -71,7 +71,7 @@ def block_per_partition(
 def _pick_far_apart(k: int, seed: int):
     """Per-block helper: repeatedly take the vector farthest from all taken so far."""
 
-    def pick(key, table: pa.Table) -> pa.Table:
+    def pick(key, table):
         part = key[0].as_py()
         ids = table.column("id").to_numpy()
         words = table.column("fp").combine_chunks().values.to_numpy(zero_copy_only=False).view(np.uint64)

@@ -134,7 +134,9 @@ def progress_checkpoints(
     ])
     walk = _running_best(ns, every, at_end)
     walk.columns = out_schema.names
-    return blocks.groupBy(*by, "_b").cogroup(carried.groupBy(*by, "_b")).applyInPandas(walk, out_schema)
+    keys = [*by, "_b"]
+    right = carried.select(*[F.col(c).alias(f"{c}_r" if c in keys else c) for c in carried.columns])
+    return blocks.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_r" for k in keys])).applyInPandas(walk, out_schema)
 
 
 def feed_state(

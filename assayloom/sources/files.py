@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from assayloom import schemas
@@ -14,15 +16,18 @@ _LINE_OPTIONS = {
 }
 
 
-def split_lines(lines: DataFrame) -> DataFrame:
-    """(raw, zinc_id, tranche, file, block, pos) from `value` lines; lines of fewer than two tokens drop out.
+def _raw_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+
+
+def split_lines(raw: DataFrame) -> DataFrame:
+    """(raw, zinc_id, tranche, file, block, pos) from lines; those of fewer than two tokens drop out.
 
     block and pos keep the order of lines inside a file, also when a large file is read in splits.
     """
-    parts = lines.select(
-        tokens(F.col("value")).alias("_t"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"),
-    )
+    parts = raw.select(tokens(F.col("value")).alias("_t"), "file", "block", F.monotonically_increasing_id().alias("pos"))
     return parts.where(F.size("_t") >= 2).select(
         F.col("_t")[0].alias("raw"), F.col("_t")[1].alias("zinc_id"), tranche_name(F.col("file")).alias("tranche"),
         "file", "block", "pos",
@@ -32,28 +37,28 @@ def split_lines(lines: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, folder: str, glob: str = "*.smi") -> DataFrame:
     """All matching files below a folder, without each file's header line."""
     raw = spark.read.schema("value string").options(**_LINE_OPTIONS).option("pathGlobFilter", glob).csv(folder)
-    return split_lines(raw)
+    return split_lines(_raw_lines(raw))
 
 
 def stream_lines(spark: SparkSession, folder: str, glob: str = "*.smi", files_per_trigger: int = 1000) -> DataFrame:
-    raw = (
+    """Unsplit lines as a stream; a micro-batch is numbered and split by split_lines."""
+    return _raw_lines(
         spark.readStream.schema("value string").options(**_LINE_OPTIONS).option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
     )
-    return split_lines(raw)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, schema=schema)
 
 
-def read_progress(spark: SparkSession, path: str) -> DataFrame:
+def read_progress(spark: SparkSession, path: str, round_of: Callable[[Column], Column] = trailing_round) -> DataFrame:
     """Progress rows with al_round from the file name.
 
     An empty best cell is NULL. A row with a cell that is neither empty nor a number is left out.
     """
     text = spark.read.csv(path, header=True, schema=schemas.PROGRESS_TEXT).withColumn(
-        "al_round", trailing_round(F.col("_metadata.file_path"))
+        "al_round", round_of(F.col("_metadata.file_path"))
     )
     best = ["best1", "best10", "best100", "best1000"]
     num = lambda c: F.col(c).try_cast("double").alias(c)
@@ -64,10 +69,10 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return text.where(sound).select("al_round", F.col("docked").try_cast("long").alias("docked"), *[num(c) for c in best])
 
 
-def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
+def read_metrics_json(spark: SparkSession, path: str, round_of: Callable[[Column], Column] = trailing_round) -> DataFrame:
     """(round, val_rmse, ...) from one JSON object per file; files without the error or a round drop out."""
     rows = spark.read.schema(schemas.TRAINING_METRICS).option("multiLine", True).json(path)
-    return rows.select(trailing_round(F.col("_metadata.file_path")).alias("round"), "*").where(
+    return rows.select(round_of(F.col("_metadata.file_path")).alias("round"), "*").where(
         F.col("val_rmse").isNotNull() & F.col("round").isNotNull()
     )
 
