@@ -33,7 +33,7 @@ def _(v):
 
 @query("fn_unpackbits", "SELECT id, coalesce(list(cast(i AS int) ORDER BY i) FILTER (b), []::INT[]) AS bits FROM v_fpbits GROUP BY id")
 def _(v):
-    return v.fps.select("id", bits.unpack(F.col("fp"), 64).alias("bits"))
+    return bits.unpack_positions(v.fps.select("id", "fp"), 64).withColumnRenamed("positions", "bits")
 
 
 @query("fn_digitize", "SELECT l_orderkey, l_linenumber, cast(greatest(0, least(29, floor((l_quantity - 5.0::DOUBLE) / 1.25::DOUBLE))) AS int) AS b FROM lineitem")
@@ -117,5 +117,5 @@ def _(v):
     FROM documents d LEFT JOIN g ON g.id = d.doc_id GROUP BY d.doc_id""")
 def _(v):
     fps = E.fingerprints(v.table("documents").select(F.col("doc_id").alias("id"), "text"))
-    names = F.array_sort(F.transform(bits.unpack(F.col("fp"), E.NBITS), lambda i: i.cast("string")))
-    return fps.select("id", "outcome", F.md5(F.array_join(names, ",")).alias("bits"))
+    names = bits.unpack_positions(fps, E.NBITS, as_text=True)
+    return names.select("id", "outcome", F.md5(F.array_join(F.array_sort("positions"), ",")).alias("bits"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayloom.functions.bits import pack_positions
+from assayloom.runtime import spread
 
 NBITS = 4096
 GRAM = 4
@@ -22,10 +23,8 @@ def gram_positions(text: Column, q: int = GRAM) -> Column:
 
     def positions(cs: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(cs) - q)
-        gram = lambda i: F.concat(*[F.get(cs, i + k) for k in range(q)])
-        return F.transform(
-            starts, lambda i: F.conv(F.substring(F.md5(gram(i)), 1, 3), 16, 10).cast("int")
-        )
+        grams = F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(cs, i + k) for k in range(q)])))
+        return F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 3), 16, 10).cast("int"))
 
     # The one-element transform binds the character array, so that it is computed once per text.
     bound = F.transform(F.array(chars), positions)[0]
@@ -42,10 +41,10 @@ def fingerprints(rows: DataFrame, text: str = "text", featuriser: Callable[[Colu
     """
     source = F.col(text)
     if featuriser:
-        fps = rows.select("id", featuriser(source).alias("fp"), source.isNull().alias("_null"))
+        fps = spread(rows.select("id", text)).select("id", featuriser(source).alias("fp"), source.isNull().alias("_null"))
         outcome = F.when(F.col("_null"), "null_input").when(F.col("fp").isNull(), "failed").otherwise("success")
     else:
-        fps = pack_positions(rows.select("id", gram_positions(source).alias("positions")), NBITS)
+        fps = pack_positions(spread(rows.select("id", text)).select("id", gram_positions(source).alias("positions")), NBITS)
         outcome = F.when(F.col("fp").isNull(), "null_input").otherwise("success")
     return fps.select("id", "fp", outcome.alias("outcome"))
 
@@ -61,7 +60,7 @@ def pattern_flags(
     ok = parsable if parsable is not None else F.col(text).isNotNull()
     hits = [F.when(F.col(text).rlike(regex), F.lit(name)) for name, regex in catalogue]
     alerts = F.when(ok, F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<string>"))
-    out = rows.withColumn("alerts", alerts)
+    out = spread(rows).withColumn("alerts", alerts)
     names = F.when(ok, F.array_join("alerts", "; ")).otherwise(F.lit("PARSE_FAIL"))
     return out.withColumn("alert_names", names).withColumn("flagged", F.size("alerts") > 0)
 
@@ -85,4 +84,4 @@ def default_key(text: Column) -> Column:
 
 def with_group_key(rows: DataFrame, text: str = "text", key: Callable[[Column], Column] = default_key) -> DataFrame:
     """Adds group_key; NULL marks a row whose key could not be derived."""
-    return rows.withColumn("group_key", key(F.col(text)))
+    return spread(rows).withColumn("group_key", key(F.col(text)))

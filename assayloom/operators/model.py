@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from random import Random
 
 from pyspark.ml import PipelineModel
@@ -13,9 +13,10 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayloom.functions.bits import unpack
+from assayloom.functions.bits import unpack_positions
+from assayloom.operators.ranking import union_all
 from assayloom.operators.windows import decile_split, kfold
-from assayloom.runtime import shared_dir, table_complete
+from assayloom.runtime import shared_dir, spread, table_complete
 
 
 @dataclass(frozen=True)
@@ -31,13 +32,12 @@ class Params:
     tolerance: float = 1e-3
 
 
-def sparse_features(fps: DataFrame, nbits: int) -> DataFrame:
-    """Adds a sparse feature vector of the set bits. Fixed vocabulary, so nothing is fitted."""
+def sparse_features(rows: DataFrame, nbits: int) -> DataFrame:
+    """Replaces fp by a sparse feature vector of its set bits. Fixed vocabulary, so nothing is fitted."""
     vocab = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(nbits)], inputCol="_bits", outputCol="features"
+        [str(i) for i in range(nbits)], inputCol="positions", outputCol="features"
     ).setBinary(True)
-    bits = F.transform(unpack(F.col("fp"), nbits), lambda i: i.cast("string"))
-    return vocab.transform(fps.withColumn("_bits", bits)).drop("_bits")
+    return vocab.transform(unpack_positions(rows, nbits, as_text=True)).drop("positions")
 
 
 def _regressor(params: Params, seed: int) -> GBTRegressor:
@@ -56,7 +56,7 @@ def train(labelled: DataFrame, nbits: int, params: Params = Params(), seed: int
     Returns the model and a one-row metrics table.
     """
     shared_dir(labelled.sparkSession)
-    split = sparse_features(decile_split(labelled, 0.1, seed), nbits).drop("fp").persist()
+    split = sparse_features(decile_split(labelled, 0.1, seed), nbits).persist()
     model = _regressor(params, seed).setValidationIndicatorCol("is_val").fit(split)
     err = F.col("predicted") - F.col("score")
     metrics = model.transform(split).agg(
@@ -90,7 +90,8 @@ def search(
 ) -> DataFrame:
     """Seeded random search by mean RMSE over shuffled folds; one row per trial.
 
-    With trials_path each finished trial is a row there, and a rerun only fits the missing ones.
+    `parallelism` trials run at a time. With trials_path each finished trial is a row there, and a
+    rerun only fits the missing ones.
     """
     spark = labelled.sparkSession
     shared_dir(spark)
@@ -99,30 +100,35 @@ def search(
     done = set()
     if trials_path and table_complete(spark, trials_path):
         done = {r["trial"] for r in spark.read.schema(schema).parquet(trials_path).select("trial").distinct().collect()}
-    rows = sparse_features(kfold(labelled, folds, seed), nbits).drop("fp").persist()
-    results = []
-    for trial in range(n_trials):
-        if trial in done:
-            continue
-        params = trial_params(trial, seed, max_trees)
+    rows = sparse_features(kfold(labelled, folds, seed), nbits).persist()
+    missing = [t for t in range(n_trials) if t not in done]
+    tables = []
+    for start in range(0, len(missing), parallelism):
+        group = [(t, trial_params(t, seed, max_trees)) for t in missing[start:start + parallelism]]
+        base = _regressor(Params(max_trees=max_trees), seed)
         judge = CrossValidator(
-            estimator=_regressor(params, seed), estimatorParamMaps=[{}], numFolds=folds, foldCol="fold",
+            estimator=base, estimatorParamMaps=[_param_map(base, p) for _, p in group], numFolds=folds, foldCol="fold",
             evaluator=RegressionEvaluator(labelCol="score", predictionCol="predicted", metricName="rmse"),
             parallelism=parallelism,
         )
-        p = {k: v for k, v in asdict(params).items() if k != "tolerance"}
-        row = spark.createDataFrame([(trial, *p.values(), float(judge.fit(rows).avgMetrics[0]))], schema)
+        means = judge.fit(rows).avgMetrics
+        found = [
+            (t, p.max_depth, p.learning_rate, p.subsample, p.colsample, p.min_child, p.max_trees, float(m))
+            for (t, p), m in zip(group, means)
+        ]
+        table = spark.createDataFrame(found, schema)
         if trials_path:
-            row.write.mode("append").parquet(trials_path)
-        else:
-            results.append(row)
+            table.write.mode("append").parquet(trials_path)
+        tables.append(table)
     rows.unpersist()
-    if trials_path:
-        return spark.read.schema(schema).parquet(trials_path)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    return spark.read.schema(schema).parquet(trials_path) if trials_path else union_all(tables)
+
+
+def _param_map(est: GBTRegressor, p: Params) -> dict:
+    return {
+        est.maxDepth: p.max_depth, est.stepSize: p.learning_rate, est.subsamplingRate: p.subsample,
+        est.featureSubsetStrategy: str(p.colsample), est.minInstancesPerNode: p.min_child,
+    }
 
 
 def best_params(trials: DataFrame, max_trees: int = 5000) -> Params:
@@ -132,7 +138,7 @@ def best_params(trials: DataFrame, max_trees: int = 5000) -> Params:
 
 def score_library(model: GBTRegressionModel | PipelineModel, fps: DataFrame, nbits: int) -> DataFrame:
     """(id, predicted) for every row: one narrow pass, no shuffle."""
-    return model.transform(sparse_features(fps.select("id", "fp"), nbits)).select(
+    return model.transform(sparse_features(spread(fps.select("id", "fp")), nbits)).select(
         "id", F.col("predicted").cast("float").alias("predicted")
     )
 
@@ -140,7 +146,7 @@ def score_library(model: GBTRegressionModel | PipelineModel, fps: DataFrame, nbi
 def fit_pca(fps: DataFrame, nbits: int, k: int = 300, share: float = 0.95):
     """Fits on the rows given; returns the model, and how many components reach the share (at most k)."""
     k = min(k, nbits)
-    model = PCA(k=k, inputCol="features", outputCol="projected").fit(sparse_features(fps, nbits))
+    model = PCA(k=k, inputCol="features", outputCol="projected").fit(sparse_features(fps.select("id", "fp"), nbits))
     total, keep = 0.0, k
     for i, part in enumerate(model.explainedVariance.toArray()):
         total += float(part)

@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayloom.runtime import cut_lineage
+from assayloom.runtime import SPLIT_BYTES, cut_lineage, estimated_bytes
 
 SALTS = 64
 SKETCH_ACCURACY = 10_000
-SINGLE_PASS_K = 1_000
+# An ordered limit sends k rows per input split to one task; this many are fine there.
+SINGLE_PASS_ROWS = 2_000_000
 # Groups up to this size keep all their values; the sketch's bracket is wide enough only above it.
 WHOLE_GROUP = 20_000
 
@@ -125,16 +126,16 @@ def exact_percentiles(
 
 
 def smallest_k(
-    df: DataFrame, key: str, ties: Sequence[str], k: int, single_pass_k: int = SINGLE_PASS_K
+    df: DataFrame, key: str, ties: Sequence[str], k: int, single_pass_rows: int = SINGLE_PASS_ROWS
 ) -> DataFrame:
     """The k rows with the smallest key (ties by the other columns); NULL and NaN keys never count.
 
-    A small k is one ordered limit. A large k would send k rows per input split to one task, so
-    there a sketch brackets the k-th key: rows below the bracket are taken where they are, and
-    only the bracket is ordered.
+    Where k rows from every input split still fit one task, this is one ordered limit. Beyond
+    that a sketch brackets the k-th key: rows below the bracket are taken where they are, and only
+    the bracket is ordered.
     """
     rows = df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
-    if k <= single_pass_k:
+    if k * (1 + estimated_bytes(rows) // SPLIT_BYTES) <= single_pass_rows:
         return rows.orderBy(key, *ties).limit(k)
     n = rows.count()
     if n <= k:

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayloom.functions.bits import popcount
 
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 4_096
 SLICE_ROWS = 32_768
 CLASS_BASE = 1.25
-_TILE = 2_048
+_TILE = 1_024
 
 
 def _bits(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:

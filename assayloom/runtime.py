@@ -70,3 +70,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def table_complete(spark: SparkSession, path: str) -> bool:
     """True only when a write committed: the folder alone proves nothing after a crash."""
     return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate; looks at statistics only and runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+_NARROW_BYTES_PER_CORE = 8 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives heavy per-row work all cores where the input is small enough to be one or two splits.
+
+    Larger inputs already come in many splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) < cores * _NARROW_BYTES_PER_CORE:
+        return df.repartition(cores)
+    return df
