@@ -56,7 +56,7 @@ def _(v):
 def campaign(v, **how) -> C.Campaign:
     base = dict(
         root=work_path(v.spark, "campaign"), target="T", experiment_id="exp_0", nbits=NBITS, batch_size=100,
-        seed_parts=4, seed_block=1000, params=SMALL,
+        seed_parts=4, seed_block=1000, tune_every=0, params=SMALL,
     )
     return C.Campaign(**{**base, **how})
 

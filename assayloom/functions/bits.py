@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WORD = 64
@@ -42,7 +43,7 @@ def _packer(nbits: int):
     def pack_batches(batches):
         for batch in batches:
             positions = batch.column(1)
-            counts = np.diff(positions.offsets.to_numpy())
+            counts = pc.list_value_length(positions).fill_null(0).to_numpy(zero_copy_only=False)
             flat = positions.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.repeat(np.arange(batch.num_rows), counts)
             out = np.zeros((batch.num_rows, words), dtype=np.uint64)
@@ -73,7 +74,7 @@ def _unpacker(nbits: int, at: int, as_text: bool):
         for batch in batches:
             fp = batch.column(at)
             held = np.flatnonzero(fp.is_valid().to_numpy(zero_copy_only=False))
-            words = fp.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+            words = fp.flatten().to_numpy(zero_copy_only=False).reshape(len(held), nbits // WORD)
             bits = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little", count=nbits)
             row, bit = np.nonzero(bits)
             counts = np.zeros(batch.num_rows, dtype=np.int64)

@@ -35,7 +35,7 @@ def _compare(skip_same: bool):
     def compare(queries: pa.Table, refs: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or refs.num_rows == 0:
             return pa.table({"fp": pa.array([], pa.list_(pa.int64())), "sim": pa.array([], pa.float64())})
-        ref_bits, ref_n = _bits(refs, "fp")
+        ref_bits, ref_n = _bits(refs, "ref_fp")
         best = np.zeros(queries.num_rows)
         for start in range(0, queries.num_rows, _TILE):
             part, n = _bits(queries.slice(start, _TILE), "fp")
@@ -82,7 +82,7 @@ def _run_cells(queries: DataFrame, refs: DataFrame, slices: dict[int, int], skip
         F.struct(F.lit(c).alias("q_cls"), F.lit(p).alias("q_piece")) for c, n in slices.items() for p in range(n)
     ])
     # One copy of a reference block per query slice that can meet it.
-    spread = refs.select("fp", F.col("cls").alias("r_cls"), F.col("piece").alias("r_piece"), F.inline(q_pieces))
+    spread = refs.select(F.col("fp").alias("ref_fp"), F.col("cls").alias("r_cls"), F.col("piece").alias("r_piece"), F.inline(q_pieces))
     keys = ["q_cls", "q_piece", "r_cls", "r_piece"]
     compare = _compare(skip_same)
 

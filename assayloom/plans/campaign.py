@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayloom import schemas
 from assayloom.operators.aggregates import BEST_NS
@@ -19,8 +19,15 @@ from assayloom.sinks.tables import append_batch, append_round_metrics, append_sc
 from assayloom.streaming.results import stop_requested
 
 
+_HPARAMS = T.StructType([
+    T.StructField("round", T.IntegerType()), T.StructField("params", T.MapType(T.StringType(), T.DoubleType())),
+])
+
+
 @dataclass(frozen=True)
 class Campaign:
+    """One experiment. Field defaults are the campaign's usual settings; tune_every 0 never tunes."""
+
     root: str
     target: str
     experiment_id: str
@@ -32,7 +39,7 @@ class Campaign:
     seeding: str = "maxmin"
     seed_parts: int = 24
     seed_block: int = 500_000
-    tune_every: int = 0
+    tune_every: int = 3
     tune_trials: int = 30
     tune_folds: int = 5
     params: Params = field(default_factory=Params)
@@ -108,7 +115,7 @@ def train_round(spark: SparkSession, cfg: Campaign, rnd: int, fps: DataFrame) ->
         spark.createDataFrame([(rnd, found)], "round int, params map<string,double>").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("round").parquet(hp_path)
     saved = latest_hparams(
-        read_or_empty(spark, hp_path, _hparams_schema()), rnd
+        read_or_empty(spark, hp_path, _HPARAMS), rnd
     ).first()["params"]
     params = cfg.params if saved is None else Params(**{
         k: (int(v) if k in ("max_depth", "min_child", "max_trees") else v) for k, v in saved.items()
@@ -118,14 +125,6 @@ def train_round(spark: SparkSession, cfg: Campaign, rnd: int, fps: DataFrame) ->
     metrics.write.mode("overwrite").parquet(cfg.slot("train_metrics", rnd))
 
 
-def _hparams_schema():
-    from pyspark.sql import types as T
-
-    return T.StructType([
-        T.StructField("round", T.IntegerType()), T.StructField("params", T.MapType(T.StringType(), T.DoubleType()))
-    ])
-
-
 def summarise_round(spark: SparkSession, cfg: Campaign, rnd: int) -> None:
     scores = _scores(spark, cfg)
     this = scores.where(F.col("al_round") == rnd)
@@ -162,13 +161,13 @@ def run_round(
 
 def run_campaign(
     spark: SparkSession, cfg: Campaign, rounds: int, compounds: DataFrame, fps: DataFrame, labels: DataFrame,
-    stop_file: str | None = None,
+    start: int = 0, stop_file: str | None = None,
 ) -> DataFrame:
-    """Rounds 0 to rounds - 1; a stop file ends the run after the round in work."""
-    for rnd in range(rounds):
-        run_round(spark, cfg, rnd, compounds, fps, labels)
+    """`rounds` rounds from `start`. The stop file is looked for before each, so a round in work ends first."""
+    for rnd in range(start, start + rounds):
         if stop_requested(spark, stop_file):
             break
+        run_round(spark, cfg, rnd, compounds, fps, labels)
     return metrics(spark, cfg)
 
 
