@@ -93,7 +93,7 @@ def _(v):
 
 @query("fn_json_grid", f"""
     WITH g AS (SELECT cast(x AS int) AS ix, cast(y AS int) AS iy FROM range({BINS}) a(x), range({BINS}) b(y))
-    SELECT g.iy, replace(to_json(list(CASE WHEN s.best IS NOT NULL THEN round(s.best, 3) END ORDER BY g.ix))::VARCHAR, ' ', '') AS json
+    SELECT g.iy, replace(to_json(list(CASE WHEN s.best IS NOT NULL THEN round(s.best, 3) + 0.0::DOUBLE END ORDER BY g.ix))::VARCHAR, ' ', '') AS json
     FROM g LEFT JOIN v_slots s ON s.slot = -1 AND s.ix = g.ix AND s.iy = g.iy GROUP BY g.iy""")
 def _(v):
     return D.grid_json(D.bin_score_stats(v.xy, edges(v)), BINS, "best")
@@ -117,5 +117,6 @@ def _(v):
     FROM documents d LEFT JOIN g ON g.id = d.doc_id GROUP BY d.doc_id""")
 def _(v):
     fps = E.fingerprints(v.table("documents").select(F.col("doc_id").alias("id"), "text"))
-    names = bits.unpack_positions(fps, E.NBITS, as_text=True)
-    return names.select("id", "outcome", F.md5(F.array_join(F.array_sort("positions"), ",")).alias("bits"))
+    found = bits.unpack_positions(fps, E.NBITS)
+    names = F.array_sort(F.transform("positions", lambda i: i.cast("string")))
+    return found.select("id", "outcome", F.md5(F.array_join(names, ",")).alias("bits"))

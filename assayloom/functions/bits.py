@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WORD = 64
@@ -67,34 +68,58 @@ def pack_positions(rows: DataFrame, nbits: int) -> DataFrame:
     return typed.mapInArrow(_packer(nbits), "id long, fp array<bigint>")
 
 
-def _unpacker(nbits: int, at: int, as_text: bool):
-    names = pa.array([str(i) for i in range(nbits)])
+def _set_bits(fp: pa.ListArray, nbits: int) -> tuple[pa.Array, np.ndarray]:
+    """List offsets and the ascending set-bit positions of a column of packed vectors."""
+    held = np.flatnonzero(fp.is_valid().to_numpy(zero_copy_only=False))
+    words = fp.flatten().to_numpy(zero_copy_only=False).reshape(len(held), nbits // WORD)
+    row, bit = np.nonzero(np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little"))
+    counts = np.zeros(len(fp), dtype=np.int64)
+    counts[held] = np.bincount(row, minlength=len(held))
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), bit.astype(np.int32)
 
-    def unpack_batches(batches):
+
+def _replace_fp(rows: DataFrame, name: str, dtype: T.DataType, build) -> DataFrame:
+    """rows with column fp replaced by build(fp) under another name, one call per Arrow batch.
+
+    Every column is carried through, so select the ones you need before.
+    """
+    at = rows.columns.index("fp")
+
+    def each(batches):
         for batch in batches:
-            fp = batch.column(at)
-            held = np.flatnonzero(fp.is_valid().to_numpy(zero_copy_only=False))
-            words = fp.flatten().to_numpy(zero_copy_only=False).reshape(len(held), nbits // WORD)
-            bits = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little", count=nbits)
-            row, bit = np.nonzero(bits)
-            counts = np.zeros(batch.num_rows, dtype=np.int64)
-            counts[held] = np.bincount(row, minlength=len(held))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            values = names.take(pa.array(bit)) if as_text else pa.array(bit.astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, values, mask=fp.is_null())
-            columns = [lists if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns = [build(batch.column(i)) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            names = [name if i == at else n for i, n in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return unpack_batches
+    fields = [T.StructField(name, dtype) if f.name == "fp" else f for f in rows.schema.fields]
+    return rows.mapInArrow(each, T.StructType(fields))
 
 
-def unpack_positions(rows: DataFrame, nbits: int, as_text: bool = False) -> DataFrame:
-    """Replaces column fp by the ascending positions of its set bits, as numbers or as their names.
+def unpack_positions(rows: DataFrame, nbits: int) -> DataFrame:
+    """Replaces fp by `positions`, the ascending positions of its set bits.
 
     A filter over all positions in Catalyst costs nbits lambda calls per row; this is one numpy
-    call per Arrow batch. Select the columns you need before, as they are carried through.
+    call per Arrow batch.
     """
-    item = T.StringType() if as_text else T.IntegerType()
-    at = rows.columns.index("fp")
-    fields = [T.StructField("fp", T.ArrayType(item)) if f.name == "fp" else f for f in rows.schema.fields]
-    return rows.mapInArrow(_unpacker(nbits, at, as_text), T.StructType(fields)).withColumnRenamed("fp", "positions")
+    def build(fp):
+        offsets, bits = _set_bits(fp, nbits)
+        return pa.ListArray.from_arrays(offsets, pa.array(bits), mask=fp.is_null())
+
+    return _replace_fp(rows, "positions", T.ArrayType(T.IntegerType()), build)
+
+
+def sparse_features(rows: DataFrame, nbits: int) -> DataFrame:
+    """Replaces fp by `features`, a sparse ml vector with a one for each set bit."""
+    def build(fp):
+        offsets, bits = _set_bits(fp, nbits)
+        n = len(fp)
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, nbits, np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(bits)),
+                pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(bits)))),
+            ],
+            names=["type", "size", "indices", "values"],
+        )
+
+    return _replace_fp(rows, "features", VectorUDT(), build)

@@ -155,17 +155,15 @@ def bins_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def density_by_round(background: DataFrame, picks: DataFrame, edges: Edges, min_bg: int = 3) -> DataFrame:
     """One ratio map per round against one background.
 
-    Kept background bins are repeated per round with an exploded array of the round totals, both
-    of them map-sized.
+    Kept background bins are repeated per round by exploding the array of round totals, which a
+    scalar subquery supplies; both are map-sized.
     """
     all_bins = Window.partitionBy()
     bg = hist2d(background, edges).withColumn("bg_total", F.sum("n").over(all_bins)).where(F.col("n") >= min_bg)
     pk = hist2d(picks, edges, ["al_round"])
     totals = pk.groupBy("al_round").agg(F.sum("n").alias("pick_total"))
-    listed = totals.agg(F.collect_list(F.struct("al_round", "pick_total")).alias("_rounds")).withColumn("_k", F.lit(1))
-    grid = bg.withColumnRenamed("n", "n_bg").withColumn("_k", F.lit(1)).join(listed, "_k").select(
-        "ix", "iy", "n_bg", "bg_total", F.inline("_rounds")
-    )
+    rounds = totals.agg(F.collect_list(F.struct("al_round", "pick_total"))).scalar()
+    grid = bg.select("ix", "iy", F.col("n").alias("n_bg"), "bg_total", F.inline(rounds))
     full = grid.join(pk.withColumnRenamed("n", "n_pick"), ["al_round", "ix", "iy"], "left").withColumn(
         "n_pick", F.coalesce("n_pick", F.lit(0))
     )
@@ -233,12 +231,12 @@ def contour_levels(bg: DataFrame) -> DataFrame:
 
 
 def grid_json(cells: DataFrame, bins: int, value: str) -> DataFrame:
-    """One JSON row array per iy over all ix, missing cells null, three decimals.
+    """One JSON row array per iy over all ix, missing cells null, three decimals, no negative zero.
 
     A row is bounded by the bin count. The rows of the map stay separate, ordered by iy.
     """
     filled = cells.groupBy("iy").agg(
-        F.map_from_entries(F.collect_list(F.struct("ix", F.round(value, 3).alias("v")))).alias("_m")
+        F.map_from_entries(F.collect_list(F.struct("ix", (F.round(value, 3) + F.lit(0.0)).alias("v")))).alias("_m")
     )
     spark = cells.sparkSession
     rows = spark.range(bins).select(F.col("id").cast("int").alias("iy"))

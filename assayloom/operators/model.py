@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from random import Random
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from assayloom.functions.bits import unpack_positions
+from assayloom.functions.bits import sparse_features
 from assayloom.operators.ranking import union_all
 from assayloom.operators.windows import decile_split, kfold
 from assayloom.runtime import shared_dir, spread, table_complete
+from assayloom.schemas import TRAINING_METRICS
 
 
 @dataclass(frozen=True)
@@ -29,45 +29,63 @@ class Params:
     colsample: float = 0.1
     min_child: int = 1
     max_trees: int = 5000
-    tolerance: float = 1e-3
+    patience: int = 50
 
 
-def sparse_features(rows: DataFrame, nbits: int) -> DataFrame:
-    """Replaces fp by a sparse feature vector of its set bits. Fixed vocabulary, so nothing is fitted."""
-    vocab = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(nbits)], inputCol="positions", outputCol="features"
-    ).setBinary(True)
-    return vocab.transform(unpack_positions(rows, nbits, as_text=True)).drop("positions")
-
-
-def _regressor(params: Params, seed: int) -> GBTRegressor:
+def _regressor(params: Params, seed: int, trees: int) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="features", labelCol="score", predictionCol="predicted", seed=seed,
-        maxIter=params.max_trees, maxDepth=params.max_depth, stepSize=params.learning_rate,
+        maxIter=trees, maxDepth=params.max_depth, stepSize=params.learning_rate,
         subsamplingRate=params.subsample, featureSubsetStrategy=str(params.colsample),
-        minInstancesPerNode=params.min_child, validationTol=params.tolerance, cacheNodeIds=True,
-        checkpointInterval=10,
+        minInstancesPerNode=params.min_child, cacheNodeIds=True, checkpointInterval=10,
     )
 
 
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """The tree count with the lowest error before `patience` trees brought no gain, and whether they did."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_with_patience(fit: DataFrame, held_out: DataFrame, params: Params, seed: int):
+    """(model, its tree count to keep, held-out RMSE there).
+
+    The built-in early stop ends at the first tree without gain. Here the ensemble is fitted to a
+    size, judged tree by tree on the held-out rows, and doubled until `patience` trees bring nothing;
+    a larger fit repeats the smaller one's trees, so the judged prefix stays the same.
+    """
+    trees = min(params.max_trees, 2 * params.patience)
+    while True:
+        model = _regressor(params, seed, trees).fit(fit)
+        errors = model.evaluateEachIteration(held_out, "squared")
+        keep, stopped = best_round(errors, params.patience)
+        if stopped or trees == params.max_trees:
+            return model, keep, errors[keep - 1] ** 0.5
+        trees = min(params.max_trees, 2 * trees)
+
+
 def train(labelled: DataFrame, nbits: int, params: Params = Params(), seed: int = 42):
     """Boosted trees on nine tenths, stopped early on the tenth drawn per score decile.
 
     Returns the model and a one-row metrics table.
     """
-    shared_dir(labelled.sparkSession)
-    split = sparse_features(decile_split(labelled, 0.1, seed), nbits).persist()
-    model = _regressor(params, seed).setValidationIndicatorCol("is_val").fit(split)
-    err = F.col("predicted") - F.col("score")
-    metrics = model.transform(split).agg(
-        F.sqrt(F.avg(F.when(F.col("is_val"), err * err))).alias("val_rmse"),
-        F.count_if(~F.col("is_val")).alias("n_train"),
-        F.count_if(F.col("is_val")).alias("n_val"),
-        F.min("score").alias("best_docking_score"),
-    )
-    row = metrics.first()
+    spark = labelled.sparkSession
+    shared_dir(spark)
+    split = sparse_features(decile_split(labelled.select("id", "fp", "score"), 0.1, seed), nbits).persist()
+    fit, held_out = split.where(~F.col("is_val")), split.where("is_val")
+    model, keep, val_rmse = fit_with_patience(fit, held_out, params, seed)
+    if keep < model.getNumTrees:
+        model = _regressor(params, seed, keep).fit(fit)
+    n_train, n_val, best = split.agg(
+        F.count_if(~F.col("is_val")), F.count_if(F.col("is_val")), F.min("score")
+    ).first()
     split.unpersist()
-    return model, labelled.sparkSession.createDataFrame([row], metrics.schema)
+    return model, spark.createDataFrame([(val_rmse, n_train, n_val, best)], TRAINING_METRICS)
 
 
 def trial_params(trial: int, seed: int, max_trees: int) -> Params:
@@ -100,43 +118,33 @@ def search(
     done = set()
     if trials_path and table_complete(spark, trials_path):
         done = {r["trial"] for r in spark.read.schema(schema).parquet(trials_path).select("trial").distinct().collect()}
-    rows = sparse_features(kfold(labelled, folds, seed), nbits).persist()
-    missing = [t for t in range(n_trials) if t not in done]
-    tables = []
-    for start in range(0, len(missing), parallelism):
-        group = [(t, trial_params(t, seed, max_trees)) for t in missing[start:start + parallelism]]
-        base = _regressor(Params(max_trees=max_trees), seed)
-        judge = CrossValidator(
-            estimator=base, estimatorParamMaps=[_param_map(base, p) for _, p in group], numFolds=folds, foldCol="fold",
-            evaluator=RegressionEvaluator(labelCol="score", predictionCol="predicted", metricName="rmse"),
-            parallelism=parallelism,
-        )
-        means = judge.fit(rows).avgMetrics
-        found = [
-            (t, p.max_depth, p.learning_rate, p.subsample, p.colsample, p.min_child, p.max_trees, float(m))
-            for (t, p), m in zip(group, means)
+    rows = sparse_features(kfold(labelled.select("id", "fp", "score"), folds, seed), nbits).persist()
+
+    def judge(trial: int) -> DataFrame:
+        p = trial_params(trial, seed, max_trees)
+        errors = [
+            fit_with_patience(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f), p, seed)[2]
+            for f in range(folds)
         ]
-        table = spark.createDataFrame(found, schema)
+        row = (trial, p.max_depth, p.learning_rate, p.subsample, p.colsample, p.min_child, max_trees, sum(errors) / folds)
+        table = spark.createDataFrame([row], schema)
         if trials_path:
             table.write.mode("append").parquet(trials_path)
-        tables.append(table)
+        return table
+
+    # Threads only submit Spark jobs; the fits themselves run on the executors.
+    with ThreadPool(parallelism) as pool:
+        tables = pool.map(inheritable_thread_target(spark)(judge), [t for t in range(n_trials) if t not in done])
     rows.unpersist()
     return spark.read.schema(schema).parquet(trials_path) if trials_path else union_all(tables)
 
 
-def _param_map(est: GBTRegressor, p: Params) -> dict:
-    return {
-        est.maxDepth: p.max_depth, est.stepSize: p.learning_rate, est.subsamplingRate: p.subsample,
-        est.featureSubsetStrategy: str(p.colsample), est.minInstancesPerNode: p.min_child,
-    }
-
-
 def best_params(trials: DataFrame, max_trees: int = 5000) -> Params:
     r = trials.orderBy("cv_rmse", "trial").first()
     return Params(r["max_depth"], r["learning_rate"], r["subsample"], r["colsample"], r["min_child"], max_trees)
 
 
-def score_library(model: GBTRegressionModel | PipelineModel, fps: DataFrame, nbits: int) -> DataFrame:
+def score_library(model: GBTRegressionModel, fps: DataFrame, nbits: int) -> DataFrame:
     """(id, predicted) for every row: one narrow pass, no shuffle."""
     return model.transform(sparse_features(spread(fps.select("id", "fp")), nbits)).select(
         "id", F.col("predicted").cast("float").alias("predicted")
@@ -161,6 +169,3 @@ def project(model, keep: int, fps: DataFrame, nbits: int) -> DataFrame:
     out = model.transform(sparse_features(fps.select("id", "fp"), nbits))
     return out.select("id", F.slice(vector_to_array("projected"), 1, keep).alias("vector"))
 
-
-def load_gbt(spark: SparkSession, path: str) -> GBTRegressionModel:
-    return GBTRegressionModel.load(path)

@@ -77,14 +77,18 @@ def _pick_far_apart(k: int, seed: int):
         words = table.column("fp").combine_chunks().values.to_numpy(zero_copy_only=False).view(np.uint64)
         vectors = words.reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        weight = np.bitwise_count(vectors).sum(axis=1, dtype=np.int64)
+        ids = ids[order]
+        # One row per word: a pick then runs along contiguous memory without a block-sized copy.
+        by_word = np.ascontiguousarray(vectors[order].T)
+        weight = np.bitwise_count(by_word).sum(axis=0, dtype=np.int64)
         take = min(k, len(ids))
         at = int(np.random.default_rng(seed + part).integers(len(ids)))
         gap = np.full(len(ids), np.inf)
         chosen = [at]
         while len(chosen) < take:
-            shared = np.bitwise_count(vectors & vectors[at]).sum(axis=1, dtype=np.int64)
+            shared = np.zeros(len(ids), dtype=np.int32)
+            for word in by_word:
+                shared += np.bitwise_count(word & word[at])
             np.minimum(gap, 1.0 - shared / (weight + weight[at] - shared), out=gap)
             gap[chosen] = -1.0
             at = int(gap.argmax())

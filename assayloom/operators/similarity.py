@@ -18,6 +18,7 @@ from assayloom.functions.bits import popcount
 
 BLOCK_ROWS = 4_096
 SLICE_ROWS = 32_768
+LEAST_SLICE_ROWS = 1_024
 CLASS_BASE = 1.25
 _TILE = 1_024
 
@@ -92,8 +93,12 @@ def _run_cells(queries: DataFrame, refs: DataFrame, slices: dict[int, int], skip
     return sliced.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(cell, "fp array<bigint>, sim double")
 
 
-def _best_by_vector(queries: DataFrame, refs: DataFrame, block_rows: int, slice_rows: int, skip_same: bool) -> DataFrame:
+def _best_by_vector(queries: DataFrame, refs: DataFrame, block_rows: int, slice_rows: int | None, skip_same: bool) -> DataFrame:
     """queries and refs are distinct non-zero vectors; returns (fp, sim)."""
+    if slice_rows is None:
+        # Small query sets are cut finer, so that all cores have a cell.
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        slice_rows = min(SLICE_ROWS, max(LEAST_SLICE_ROWS, queries.count() // (2 * cores)))
     one_block = refs.count() <= block_rows
     refs, blocks = _classes(refs, "r", block_rows, one_block)
     queries, slices = _classes(queries, "q", slice_rows, one_block)
@@ -131,7 +136,7 @@ def _best_by_vector(queries: DataFrame, refs: DataFrame, block_rows: int, slice_
 
 
 def max_similarity(
-    queries: DataFrame, refs: DataFrame, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS
+    queries: DataFrame, refs: DataFrame, block_rows: int = BLOCK_ROWS, slice_rows: int | None = None
 ) -> DataFrame:
     """(id, max_sim): the highest similarity of each query row to any reference row."""
     has_bits = popcount(F.col("fp")) > 0
@@ -141,7 +146,7 @@ def max_similarity(
     return queries.join(best, "fp", "left").select("id", F.coalesce("sim", F.lit(0.0)).alias("max_sim"))
 
 
-def max_similarity_self(fps: DataFrame, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def max_similarity_self(fps: DataFrame, block_rows: int = BLOCK_ROWS, slice_rows: int | None = None) -> DataFrame:
     """(id, max_sim) to any other row. A copy counts, so a vector held twice scores 1."""
     copies = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
     distinct = copies.where(popcount(F.col("fp")) > 0)

@@ -118,7 +118,7 @@ def train_round(spark: SparkSession, cfg: Campaign, rnd: int, fps: DataFrame) ->
         read_or_empty(spark, hp_path, _HPARAMS), rnd
     ).first()["params"]
     params = cfg.params if saved is None else Params(**{
-        k: (int(v) if k in ("max_depth", "min_child", "max_trees") else v) for k, v in saved.items()
+        k: (int(v) if k in ("max_depth", "min_child", "max_trees", "patience") else v) for k, v in saved.items()
     })
     model, metrics = train(labelled, cfg.nbits, params, cfg.seed)
     model.write().overwrite().save(path)

@@ -90,3 +90,15 @@ def test_reports(spark, views):
     progress = views.scores.groupBy("experiment_id", "al_round").agg(F.count(F.lit(1)).alias("docked"))
     for frame in reports.discovery_report(views.scores, progress, views.metrics, "T").values():
         assert frame.count() > 0
+
+
+def test_best_round_waits_for_patience():
+    assert M.best_round([5.0, 4.0, 4.5, 3.0, 3.5, 3.6], 10) == (4, False)
+    assert M.best_round([5.0, 4.0, 4.5, 4.5, 3.0], 2) == (2, True)
+    assert M.best_round([1.0], 5) == (1, False)
+
+
+def test_early_stop_keeps_the_best_prefix(spark, views):
+    p = replace(SMALL, max_trees=12, patience=2, learning_rate=0.9)
+    model, metrics = M.train(labelled(views), NBITS, p)
+    assert model.getNumTrees < 12 and metrics.first()["val_rmse"] > 0
