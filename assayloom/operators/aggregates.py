@@ -38,15 +38,13 @@ def best_n(scores: DataFrame, target: str, experiment_id: str, rnd: int) -> Data
 
 
 def round_percentiles(scores: DataFrame, by: Sequence[str] = ("experiment_id", "al_round")) -> DataFrame:
-    rows = valid_scores(scores)
-    plain = rows.groupBy(*by).agg(F.avg("score").alias("mean"), F.min("score").alias("best1"))
-    return exact_percentiles(rows, by, "score", ROUND_PERCENTILES).join(plain, list(by))
+    return exact_percentiles(
+        scores, by, "score", ROUND_PERCENTILES, {"mean": F.avg("score"), "best1": F.min("score")}
+    )
 
 
 def distribution_shift(scores: DataFrame, by: Sequence[str] = ("al_round",)) -> DataFrame:
-    rows = valid_scores(scores)
-    best = rows.groupBy(*by).agg(F.min("score").alias("best"))
-    return exact_percentiles(rows, by, "score", ROUND_PERCENTILES).drop("n").join(best, list(by))
+    return exact_percentiles(scores, by, "score", ROUND_PERCENTILES, {"best": F.min("score")}).drop("n")
 
 
 def hit_rates(
@@ -159,22 +157,16 @@ def entropy(keyed: DataFrame, key: str = "group_key") -> DataFrame:
 def novelty_summary(sims: DataFrame, by: Sequence[str] = ("al_round",)) -> DataFrame:
     """Per round: n, median and mean of the highest similarity, and how much of it is above 0.4 and 0.6."""
     share = lambda t: (F.count_if(F.col("max_sim") > t).cast("double") * 100 / F.count(F.lit(1)))
-    plain = sims.groupBy(*by).agg(
-        F.avg("max_sim").alias("mean"), share(0.4).alias("pct04"), share(0.6).alias("pct06")
-    )
-    return exact_percentiles(sims, by, "max_sim", {"median": 0.5}).join(plain, list(by))
+    also = {"mean": F.avg("max_sim"), "pct04": share(0.4), "pct06": share(0.6)}
+    return exact_percentiles(sims, by, "max_sim", {"median": 0.5}, also)
 
 
 def experiment_table(scores: DataFrame, metrics: DataFrame) -> DataFrame:
     """Per experiment and round: n, best, median, mean, deep-hit rates, and the model error from the log."""
-    rows = valid_scores(scores)
     by = ["experiment_id", "al_round"]
     below = lambda t: F.count_if(F.col("score") < t).cast("double") * 100 / F.count(F.lit(1))
-    plain = rows.groupBy(*by).agg(
-        F.min("score").alias("best1"), F.avg("score").alias("mean"),
-        below(-14.0).alias("pct14"), below(-15.0).alias("pct15"),
-    )
-    stats = exact_percentiles(rows, by, "score", {"median": 0.5}).join(plain, by)
+    also = {"best1": F.min("score"), "mean": F.avg("score"), "pct14": below(-14.0), "pct15": below(-15.0)}
+    stats = exact_percentiles(scores, by, "score", {"median": 0.5}, also)
     log = metrics.where(F.col("val_rmse").isNotNull()).select(
         "experiment_id", F.col("round").alias("al_round"), "val_rmse", F.col("best1").alias("log_best1")
     )

@@ -73,11 +73,14 @@ def bins_with_picks(bg: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def map_pair(background: DataFrame, picks: DataFrame, edges: Edges) -> DataFrame:
-    """Both histograms from their own scans, with each set's total over all bins."""
-    bg, pk = hist2d(background, edges), hist2d(picks, edges)
-    both = bg.select("ix", "iy", F.col("n").alias("n_bg"), F.lit(0).cast("long").alias("n_pick")).unionByName(
-        pk.select("ix", "iy", F.lit(0).cast("long").alias("n_bg"), F.col("n").alias("n_pick"))
-    ).groupBy("ix", "iy").agg(F.sum("n_bg").alias("n_bg"), F.sum("n_pick").alias("n_pick"))
+    """Background and pick counts per bin in one aggregate, with each set's total over all bins."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    points = background.select(*edges.inside(), one.alias("_bg"), none.alias("_pick")).unionByName(
+        picks.select(*edges.inside(), none.alias("_bg"), one.alias("_pick"))
+    )
+    both = points.where(F.col("ix").isNotNull() & F.col("iy").isNotNull()).groupBy("ix", "iy").agg(
+        F.sum("_bg").alias("n_bg"), F.sum("_pick").alias("n_pick")
+    )
     all_bins = Window.partitionBy()
     return both.withColumn("bg_total", F.sum("n_bg").over(all_bins)).withColumn(
         "pick_total", F.sum("n_pick").over(all_bins)

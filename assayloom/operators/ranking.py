@@ -75,28 +75,33 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: st
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, ps: dict[str, float]
+    df: DataFrame, by: Sequence[str], value: str, ps: dict[str, float], also: dict[str, Column] | None = None
 ) -> DataFrame:
     """Linear-interpolation percentiles per group, exact, plus the group size n.
 
+    `also` adds plain aggregates of the same rows; they ride along in the first pass.
+
     The built-in exact percentile holds every distinct value of a group in one task. Here a
     bounded sketch first brackets each wanted rank; the second pass keeps values only inside a
     bracket and folds all others onto the edge below them, so the counts that meet per group are
     about one in a thousand of its rows.
     """
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
+    also = also or {}
+    sound = df.where(v.isNotNull() & ~F.isnan(v))
+    rows = sound.select(*by, v.alias("_v"))
     slack = 4.0 / SKETCH_ACCURACY
     probes = [q for p in ps.values() for q in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", probes, SKETCH_ACCURACY).alias("_edges")
+    sketch = sound.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, probes, SKETCH_ACCURACY).alias("_edges"),
+        *[agg.alias(name) for name, agg in also.items()],
     )
     if by:
         marked = rows.join(sketch, list(by))
         n, edge = F.col("_n"), lambda i: F.col("_edges")[i]
     else:
         only = sketch.first()
-        marked = rows
+        marked = rows.select("_v", *[F.lit(only[name]).alias(name) for name in also])
         n, edge = F.lit(only["_n"]), lambda i: F.lit(only["_edges"][i] if only["_edges"] else None)
     folded = []
     for i in range(len(ps)):
@@ -106,7 +111,9 @@ def exact_percentiles(
         )
     snapped = F.greatest(*folded) if len(folded) > 1 else folded[0]
     snapped = F.when(n <= WHOLE_GROUP, F.col("_v")).otherwise(snapped)
-    counts = marked.groupBy(*by, n.alias("_n"), snapped.alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = marked.groupBy(*by, n.alias("_n"), snapped.alias("_s")).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(name).alias(name) for name in also]
+    )
     upto = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.col("_s").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -116,13 +123,15 @@ def exact_percentiles(
         at = F.lit(float(p)) * (F.col("_n") - 1)
         picks.append(F.min(F.when(F.col("_cum") > F.floor(at), F.col("_s"))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_s"))).alias(f"_hi_{name}"))
-    found = running.groupBy(*by).agg(F.max("_n").alias("n"), *picks)
+    found = running.groupBy(*by).agg(
+        F.max("_n").alias("n"), *[F.first(name).alias(name) for name in also], *picks
+    )
     out = []
     for name, p in ps.items():
         at = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (at - F.floor(at)) * (hi - lo)).alias(name))
-    return found.select(*by, "n", *out)
+    return found.select(*by, "n", *also, *out)
 
 
 def smallest_k(
