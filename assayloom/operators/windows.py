@@ -92,9 +92,8 @@ def progress_checkpoints(
         numbered = numbered.join(before_all.select(*by, F.col("docked").alias("_d0")), list(by), "left").select(
             *by, (F.col("_i") + F.coalesce("_d0", F.lit(0))).alias("_i"), "score"
         )
-    numbered = cut_lineage(numbered)
     if block_rows is None:
-        longest = numbered.agg(F.max("_i")).first()[0] or 1
+        longest = results.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
         block_rows = max(100_000, int(math.sqrt(keep * longest)))
     block_rows = max(every, block_rows // every * every)
     blocks = numbered.withColumn("_b", F.floor((F.col("_i") - 1) / block_rows))
