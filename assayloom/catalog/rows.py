@@ -49,9 +49,9 @@ def _(v):
 
 @query("flt_missing_props", """
     SELECT id, zinc_id, mw, logp FROM v_compounds
-    WHERE (mw IS NULL OR logp IS NULL) AND id >= 100 AND id < 100000 AND smiles IS NOT NULL AND smiles <> ''""")
+    WHERE (mw IS NULL OR logp IS NULL) AND smiles IS NOT NULL AND smiles <> ''""")
 def _(v):
-    return X.missing_properties(v.compounds, 100, 100_000).select("id", "zinc_id", "mw", "logp")
+    return X.missing_properties(v.compounds).select("id", "zinc_id", "mw", "logp")
 
 
 @query("flt_nonzero_fp", "SELECT id, label FROM v_fpbits GROUP BY id, label HAVING bool_or(b)")

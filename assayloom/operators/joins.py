@@ -77,9 +77,9 @@ def eligible(
 def as_of_rounds(rounds: DataFrame, hparams: DataFrame, by: list[str], value: str) -> DataFrame:
     """For every (group, round) the value of the latest round at or before it.
 
-    Both tables hold one row per round, so the union sorts per group instead of a range join.
+    Both sides hold one row per round here, so the union sorts per group instead of a range join.
     """
-    stream = rounds.select(*by, "round", F.lit(None).alias("_v"), F.lit(1).alias("_side")).unionByName(
+    stream = rounds.select(*by, "round").distinct().select(*by, "round", F.lit(None).alias("_v"), F.lit(1).alias("_side")).unionByName(
         hparams.select(*by, "round", F.col(value).alias("_v"), F.lit(0).alias("_side"))
     )
     w = Window.partitionBy(*by).orderBy("round", "_side").rowsBetween(Window.unboundedPreceding, 0)

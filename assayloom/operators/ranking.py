@@ -135,15 +135,18 @@ def exact_percentiles(
 
 
 def smallest_k(
-    df: DataFrame, key: str, ties: Sequence[str], k: int, single_pass_rows: int = SINGLE_PASS_ROWS
+    df: DataFrame, key: str, ties: Sequence[str], k: int, single_pass_rows: int = SINGLE_PASS_ROWS,
+    sound: bool = False,
 ) -> DataFrame:
     """The k rows with the smallest key (ties by the other columns); NULL and NaN keys never count.
 
+    `sound` says that no key is NULL or NaN. A filter on a computed key would compute it twice.
+
     Where k rows from every input split still fit one task, this is one ordered limit. Beyond
     that a sketch brackets the k-th key: rows below the bracket are taken where they are, and only
     the bracket is ordered.
     """
-    rows = df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
+    rows = df if sound else df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
     if k * (1 + estimated_bytes(rows) // SPLIT_BYTES) <= single_pass_rows:
         return rows.orderBy(key, *ties).limit(k)
     n = rows.count()

@@ -18,7 +18,7 @@ def hash_sample(rows: DataFrame, k: int, seed: int, id_col: str = "id") -> DataF
     """k rows without replacement, every row equally likely, for a library of any size."""
     digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
     key = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
-    return smallest_k(rows.withColumn("_key", key), "_key", [id_col], k).drop("_key")
+    return smallest_k(rows.withColumn("_key", key), "_key", [id_col], k, sound=True).drop("_key")
 
 
 def sample_excluding(rows: DataFrame, excluded: DataFrame, k: int, seed: int, id_col: str = "id") -> DataFrame:
@@ -37,7 +37,7 @@ def greedy(eligible: DataFrame, k: int) -> DataFrame:
 
 
 def thompson(eligible: DataFrame, k: int, temperature: float, seed: int, rnd: int) -> DataFrame:
-    """k rows without replacement with weight exp(-prediction / T).
+    """k rows without replacement with weight exp(-prediction / T). Predictions are finite (`eligible`).
 
     The k largest Gumbel-perturbed logits follow the law of k successive weighted draws, so one
     pass does it: no normaliser, no running removal.
@@ -45,7 +45,7 @@ def thompson(eligible: DataFrame, k: int, temperature: float, seed: int, rnd: in
     if temperature <= 0:
         return greedy(eligible, k)
     key = -(negative_logit(F.col("predicted"), temperature) + gumbel(F.col("id"), seed, rnd))
-    drawn = smallest_k(eligible.withColumn("_key", key), "_key", ["id"], k)
+    drawn = smallest_k(eligible.withColumn("_key", key), "_key", ["id"], k, sound=True)
     return drawn.drop("_key").withColumn("source", F.lit("thompson_sample"))
 
 
@@ -120,4 +120,4 @@ def subset_points(xy: DataFrame, m: int, seed: int, id_cols: Sequence[str] = ("i
     """m points for display, drawn by hash of all id columns."""
     digest = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
     key = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
-    return smallest_k(xy.withColumn("_key", key), "_key", list(id_cols), m).drop("_key")
+    return smallest_k(xy.withColumn("_key", key), "_key", list(id_cols), m, sound=True).drop("_key")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from assayloom.functions.bits import popcount
+from assayloom.runtime import cut_lineage
 
 BLOCK_ROWS = 4_096
 SLICE_ROWS = 32_768
@@ -94,7 +95,14 @@ def _run_cells(queries: DataFrame, refs: DataFrame, slices: dict[int, int], skip
 
 
 def _best_by_vector(queries: DataFrame, refs: DataFrame, block_rows: int, slice_rows: int | None, skip_same: bool) -> DataFrame:
-    """queries and refs are distinct non-zero vectors; returns (fp, sim)."""
+    """queries and refs are distinct non-zero vectors; returns (fp, sim).
+
+    Both sets, and the first pass, are read several times: they are checkpointed instead of being
+    shuffled or multiplied again.
+    """
+    same = refs is queries
+    queries = cut_lineage(queries)
+    refs = queries if same else cut_lineage(refs)
     if slice_rows is None:
         # Small query sets are cut finer, so that all cores have a cell.
         cores = queries.sparkSession.sparkContext.defaultParallelism
@@ -118,6 +126,7 @@ def _best_by_vector(queries: DataFrame, refs: DataFrame, block_rows: int, slice_
     seeds = _run_cells(queries.withColumn("cells", first), refs, slices, skip_same)
     if len(all_cells) == 1:
         return seeds
+    seeds = cut_lineage(seeds)
     # Second pass: only the blocks whose bound is above it.
     bounded = F.lit(None)
     for q in slices:
@@ -150,7 +159,8 @@ def max_similarity_self(fps: DataFrame, block_rows: int = BLOCK_ROWS, slice_rows
     """(id, max_sim) to any other row. A copy counts, so a vector held twice scores 1."""
     copies = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
     distinct = copies.where(popcount(F.col("fp")) > 0)
-    best = _best_by_vector(distinct.select("fp"), distinct.select("fp"), block_rows, slice_rows, skip_same=True)
+    vectors = distinct.select("fp")
+    best = _best_by_vector(vectors, vectors, block_rows, slice_rows, skip_same=True)
     folded = distinct.join(best, "fp", "left").select(
         "fp", F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim")
     )

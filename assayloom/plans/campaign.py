@@ -15,7 +15,9 @@ from assayloom.operators.model import Params, best_params, score_library, search
 from assayloom.operators.ranking import nth_best
 from assayloom.operators.sampling import hash_sample, maxmin_partitioned, thompson
 from assayloom.runtime import table_complete
-from assayloom.sinks.tables import append_batch, append_round_metrics, append_scores, read_or_empty, write_predictions
+from assayloom.sinks.tables import (
+    append_batch, append_round_metrics, append_scores, batch_exists, read_or_empty, write_predictions,
+)
 from assayloom.streaming.results import stop_requested
 
 
@@ -51,6 +53,27 @@ class Campaign:
         return f"{self.root}/{name}/{self.target}/{self.experiment_id}/round={rnd}"
 
 
+# The keys of an experiment's config file and the fields they set.
+_CONFIG_KEYS = {
+    "batch_size": "batch_size", "temperature": "temperature", "fail_threshold": "fail_threshold", "seed": "seed",
+    "init_threads": "seed_parts", "subsample_per_worker": "seed_block", "hparam_tune_every_n_rounds": "tune_every",
+    "optuna_trials": "tune_trials",
+}
+_MODEL_KEYS = {
+    "max_depth": "max_depth", "learning_rate": "learning_rate", "subsample": "subsample",
+    "colsample_bytree": "colsample", "min_child_weight": "min_child",
+}
+
+
+def from_config(root: str, config: dict, **overrides) -> Campaign:
+    """A campaign from the mapping of an experiment's config file. Keys of other tools are ignored."""
+    fields = {field_: config[key] for key, field_ in _CONFIG_KEYS.items() if key in config}
+    model = config.get("xgboost", {})
+    params = Params(**{field_: model[key] for key, field_ in _MODEL_KEYS.items() if key in model})
+    fields |= {"params": params, **overrides}
+    return Campaign(root=root, target=config["target"], experiment_id=config["experiment_id"], **fields)
+
+
 def label_lookup(batch: DataFrame, labels: DataFrame) -> DataFrame:
     """(compound_id, score) for a batch; a row without a label is a failed attempt."""
     return batch.join(labels.select(F.col("id").alias("compound_id"), "score"), "compound_id", "left")
@@ -65,6 +88,8 @@ def _batches(spark: SparkSession, cfg: Campaign) -> DataFrame:
 
 
 def seed_batch(spark: SparkSession, cfg: Campaign, compounds: DataFrame, fps: DataFrame) -> None:
+    if batch_exists(spark, cfg.table("al_batches"), cfg.target, cfg.experiment_id, 0):
+        return
     known = only_known(fps, compounds)
     if cfg.seeding == "random":
         ids, source = hash_sample(known.select("id"), cfg.batch_size, cfg.seed), "random_init"
@@ -76,13 +101,17 @@ def seed_batch(spark: SparkSession, cfg: Campaign, compounds: DataFrame, fps: Da
 
 
 def select_batch(spark: SparkSession, cfg: Campaign, rnd: int, compounds: DataFrame, fps: DataFrame) -> None:
-    """Scores the library with the last model and draws the round's batch."""
+    """Scores the library with the last model and draws the round's batch; fails where nothing is left to draw."""
+    if batch_exists(spark, cfg.table("al_batches"), cfg.target, cfg.experiment_id, rnd):
+        return
     model = GBTRegressionModel.load(cfg.slot("models", rnd - 1))
     path = cfg.slot("predictions", rnd)
     if not table_complete(spark, path):
         write_predictions(score_library(model, fps, cfg.nbits), path)
     pred = spark.read.schema("id long, predicted float").parquet(path)
     pool = eligible(pred, compounds, _scores(spark, cfg), _batches(spark, cfg), cfg.target, cfg.experiment_id)
+    if pool.limit(1).isEmpty():
+        raise ValueError(f"no eligible rows for round {rnd} of {cfg.experiment_id}")
     drawn = thompson(pool, cfg.batch_size, cfg.temperature, cfg.seed, rnd)
     source = "thompson_sample" if cfg.temperature > 0 else "greedy_select"
     append_batch(drawn, cfg.table("al_batches"), cfg.target, cfg.experiment_id, rnd, source)

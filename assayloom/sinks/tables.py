@@ -19,6 +19,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.createDataFrame([], schema)
 
 
+def batch_exists(spark: SparkSession, path: str, target: str, experiment_id: str, rnd: int) -> bool:
+    """Looks at one partition folder only."""
+    rows = read_or_empty(spark, path, schemas.BATCHES).where(
+        (F.col("target") == target) & (F.col("experiment_id") == experiment_id) & (F.col("round") == rnd)
+    )
+    return not rows.limit(1).isEmpty()
+
+
 def append_batch(
     ids: DataFrame, path: str, target: str, experiment_id: str, rnd: int, source: str
 ) -> bool:
@@ -26,11 +34,7 @@ def append_batch(
 
     The round is one partition folder, replaced as a whole: a rerun after a crash cannot double it.
     """
-    spark = ids.sparkSession
-    existing = read_or_empty(spark, path, schemas.BATCHES).where(
-        (F.col("target") == target) & (F.col("experiment_id") == experiment_id) & (F.col("round") == rnd)
-    )
-    if not existing.limit(1).isEmpty():
+    if batch_exists(ids.sparkSession, path, target, experiment_id, rnd):
         return False
     rows = ids.select(
         F.col("id").alias("compound_id"), F.lit(target).alias("target"), F.lit(experiment_id).alias("experiment_id"),

@@ -107,8 +107,17 @@ def best_energy(xml: Column, threshold: float = 0.0) -> Column:
     return F.when(best < threshold, best)
 
 
-def read_result_xml(spark: SparkSession, path: str, threshold: float = 0.0) -> DataFrame:
-    """(compound_id, score) from one result file per compound; the id is the number in the file name."""
-    files = spark.read.text(path, wholetext=True)
+def _results(files: DataFrame, threshold: float) -> DataFrame:
     cid = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^/\d]*$", 1).try_cast("long")
     return files.select(cid.alias("compound_id"), best_energy(F.col("value"), threshold).alias("score"))
+
+
+def read_result_xml(spark: SparkSession, path: str, threshold: float = 0.0) -> DataFrame:
+    """(compound_id, score) from one result file per compound; the id is the number in the file name."""
+    return _results(spark.read.text(path, wholetext=True), threshold)
+
+
+def stream_result_xml(spark: SparkSession, path: str, threshold: float = 0.0, files_per_trigger: int = 10_000) -> DataFrame:
+    """The same as a stream: result files are picked up as they arrive."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
+    return _results(files, threshold)

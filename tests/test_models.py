@@ -102,3 +102,20 @@ def test_early_stop_keeps_the_best_prefix(spark, views):
     p = replace(SMALL, max_trees=12, patience=2, learning_rate=0.9)
     model, metrics = M.train(labelled(views), NBITS, p)
     assert model.getNumTrees < 12 and metrics.first()["val_rmse"] > 0
+
+
+def test_config_mapping():
+    cfg = C.from_config("/r", {
+        "target": "T", "experiment_id": "g", "batch_size": 10, "temperature": 0, "hparam_tune_every_n_rounds": 2,
+        "optuna_trials": 4, "init_threads": 3, "xgboost": {"max_depth": 4, "device": "x"}, "fp_file": "y",
+    }, seeding="random")
+    assert (cfg.batch_size, cfg.temperature, cfg.tune_every, cfg.tune_trials, cfg.seed_parts) == (10, 0, 2, 4, 3)
+    assert cfg.params.max_depth == 4 and cfg.seeding == "random"
+
+
+def test_nothing_left_to_draw_is_an_error(spark, views):
+    cfg = campaign(views, seeding="random", batch_size=10_000, params=replace(SMALL, max_trees=2))
+    fps, known = views.fps.select("id", "fp"), views.fps.select("id")
+    C.run_round(spark, cfg, 0, known, fps, labels(views))
+    with pytest.raises(ValueError, match="no eligible"):
+        C.run_round(spark, cfg, 1, known, fps, labels(views))

@@ -66,3 +66,25 @@ def test_file_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted(r["error_msg"] for r in errors) == ["Crash: bad token 2b", "Protonation Failed", "RDKit Mol Conversion Failed"]
     status = spark.read.parquet(f"{root}/tranche_status").select("tranche", "status").distinct().collect()
     assert sorted(tuple(r) for r in status) == [("A/one", "completed"), ("A/two", "completed")]
+
+
+def test_result_files_stream_into_the_score_table(spark, tmp_path):
+    from assayloom.sources.files import stream_result_xml
+
+    folder, t = tmp_path / "xml", str(tmp_path)
+    folder.mkdir()
+    put_xml = lambda n, text: (folder / f"ligand_{n}.xml").write_text(text)
+
+    def drain():
+        scored = stream_result_xml(spark, str(folder)).select(
+            "compound_id", "score", F.lit("T").alias("target"), F.lit("e").alias("experiment_id"), F.lit(1).alias("al_round")
+        )
+        R.append_results(scored, f"{t}/scores", f"{t}/ck").awaitTermination()
+
+    put_xml(7, "<r><best_energy>-5</best_energy></r>")
+    put_xml(8, "<r><best_energy>-5</best")
+    drain()
+    put_xml(9, "<r><free_NRG_binding>-6.5</free_NRG_binding></r>")
+    drain()
+    got = spark.read.schema(schemas.SCORES).parquet(f"{t}/scores").collect()
+    assert {r["compound_id"]: r["score"] for r in got} == {7: -5.0, 8: None, 9: -6.5} and len(got) == 3
