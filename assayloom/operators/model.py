@@ -32,6 +32,15 @@ class Params:
     patience: int = 50
 
 
+TRAINING_ROWS_PER_TASK = 1_000
+
+
+def _training_rows(rows: DataFrame, nbits: int) -> DataFrame:
+    """Feature rows in as many partitions as their number needs: every tree level is a job over all of them."""
+    parts = max(1, -(-rows.count() // TRAINING_ROWS_PER_TASK))
+    return sparse_features(rows.repartition(parts, "id"), nbits).persist()
+
+
 def _regressor(params: Params, seed: int, trees: int) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="features", labelCol="score", predictionCol="predicted", seed=seed,
@@ -76,7 +85,7 @@ def train(labelled: DataFrame, nbits: int, params: Params = Params(), seed: int
     """
     spark = labelled.sparkSession
     shared_dir(spark)
-    split = sparse_features(decile_split(labelled.select("id", "fp", "score"), 0.1, seed), nbits).persist()
+    split = _training_rows(decile_split(labelled.select("id", "fp", "score"), 0.1, seed), nbits)
     fit, held_out = split.where(~F.col("is_val")), split.where("is_val")
     model, keep, val_rmse = fit_with_patience(fit, held_out, params, seed)
     if keep < model.getNumTrees:
@@ -118,7 +127,7 @@ def search(
     done = set()
     if trials_path and table_complete(spark, trials_path):
         done = {r["trial"] for r in spark.read.schema(schema).parquet(trials_path).select("trial").distinct().collect()}
-    rows = sparse_features(kfold(labelled.select("id", "fp", "score"), folds, seed), nbits).persist()
+    rows = _training_rows(kfold(labelled.select("id", "fp", "score"), folds, seed), nbits)
 
     def judge(trial: int) -> DataFrame:
         p = trial_params(trial, seed, max_trees)
