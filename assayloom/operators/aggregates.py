@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayloom.functions.binning import bin_inside
 from assayloom.operators.filters import in_scope, valid_scores
 from assayloom.operators.ranking import exact_percentiles, nth_best, smallest_k, top_n_by_group
+from assayloom.runtime import cut_lineage
 
 BEST_NS = (1, 10, 100, 1000)
 # The score thresholds and percentiles that the reports quote.
@@ -114,7 +115,8 @@ def flag_rate_by_round(flags: DataFrame) -> DataFrame:
 def alert_counts(flags: DataFrame, k: int = 15) -> DataFrame:
     """How many rows each alert matched; the k most frequent."""
     return (
-        flags.select(F.explode("alerts").alias("alert")).groupBy("alert").agg(F.count(F.lit(1)).alias("n"))
+        # The outer form, as the plain one makes the planner match all patterns once more in a filter.
+        flags.select(F.explode_outer("alerts").alias("alert")).where("alert is not null").groupBy("alert").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "alert").limit(k)
     )
 
@@ -155,8 +157,12 @@ def entropy(keyed: DataFrame, key: str = "group_key") -> DataFrame:
 
 
 def novelty_summary(sims: DataFrame, by: Sequence[str] = ("al_round",)) -> DataFrame:
-    """Per round: n, median and mean of the highest similarity, and how much of it is above 0.4 and 0.6."""
+    """Per round: n, median and mean of the highest similarity, and how much of it is above 0.4 and 0.6.
+
+    The median reads its rows twice; the checkpoint keeps that from computing similarities twice.
+    """
     share = lambda t: (F.count_if(F.col("max_sim") > t).cast("double") * 100 / F.count(F.lit(1)))
+    sims = cut_lineage(sims.select(*by, "max_sim"))
     also = {"mean": F.avg("max_sim"), "pct04": share(0.4), "pct06": share(0.6)}
     return exact_percentiles(sims, by, "max_sim", {"median": 0.5}, also)
 

@@ -13,6 +13,10 @@ SALTS = 64
 SKETCH_ACCURACY = 10_000
 # An ordered limit sends k rows per input split to one task; this many are fine there.
 SINGLE_PASS_ROWS = 2_000_000
+# A bracket of at most this many rows is ordered at once, a larger one is bracketed again.
+BAND_ROWS = 20_000_000
+_GRID = 512
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 # Groups up to this size keep all their values; the sketch's bracket is wide enough only above it.
 WHOLE_GROUP = 20_000
 
@@ -149,17 +153,24 @@ def smallest_k(
     rows = df if sound else df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
     if k * (1 + estimated_bytes(rows) // SPLIT_BYTES) <= single_pass_rows:
         return rows.orderBy(key, *ties).limit(k)
-    n = rows.count()
+    k_col = F.col(key)
+    probes = [i / _GRID for i in range(_GRID + 1)]
+    n, grid = rows.agg(F.count(F.lit(1)), F.percentile_approx(k_col, probes, SKETCH_ACCURACY)).first()
     if n <= k:
         return rows
-    slack = 4.0 / SKETCH_ACCURACY
-    probes = [max(0.0, k / n - slack), min(1.0, k / n + slack)]
-    lo, hi = rows.agg(F.percentile_approx(key, probes, SKETCH_ACCURACY)).first()[0]
-    k_col = F.col(key)
+    at = k * _GRID // n
+    lo, hi = grid[max(0, at - 1)], grid[min(_GRID, at + 2)]
     below, band = rows.agg(F.count_if(k_col < lo), F.count_if((k_col >= lo) & (k_col <= hi))).first()
     if not below <= k <= below + band:
         return rows.orderBy(key, *ties).limit(k)
-    edge = rows.where((k_col >= lo) & (k_col <= hi)).orderBy(key, *ties).limit(k - below)
+    inner, left = rows.where((k_col >= lo) & (k_col <= hi)), k - below
+    if lo == hi and ties and dict(rows.dtypes)[ties[0]] in _NUMERIC:
+        # One key fills the bracket, so the tie column decides.
+        edge = smallest_k(inner, ties[0], ties[1:], left, single_pass_rows)
+    elif band <= BAND_ROWS or band == n or lo == hi:
+        edge = inner.orderBy(key, *ties).limit(left)
+    else:
+        edge = smallest_k(inner, key, ties, left, single_pass_rows, sound=True)
     return rows.where(k_col < lo).unionByName(edge)
 
 

@@ -14,7 +14,7 @@ from assayloom.operators.joins import eligible, labels_with_features, latest_hpa
 from assayloom.operators.model import Params, best_params, score_library, search, train
 from assayloom.operators.ranking import nth_best
 from assayloom.operators.sampling import hash_sample, maxmin_partitioned, thompson
-from assayloom.runtime import table_complete
+from assayloom.runtime import cut_lineage, table_complete
 from assayloom.sinks.tables import (
     append_batch, append_round_metrics, append_scores, batch_exists, read_or_empty, write_predictions,
 )
@@ -109,7 +109,10 @@ def select_batch(spark: SparkSession, cfg: Campaign, rnd: int, compounds: DataFr
     if not table_complete(spark, path):
         write_predictions(score_library(model, fps, cfg.nbits), path)
     pred = spark.read.schema("id long, predicted float").parquet(path)
-    pool = eligible(pred, compounds, _scores(spark, cfg), _batches(spark, cfg), cfg.target, cfg.experiment_id)
+    # Drawing a large batch reads the pool several times; its joins run once.
+    pool = cut_lineage(
+        eligible(pred, compounds, _scores(spark, cfg), _batches(spark, cfg), cfg.target, cfg.experiment_id)
+    )
     if pool.limit(1).isEmpty():
         raise ValueError(f"no eligible rows for round {rnd} of {cfg.experiment_id}")
     drawn = thompson(pool, cfg.batch_size, cfg.temperature, cfg.seed, rnd)

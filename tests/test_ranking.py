@@ -75,8 +75,9 @@ def test_top_n_limits_rows_before_the_shuffle(skewed):
 
 
 @pytest.mark.parametrize("k", [1, 999, 25_000, N, N + 5])
-@pytest.mark.parametrize("single_pass", [0, 10**9])
-def test_smallest_k_both_ways(skewed, local, k, single_pass):
+@pytest.mark.parametrize("single_pass,band", [(0, 20_000_000), (0, 50), (10**9, 0)])
+def test_smallest_k_every_way(skewed, local, k, single_pass, band, monkeypatch):
+    monkeypatch.setattr(R, "BAND_ROWS", band)
     got = R.smallest_k(skewed, "score", ["id"], k, single_pass_rows=single_pass).toPandas()
     want = local.sort_values(["score", "id"]).head(k)
     assert sorted(got["id"]) == sorted(want["id"])
