@@ -35,4 +35,4 @@ def test_entry(spark):
 
     rows = e.entry(spark).collect()
     assert [r["al_round"] for r in rows] == [0, 1, 2, 3, 4, 5]
-    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
+    assert set(e.queries()) >= set(QUERIES) and set(e.oracle_sql()) >= set(SQL)
