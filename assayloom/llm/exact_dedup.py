@@ -17,6 +17,10 @@ from assayloom.runtime import work_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The number of state stores is fixed when a state is first made: one per so many rows, and one per core at least. A store has
+#: a fixed cost of several MB of files, so it does not follow the number of shuffle partitions.
+_STORES = "spark.sql.streaming.internal.stateStore.partitions"
+ROWS_PER_STORE = 4_000_000
 #: Narrow rows folded into the state by one micro-batch.
 BYTES_PER_BATCH = 64 * 2**30
 #: Copies compared against one replica of the text that stays; a larger group gets more replicas.
@@ -29,8 +33,12 @@ def sha256(text: Column) -> Column:
 
 def fold_stream(spark: SparkSession, narrow_path: str, schema, state_path: str) -> DataFrame:
     """Folds all narrow rows not yet seen into the state under state_path; returns the state, one row per digest."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    held = spark.read.schema(schema).parquet(narrow_path).count()
+    stores = max(spark.sparkContext.defaultParallelism, -(-held // ROWS_PER_STORE))
+    wanted = {_PROVIDER: _ROCKSDB, _STORES: str(stores)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_BATCH).parquet(narrow_path)
         state = rows.groupBy("digest").agg(
@@ -42,7 +50,8 @@ def fold_stream(spark: SparkSession, narrow_path: str, schema, state_path: str)
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     stored = spark.read.format("statestore").load(state_path)
     kept, total = stored.schema["value"].dataType.names
     return stored.select(
