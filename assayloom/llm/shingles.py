@@ -37,14 +37,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, index of each text's first word): data holds the UTF-8 texts back to back from `starts`.
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of all words: data holds the UTF-8 texts back to back, from the places `starts`.
 
     Words are runs without ASCII white space; A-Z count as a-z.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, _U), np.zeros(len(starts), np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]
     before = np.empty(n, bool)
     before[0] = False
@@ -61,7 +61,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     total = np.empty(n + 1, _U)
     total[0] = 0
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix((total[last] - total[first]) * down[first]), np.searchsorted(first, starts)
+    return mix((total[last] - total[first]) * down[first]), first, last
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -74,7 +74,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         many = max(1, int(np.searchsorted(ends, CHUNK_BYTES, "right")))
         data = np.frombuffer(b"".join(texts.slice(at, many).cast(pa.binary()).to_pylist()), np.uint8)
         starts = np.concatenate([[0], ends[: many - 1]]).astype(np.int64)
-        words, heads = word_hashes(data, starts)
+        words, first, _ = word_hashes(data, starts)
+        heads = np.searchsorted(first, starts)
         tails = np.append(heads[1:], len(words))
         weights = list((np.arange(n, dtype=_U) * _U(2) + _U(1)) * _U(0xD6E8FEB86659FD93))
         grams = np.zeros(max(0, len(words) - n + 1), _U)
