@@ -6,7 +6,7 @@ from importlib import import_module
 
 from assayloom.llm.registry import ORACLE, QUERIES
 
-_MODULES = ("exact_dedup", "jaccard_join", "bpe", "byte_cnn", "reply_trees", "license_scan", "pii", "mixing")
+_MODULES = ("exact_dedup", "jaccard_join", "bpe", "byte_cnn", "reply_trees", "license_scan", "pii", "token_rollup", "impact_search", "mixing")
 
 
 def llm_queries() -> dict:
