@@ -8,7 +8,8 @@ on the whole sets.
 
 Equal sets are folded first. Signatures travel as packed arrays, dealt by signature. A signature's sets are compared with
 the smallest of them; where a signature still holds more than one component, its sets are compared in blocks, pairs that
-already are in one component excepted. So no link between components is missed and no group emits all its pairs.
+already are in one component excepted. So no link between components is missed and no group emits all its pairs. Before
+whole sets travel, counts of their shingles in a few bins bound the difference from below and rule out most pairs safely.
 """
 
 from __future__ import annotations
@@ -223,55 +224,116 @@ def _buckets(sig: np.ndarray, id_: np.ndarray):
             )
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
-    """(id, shingles): the packed sets of the given ids."""
+def _sets_of(docs: DataFrame, ids: DataFrame, like: Likeness, pack) -> DataFrame:
+    """(id, packed): the packed sets of the given ids."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
-                sets = [s.tobytes() for s in shingle_sets(part.column("text"), like.n)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                sets = [pack(s) for s in shingle_sets(part.column("text"), like.n)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "packed"])
 
-    wanted = _texts(docs).join(narrow_side(ids), "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, shingles binary")
+    wanted = _texts(docs).join(narrow_side(put(ids.select("id").distinct(), "wanted")), "id", "left_semi")
+    return put(wanted.mapInArrow(run, "id long, packed binary"), "packed")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (u, v) that link."""
+def _whole(shingles: np.ndarray) -> bytes:
+    return shingles.tobytes()
+
+
+def _binned(shingles: np.ndarray) -> bytes:
+    """Size of a set and its counts in bins of the shingle domain, about two shingles a bin."""
+    bits = max(6, (len(shingles) // 2).bit_length())
+    counts = np.bincount((shingles >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.int64(len(shingles)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _bins(packed: bytes) -> tuple[int, np.ndarray]:
+    return int(np.frombuffer(packed, np.int64, 1)[0]), np.frombuffer(packed, np.uint8, offset=8).astype(np.int32)
+
+
+def _coarse(bins: np.ndarray, width: int) -> np.ndarray:
+    return bins if len(bins) == width else bins.reshape(width, -1).sum(axis=1)
+
+
+def _may_link(x: bytes, y: bytes, like: Likeness) -> bool:
+    """False only if the sets cannot link: sets differ in at least as many shingles as their counts do."""
+    (n, a), (m, b) = _bins(x), _bins(y)
+    width = min(len(a), len(b))
+    least = int(np.abs(_coarse(a, width) - _coarse(b, width)).sum())
+    return (like.over - like.under) * (n + m) >= (like.over + like.under) * least
+
+
+def _set_link(x: bytes, y: bytes, like: Likeness) -> bool:
+    return _linked(np.frombuffer(x, _U), np.frombuffer(y, _U), like)
+
+
+def _checked(pairs: DataFrame, packed: DataFrame, like: Likeness, test) -> DataFrame:
+    """The pairs (u, v) that pass a test of their packed sets."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
-                ok = [
-                    _linked(np.frombuffer(x, _U), np.frombuffer(y, _U), like)
-                    for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist())
-                ]
+                ok = [test(x, y, like) for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
                 yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+    a = packed.select(F.col("id").alias("u"), F.col("packed").alias("a"))
+    b = packed.select(F.col("id").alias("v"), F.col("packed").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _rest(buckets: DataFrame, comps: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Links inside buckets that hold several components, found block by block; pairs of one component are passed over."""
+def _cells(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (bucket, id, component, own, i, j) of the buckets that hold several components, dealt to pairs of blocks."""
     known = buckets.where("held > 2").join(comps.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left").select(
         "bucket", "id", "held", F.coalesce("component", "id").alias("component"),
     )
     open_ = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
     rows = known.join(open_, "bucket", "left_semi").withColumn("blocks", (F.col("held") / BLOCK).cast("int") + 1)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = (
+    return (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
 
+
+def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) -> DataFrame:
+    """The rows of cells that may link with a row of another component in their cell."""
+
+    def look(cell: pd.DataFrame) -> pd.DataFrame:
+        parts = [_bins(p) for p in cell["packed"]]
+        width = min(len(b) for _, b in parts)
+        sizes = np.array([n for n, _ in parts])
+        bins = np.stack([_coarse(b, width) for _, b in parts])
+        comp, block = cell["component"].to_numpy(), cell["own"].to_numpy()
+        apart = cell["i"].iloc[0] != cell["j"].iloc[0]
+        hit = np.zeros(len(cell), bool)
+        for x in range(1, len(cell)):
+            other = comp[:x] != comp[x]
+            if apart:
+                other &= block[:x] != block[x]
+            # sizes alone rule out most of a mixed cell
+            other &= like.over * np.minimum(sizes[:x], sizes[x]) >= like.under * np.maximum(sizes[:x], sizes[x])
+            at = np.flatnonzero(other)
+            if len(at):
+                least = np.abs(bins[at] - bins[x]).sum(axis=1)
+                ok = at[(like.over - like.under) * (sizes[at] + sizes[x]) >= (like.over + like.under) * least]
+                hit[ok] = True
+                hit[x] |= len(ok) > 0
+        return cell.loc[hit, ["bucket", "id", "component", "own", "i", "j"]]
+
+    kinds = "bucket long, id long, component long, own int, i int, j int"
+    return cells.join(binned, "id").groupBy("bucket", "i", "j").applyInPandas(look, kinds)
+
+
+def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Links between components, cell by cell; a pair already joined within its cell is passed over."""
+
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         ids, blocks = cell["id"].tolist(), cell["own"].tolist()
         apart = cell["i"].iloc[0] != cell["j"].iloc[0]
-        sets_ = [np.frombuffer(s, _U) for s in cell["shingles"]]
+        whole = [np.frombuffer(s, _U) for s in cell["packed"]]
         root = {c: c for c in cell["component"]}
 
         def find(c):
@@ -283,7 +345,7 @@ def _rest(buckets: DataFrame, comps: DataFrame, sets: DataFrame, like: Likeness)
         comp, out = cell["component"].tolist(), []
         for x in range(len(ids)):
             for y in range(x):
-                if not (apart and blocks[x] == blocks[y]) and find(comp[x]) != find(comp[y]) and _linked(sets_[x], sets_[y], like):
+                if not (apart and blocks[x] == blocks[y]) and find(comp[x]) != find(comp[y]) and _linked(whole[x], whole[y], like):
                     root[find(comp[x])] = find(comp[y])
                     out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["u", "v"])
@@ -315,11 +377,14 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     packed = _packed(firsts, like, parts).repartition(parts, "part")
     buckets = put(_shared(packed).dropDuplicates(["bucket", "id"]), "buckets")
     pairs = put(buckets.where("id != low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
-    sets = put(_sets_of(usable, put(buckets.select("id").distinct(), "involved"), like), "sets")
-    links = put(_checked(pairs, sets, like), "links")
+    binned = _sets_of(usable, buckets, like, _binned)
+    near = put(_checked(pairs, binned, like, _may_link), "near")
+    ends = near.select(F.col("u").alias("id")).union(near.select("v"))
+    links = put(_checked(near, _sets_of(usable, ends, like, _whole), like, _set_link), "links")
     comps = put(components(links), "components")
-    rest = put(_rest(buckets, comps, sets, like), "rest")
-    if not rest.isEmpty():
+    cells = put(_candidates_in_cells(_cells(buckets, comps), binned, like), "cells")
+    if not cells.isEmpty():
+        rest = put(_links_in_cells(cells, _sets_of(usable, cells, like, _whole), like), "rest")
         comps = put(components(links.union(rest)), "components")
     equal = copies.select(F.col("id").alias("u"), F.col("first").alias("v"))
     return _reported(keys, comps, equal)
