@@ -9,11 +9,13 @@ Everything is DataFrame operations.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.llm.registry import query
 from assayloom.llm.tables import documents, narrow_side, put
-from assayloom.runtime import work_path
+from assayloom.runtime import table_complete, work_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,16 +33,18 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def fold_stream(spark: SparkSession, narrow_path: str, schema, state_path: str) -> DataFrame:
-    """Folds all narrow rows not yet seen into the state under state_path; returns the state, one row per digest."""
-    held = spark.read.schema(schema).parquet(narrow_path).count()
+def fold_stream(spark: SparkSession, narrow_path: str, schema, state_path: str, held: int) -> DataFrame:
+    """Folds all narrow rows not yet seen into the state under state_path; returns the state, one row per digest.
+
+    held is the number of rows that a new state is laid out for.
+    """
     stores = max(spark.sparkContext.defaultParallelism, -(-held // ROWS_PER_STORE))
     wanted = {_PROVIDER: _ROCKSDB, _STORES: str(stores)}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_BATCH).parquet(narrow_path)
+        rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_BATCH).option("recursiveFileLookup", True).parquet(narrow_path)
         state = rows.groupBy("digest").agg(
             F.max(F.struct("doc_id", "place")).alias("kept"), F.sum("copies").alias("group_size"),
         )
@@ -60,13 +64,13 @@ def fold_stream(spark: SparkSession, narrow_path: str, schema, state_path: str)
     )
 
 
-def decide(docs: DataFrame, digest=sha256, state_path: str | None = None) -> DataFrame:
+def decide(docs: DataFrame, digest=sha256, state_path: str | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, digest, copies, keep_id, group_size, kept, place, keep_place.
 
     A null text counts as empty. Rows that repeat a doc_id with the same text are one document, returned once with `copies`
     rows. group_size counts rows. The largest doc_id stays; a null doc_id stays only where its group has no other. Other
     columns are not read. With a state_path, earlier runs' documents count too (then keep_id may be one of theirs), and
-    the compared texts are those of `docs`.
+    the compared texts are those of `docs`. A batch name makes a run repeatable: its rows enter the state once.
     """
     spark = docs.sparkSession
     narrow = (
@@ -76,10 +80,12 @@ def decide(docs: DataFrame, digest=sha256, state_path: str | None = None) -> Dat
         )
         .groupBy("doc_id", "digest").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
     )
-    path = work_path(spark, "digests")
-    narrow.write.parquet(path)
+    root = state_path or work_path(spark, "dedup")
+    path = f"{root}/digests/{batch or uuid.uuid4().hex}"
+    if not table_complete(spark, path):
+        narrow.write.mode("overwrite").parquet(path)
     narrow = spark.read.schema(narrow.schema).parquet(path)
-    state = fold_stream(spark, path, narrow.schema, state_path or work_path(spark, "dedup-state"))
+    state = fold_stream(spark, f"{root}/digests", narrow.schema, f"{root}/state", narrow.count())
     decided = put(
         narrow.join(state, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "decided"
     )
