@@ -34,7 +34,7 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
 #: How many of a file's rarest licence words are looked up, the share of a template's rarity that must stand in place.
-RARE_WORDS, LEAST_SHARE = 8, 0.5
+RARE_WORDS, LEAST_SHARE = 8, 0.3
 
 _LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
