@@ -135,12 +135,15 @@ def _(v):
 @query("jn_full_progress", """
     SELECT coalesce(q.al_round, d.al_round) AS al_round, coalesce(queued, 0) AS queued, coalesce(docked, 0) AS docked,
            coalesce(valid, 0) AS valid, best1, CASE WHEN coalesce(queued, 0) > 0 THEN coalesce(docked, 0) * 100.0::DOUBLE / queued END AS pct
-    FROM (SELECT round AS al_round, count(*) AS queued FROM v_batches WHERE round >= 1 GROUP BY 1) q
-    FULL JOIN (SELECT al_round, count(*) AS docked, count(score) AS valid, min(score) AS best1 FROM v_scores WHERE al_round <= 4 GROUP BY 1) d
+    FROM (SELECT round AS al_round, count(*) AS queued FROM v_batches GROUP BY 1) q
+    FULL JOIN (SELECT l_linenumber AS al_round, count(*) AS docked, count(score) AS valid, min(score) AS best1
+               FROM (SELECT l_linenumber, CASE WHEN l_returnflag <> 'R' THEN -l_extendedprice END AS score FROM lineitem) GROUP BY 1) d
       ON q.al_round = d.al_round""")
 def _(v):
-    queued = v.batches.where("round >= 1").groupBy(F.col("round").alias("al_round")).agg(F.count(F.lit(1)).alias("queued"))
-    done = v.scores.where("al_round <= 4").groupBy("al_round").agg(
+    # two tables whose rounds differ by themselves
+    queued = v.batches.groupBy(F.col("round").alias("al_round")).agg(F.count(F.lit(1)).alias("queued"))
+    score = F.when(F.col("l_returnflag") != "R", -F.col("l_extendedprice")).alias("score")
+    done = v.table("lineitem").select(F.col("l_linenumber").cast("int").alias("al_round"), score).groupBy("al_round").agg(
         F.count(F.lit(1)).alias("docked"), F.count("score").alias("valid"), F.min("score").alias("best1")
     )
     return A.full_progress(queued, done)
@@ -202,7 +205,7 @@ def _(v):
     WITH s AS (SELECT l_orderkey AS compound_id, l_returnflag AS experiment_id, l_linenumber AS al_round FROM lineitem),
     a AS (SELECT compound_id, min(al_round) AS al_round FROM s WHERE experiment_id = 'A' GROUP BY 1)
     SELECT al_round, count(*) FILTER (compound_id IN (SELECT compound_id FROM s WHERE experiment_id = 'N')) AS n_shared,
-           count(*) AS n_a, round(count(*)::DOUBLE * count(*) / (SELECT count(*) FROM orders), 6) AS expected
+           count(*) AS n_a, round(count(*)::DOUBLE * (SELECT count(DISTINCT compound_id) FROM s WHERE experiment_id = 'N')::DOUBLE / (SELECT count(*) FROM orders), 6) AS expected
     FROM a GROUP BY ROLLUP (al_round)""")
 def _(v):
     s = v.table("lineitem").select(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from assayloom import schemas
 from assayloom.catalog.registry import query
 from assayloom.catalog.sources import lang_of, write_line_files
+from assayloom.catalog.summaries import FLAGS, flags
 from assayloom.functions.text import fixed
 from assayloom.operators import aggregates as A, ingest as I
 from assayloom.plans import ingest as PI
@@ -103,7 +104,8 @@ def updates(v):
 @query("sink_update_from", BACKFILLED)
 def _(v):
     out = work_path(v.spark, "backfill")
-    K.update_from(v.compounds, updates(v), out)
+    v.compounds.write.partitionBy("tranche").parquet(out)
+    K.update_from(updates(v), out, v.compounds.schema)
     return v.spark.read.schema(schemas.COMPOUNDS).parquet(out).select("id", "zinc_id", "mw", "logp")
 
 
@@ -140,6 +142,16 @@ def _(v):
     )
 
 
+@query("sink_alert_report", f"""
+    WITH {FLAGS} SELECT f.compound_id, printf('%.3f', -length(f.text) / 1000.0::DOUBLE) AS score, CASE WHEN alerts IS NULL THEN 0 ELSE 1 END AS flagged,
+           coalesce(array_to_string(alerts, '; '), '') AS alert_names FROM f""")
+def _(v):
+    out = work_path(v.spark, "alert-report")
+    K.write_alert_report(flags(v).withColumn("score", -F.length("text") / F.lit(1000.0)), out)
+    schema = "compound_id long, score string, flagged int, alert_names string"
+    return v.spark.read.csv(out, header=True, schema=schema).fillna("", ["alert_names"])
+
+
 @query("sink_round_metrics", """
     SELECT 'T' AS target, experiment_id, cast(al_round AS int) AS round, count(score) AS n_valid, count(*) - count(score) AS n_failed,
            min(score) AS best1, round(avg(score), 6) AS mean, NULL::DOUBLE AS val_rmse FROM v_scores GROUP BY 1, 2, 3""")

@@ -68,28 +68,21 @@ def _(v):
 
 
 @query("st_queue_micro_batch", """
-    SELECT experiment_id, compound_id, score IS NOT NULL AS prepared FROM v_scores""")
+    WITH c AS (SELECT max(compound_id) AS last FROM v_scores),
+    f AS (SELECT s.*, CASE WHEN compound_id <= last // 3 THEN 0 WHEN compound_id <= last * 2 // 3 THEN 1 ELSE 2 END AS micro FROM v_scores s, c)
+    SELECT experiment_id, compound_id, score IS NOT NULL AS prepared,
+           CASE WHEN score IS NOT NULL THEN (row_number() OVER (PARTITION BY micro, score IS NULL ORDER BY compound_id) - 1) // 100 END AS batch_no
+    FROM f""")
 def _(v):
     out = work_path(v.spark, "st-queue")
     stream = result_feed(v).withColumn("prepared", F.col("score").isNotNull())
     R.queue_micro_batches(
         stream, 100, ["compound_id"], f"{out}/queue", f"{out}/failed", f"{out}/checkpoint"
     ).awaitTermination()
-    queued = v.spark.read.parquet(f"{out}/queue").select("experiment_id", "compound_id", F.lit(True).alias("prepared"))
-    failed = v.spark.read.parquet(f"{out}/failed").select("experiment_id", "compound_id", F.lit(False).alias("prepared"))
+    queued = v.spark.read.parquet(f"{out}/queue").select(
+        "experiment_id", "compound_id", F.lit(True).alias("prepared"), "batch_no"
+    )
+    failed = v.spark.read.parquet(f"{out}/failed").select(
+        "experiment_id", "compound_id", F.lit(False).alias("prepared"), F.lit(None).cast("long").alias("batch_no")
+    )
     return queued.unionByName(failed)
-
-
-@query("st_stop_file", "SELECT DISTINCT al_round, al_round >= 2 AS stop FROM v_scores WHERE al_round <= 2")
-def _(v):
-    """Rounds run until the one after which the stop file exists."""
-    stop = work_path(v.spark, "stop")
-    rounds = sorted(r[0] for r in v.scores.select("al_round").distinct().collect())
-    seen = []
-    for r in rounds:
-        if r == 2:
-            v.scores.where("al_round = 2").select("compound_id").write.parquet(stop)
-        seen.append((r, R.stop_requested(v.spark, stop)))
-        if seen[-1][1]:
-            break
-    return v.spark.createDataFrame(seen, "al_round int, stop boolean")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from assayloom.catalog.registry import query, rounded
 from assayloom.catalog.views import CATALOGUE
 from assayloom.operators import aggregates as A, features as E, similarity as Q
+from assayloom.runtime import work_path
 
 SCOPE = "target = 'T' AND experiment_id = 'exp_0'"
 NTH = ", ".join(f"max(score) FILTER (rn = {n}) AS best{n}" for n in (1, 10, 100, 1000))
@@ -91,7 +92,9 @@ def flags(v):
     docs = v.table("documents").select(
         F.col("doc_id").alias("compound_id"), (F.col("doc_id") % 6).cast("int").alias("al_round"), "text"
     )
-    return E.pattern_flags(docs, CATALOGUE)
+    path = work_path(v.spark, "catalogue")
+    v.spark.createDataFrame([(i, *c) for i, c in enumerate(CATALOGUE)], "pos int, name string, pattern string").write.parquet(path)
+    return E.pattern_flags(docs, E.read_catalogue(v.spark.read.parquet(path)))
 
 
 @query("job_pattern_flags", f"WITH {FLAGS} SELECT compound_id, al_round, coalesce(array_to_string(alerts, '; '), '') AS alert_names, alerts IS NOT NULL AS flagged FROM f")

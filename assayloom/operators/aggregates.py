@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayloom.functions.binning import bin_inside
 from assayloom.operators.filters import in_scope, valid_scores
 from assayloom.operators.ranking import exact_percentiles, nth_best, smallest_k, top_n_by_group
-from assayloom.runtime import cut_lineage
+from assayloom.runtime import cut_lineage, join_keys
 
 BEST_NS = (1, 10, 100, 1000)
 # The score thresholds and percentiles that the reports quote.
@@ -90,7 +90,7 @@ def watch_progress(batches: DataFrame, scores: DataFrame, target: str, experimen
     docked = mine.groupBy("al_round").agg(
         F.count(F.lit(1)).alias("docked"), F.count("score").alias("valid"), F.avg("score").alias("mean")
     )
-    done = docked.join(nth_best(mine, ["al_round"], "score", BEST_NS), "al_round", "left")
+    done = join_keys(docked, nth_best(mine, ["al_round"], "score", BEST_NS), ["al_round"], "left")
     return full_progress(queued, done)
 
 

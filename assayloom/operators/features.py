@@ -49,28 +49,31 @@ def fingerprints(rows: DataFrame, text: str = "text", featuriser: Callable[[Colu
     return fps.select("id", "fp", outcome.alias("outcome"))
 
 
+# A projection with more expressions than this leaves compiled code.
+PATTERNS_PER_PROJECTION = 200
+
+
 def pattern_flags(
     rows: DataFrame, catalogue: Sequence[tuple[str, str]], text: str = "text", parsable: Column | None = None
 ) -> DataFrame:
     """Adds alerts (array), alert_names ("; "-joined) and flagged.
 
     Patterns are literals, so each is compiled once per task and rows are never multiplied by the
-    catalogue. Rows that do not parse stay unflagged under the name PARSE_FAIL.
+    catalogue; a large one becomes several projections. Rows that do not parse stay unflagged under the name PARSE_FAIL.
     """
     ok = parsable if parsable is not None else F.col(text).isNotNull()
     hits = [F.when(F.col(text).rlike(regex), F.lit(name)) for name, regex in catalogue]
-    alerts = F.when(ok, F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<string>"))
-    out = spread(rows).withColumn("alerts", alerts)
+    out = spread(rows).withColumn("alerts", F.array().cast("array<string>"))
+    for at in range(0, len(hits), PATTERNS_PER_PROJECTION):
+        some = F.array_compact(F.array(*hits[at: at + PATTERNS_PER_PROJECTION]))
+        out = out.withColumn("alerts", F.when(ok, F.concat("alerts", some) if at else some).otherwise(F.col("alerts")))
     names = F.when(ok, F.array_join("alerts", "; ")).otherwise(F.lit("PARSE_FAIL"))
     return out.withColumn("alert_names", names).withColumn("flagged", F.size("alerts") > 0)
 
 
-def read_catalogue(catalogue: DataFrame, most: int = 2_000) -> list[tuple[str, str]]:
-    """The (name, regex) table as literals for pattern_flags; refuses a table too large for a plan."""
-    rows = catalogue.select("name", "pattern").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"pattern catalogue has more than {most} rows")
-    return [(r["name"], r["pattern"]) for r in rows]
+def read_catalogue(catalogue: DataFrame) -> list[tuple[str, str]]:
+    """The (pos, name, pattern) table in its order as literals for pattern_flags; it holds rules, not data."""
+    return [(r["name"], r["pattern"]) for r in catalogue.select("pos", "name", "pattern").orderBy("pos", "name").collect()]
 
 
 def default_key(text: Column) -> Column:

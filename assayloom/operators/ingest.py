@@ -58,7 +58,7 @@ def first_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """First arrivals whose key the table does not hold yet."""
-    return first_per_key(rows, key, order).join(existing.select(key).distinct(), key, "left_anti")
+    return first_per_key(rows, key, order).join(existing.select(key), key, "left_anti")
 
 
 def backfill(compounds: DataFrame, updates: DataFrame) -> DataFrame:

@@ -117,16 +117,15 @@ def search(
 ) -> DataFrame:
     """Seeded random search by mean RMSE over shuffled folds; one row per trial.
 
-    `parallelism` trials run at a time. With trials_path each finished trial is a row there, and a
-    rerun only fits the missing ones.
+    `parallelism` trials run at a time. With trials_path each finished trial is a committed folder of its own there, so
+    trials that end together cannot disturb each other, and a rerun only fits the missing ones.
     """
     spark = labelled.sparkSession
     shared_dir(spark)
     schema = "trial int, max_depth int, learning_rate double, subsample double, colsample double, " \
              "min_child int, max_trees int, cv_rmse double"
-    done = set()
-    if trials_path and table_complete(spark, trials_path):
-        done = {r["trial"] for r in spark.read.schema(schema).parquet(trials_path).select("trial").distinct().collect()}
+    folder = lambda trial: f"{trials_path}/trial-{trial}"
+    done = {t for t in range(n_trials) if trials_path and table_complete(spark, folder(t))}
     rows = _training_rows(kfold(labelled.select("id", "fp", "score"), folds, seed), nbits)
 
     def judge(trial: int) -> DataFrame:
@@ -138,14 +137,16 @@ def search(
         row = (trial, p.max_depth, p.learning_rate, p.subsample, p.colsample, p.min_child, max_trees, sum(errors) / folds)
         table = spark.createDataFrame([row], schema)
         if trials_path:
-            table.write.mode("append").parquet(trials_path)
+            table.write.mode("overwrite").parquet(folder(trial))
         return table
 
     # Threads only submit Spark jobs; the fits themselves run on the executors.
     with ThreadPool(parallelism) as pool:
         tables = pool.map(inheritable_thread_target(spark)(judge), [t for t in range(n_trials) if t not in done])
     rows.unpersist()
-    return spark.read.schema(schema).parquet(trials_path) if trials_path else union_all(tables)
+    if trials_path:
+        return spark.read.schema(schema).parquet(*[folder(t) for t in range(n_trials)])
+    return union_all(tables)
 
 
 def best_params(trials: DataFrame, max_trees: int = 5000) -> Params:

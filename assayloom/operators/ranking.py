@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayloom.runtime import SPLIT_BYTES, cut_lineage, estimated_bytes
+from assayloom.runtime import SPLIT_BYTES, cut_lineage, estimated_bytes, join_keys, small_side
 
 SALTS = 64
 SKETCH_ACCURACY = 10_000
@@ -17,8 +17,6 @@ SINGLE_PASS_ROWS = 2_000_000
 BAND_ROWS = 20_000_000
 _GRID = 512
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-# Groups up to this size keep all their values; the sketch's bracket is wide enough only above it.
-WHOLE_GROUP = 20_000
 
 
 def _col(c: str | Column) -> Column:
@@ -53,11 +51,12 @@ def nth_best(
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: str = "rank") -> DataFrame:
-    """The exact 1-based rank of every row in its group, for groups of any size.
+    """The exact 1-based rank of every row in its group, for groups of any size; NULL keys are a group.
 
     Rows are range-partitioned on (group, order), numbered inside each partition, and shifted by
     the row counts of the partitions before. Only one row per partition and group meets in a
-    window. The sorted rows are checkpointed since range bounds are sampled: both reads of them
+    window; those rows are counted and, where few, broadcast, so the ranked rows are not shuffled
+    again. The sorted rows are checkpointed since range bounds are sampled: both reads of them
     must see the same placement, also after an executor is lost.
     """
     keys = [*by, *order]
@@ -70,10 +69,10 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: st
     earlier = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    starts = runs.select(
+    starts = cut_lineage(runs.select(
         *by, "_part", "_first", F.coalesce(F.sum("_len").over(earlier), F.lit(0)).alias("_before")
-    )
-    return placed.join(starts, [*by, "_part"]).select(
+    ))
+    return join_keys(placed, small_side(starts), [*by, "_part"]).select(
         *df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(rank)
     )
 
@@ -81,27 +80,46 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: st
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, ps: dict[str, float], also: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Linear-interpolation percentiles per group, exact, plus the group size n.
+    """Linear-interpolation percentiles per group, exact, plus the group size n; NULL keys are a group.
 
     `also` adds plain aggregates of the same rows; they ride along in the first pass.
 
     The built-in exact percentile holds every distinct value of a group in one task. Here a
     bounded sketch first brackets each wanted rank; the second pass keeps values only inside a
     bracket and folds all others onto the edge below them, so the counts that meet per group are
-    about one in a thousand of its rows.
+    about one in a thousand of its rows. The sketch, one row per group, is counted and, where
+    small, broadcast: no raw row is shuffled by its group. Counts at both edges prove that every
+    wanted rank lies in its bracket; where one does not, all brackets are widened and counted again.
     """
     v = F.col(value).cast("double")
     also = also or {}
     sound = df.where(v.isNotNull() & ~F.isnan(v))
-    rows = sound.select(*by, v.alias("_v"))
     slack = 4.0 / SKETCH_ACCURACY
+    while True:
+        found = cut_lineage(_bracketed(sound, by, v, ps, also, slack))
+        if slack >= 1 or found.where(~F.col("_held")).isEmpty():
+            break
+        slack *= 16
+    out = []
+    for name, p in ps.items():
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((lo + (at - F.floor(at)) * (hi - lo)).alias(name))
+    return found.select(*by, "n", *also, *out)
+
+
+def _bracketed(
+    sound: DataFrame, by: Sequence[str], v: Column, ps: dict[str, float], also: dict[str, Column], slack: float
+) -> DataFrame:
+    """Per group: n, the values at both sides of each wanted rank, and whether the brackets held all of them."""
     probes = [q for p in ps.values() for q in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = sound.groupBy(*by).agg(
+    sketch = cut_lineage(sound.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, probes, SKETCH_ACCURACY).alias("_edges"),
         *[agg.alias(name) for name, agg in also.items()],
-    )
+    ))
+    rows = sound.select(*by, v.alias("_v"))
     if by:
-        marked = rows.join(sketch, list(by))
+        marked = join_keys(rows, small_side(sketch), list(by))
         n, edge = F.col("_n"), lambda i: F.col("_edges")[i]
     else:
         only = sketch.first()
@@ -114,28 +132,25 @@ def exact_percentiles(
             F.when(F.col("_v") > hi, hi).when(F.col("_v") >= lo, F.col("_v")).cast("double")
         )
     snapped = F.greatest(*folded) if len(folded) > 1 else folded[0]
-    snapped = F.when(n <= WHOLE_GROUP, F.col("_v")).otherwise(snapped)
+    below = [F.count_if(F.col("_v") < edge(2 * i)).alias(f"_under_{i}") for i in range(len(ps))]
+    upto_edge = [F.count_if(F.col("_v") <= edge(2 * i + 1)).alias(f"_upto_{i}") for i in range(len(ps))]
     counts = marked.groupBy(*by, n.alias("_n"), snapped.alias("_s")).agg(
-        F.count(F.lit(1)).alias("_c"), *[F.first(name).alias(name) for name in also]
+        F.count(F.lit(1)).alias("_c"), *below, *upto_edge, *[F.first(name).alias(name) for name in also]
     )
     upto = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.col("_s").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0
     )
     running = counts.withColumn("_cum", F.sum("_c").over(upto))
-    picks = []
-    for name, p in ps.items():
+    picks, held = [], F.lit(True)
+    for i, (name, p) in enumerate(ps.items()):
         at = F.lit(float(p)) * (F.col("_n") - 1)
         picks.append(F.min(F.when(F.col("_cum") > F.floor(at), F.col("_s"))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_s"))).alias(f"_hi_{name}"))
-    found = running.groupBy(*by).agg(
-        F.max("_n").alias("n"), *[F.first(name).alias(name) for name in also], *picks
+        n_max = F.lit(float(p)) * (F.max("_n") - 1)
+        held = held & (F.sum(f"_under_{i}") <= F.floor(n_max)) & (F.sum(f"_upto_{i}") > F.ceil(n_max))
+    return running.groupBy(*by).agg(
+        F.max("_n").alias("n"), F.coalesce(held, F.lit(True)).alias("_held"), *[F.first(name).alias(name) for name in also], *picks
     )
-    out = []
-    for name, p in ps.items():
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (at - F.floor(at)) * (hi - lo)).alias(name))
-    return found.select(*by, "n", *also, *out)
 
 
 def smallest_k(
@@ -162,17 +177,24 @@ def smallest_k(
     lo, hi = grid[max(0, at - 1)], grid[min(_GRID, at + 2)]
     below, band = rows.agg(F.count_if(k_col < lo), F.count_if((k_col >= lo) & (k_col <= hi))).first()
     if not below <= k <= below + band:
-        return rows.orderBy(key, *ties).limit(k)
+        return _first_by_rank(rows, [key, *ties], k)
     inner, left = rows.where((k_col >= lo) & (k_col <= hi)), k - below
     if lo == hi and ties and dict(rows.dtypes)[ties[0]] in _NUMERIC:
         # One key fills the bracket, so the tie column decides.
         edge = smallest_k(inner, ties[0], ties[1:], left, single_pass_rows)
-    elif band <= BAND_ROWS or band == n or lo == hi:
+    elif band <= BAND_ROWS:
         edge = inner.orderBy(key, *ties).limit(left)
+    elif band == n or lo == hi:
+        edge = _first_by_rank(inner, [key, *ties], left)
     else:
         edge = smallest_k(inner, key, ties, left, single_pass_rows, sound=True)
     return rows.where(k_col < lo).unionByName(edge)
 
 
+def _first_by_rank(rows: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+    """The first k rows by their exact rank: no task ever holds more than its own range."""
+    return rank_within(rows, [], order, "_r").where(F.col("_r") <= k).drop("_r")
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

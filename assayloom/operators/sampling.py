@@ -12,6 +12,7 @@ from assayloom.functions.bits import is_nonzero
 from assayloom.functions.hashing import gumbel, uniform
 from assayloom.operators.filters import negative_logit
 from assayloom.operators.ranking import rank_within, smallest_k
+from assayloom.runtime import cut_lineage, small_side
 
 
 def hash_sample(rows: DataFrame, k: int, seed: int, id_col: str = "id") -> DataFrame:
@@ -68,8 +69,8 @@ def block_per_partition(
     return rows.withColumn("part", part.cast("int")).where((local >= offset) & (local < offset + block))
 
 
-def _pick_far_apart(k: int, seed: int):
-    """Per-block helper: repeatedly take the vector farthest from all taken so far."""
+def _pick_far_apart(seed: int):
+    """Per-cell helper: repeatedly take the vector farthest from all taken so far, up to the cell's quota."""
 
     def pick(key, table):
         part = key[0].as_py()
@@ -81,7 +82,7 @@ def _pick_far_apart(k: int, seed: int):
         # One row per word: a pick then runs along contiguous memory without a block-sized copy.
         by_word = np.ascontiguousarray(vectors[order].T)
         weight = np.bitwise_count(by_word).sum(axis=0, dtype=np.int64)
-        take = min(k, len(ids))
+        take = min(table.column("quota")[0].as_py(), len(ids))
         at = int(np.random.default_rng(seed + part).integers(len(ids)))
         gap = np.full(len(ids), np.inf)
         chosen = [at]
@@ -93,27 +94,64 @@ def _pick_far_apart(k: int, seed: int):
             gap[chosen] = -1.0
             at = int(gap.argmax())
             chosen.append(at)
-        return pa.table({
-            "id": pa.array(ids[chosen], pa.int64()),
-            "part": pa.array(np.full(take, part), pa.int32()),
-            "pick": pa.array(np.arange(take), pa.int32()),
-        })
+        kept = table.take(pa.array(order[chosen][:take])).select(["part", "quota", "id", "fp"])
+        return kept.append_column("pick", pa.array(np.arange(take), pa.int32()))
 
     return pick
 
 
+def _narrowed(rows: DataFrame, block: int, seed: int) -> DataFrame:
+    """(part, quota, id, fp, pick): each part's quota of mutually distant rows, out of all its rows.
+
+    A part of more than `block` rows is cut into cells of about that many by a hash of the id, every
+    cell gives its quota, and the picks are narrowed again until one cell holds what is left.
+    """
+    level = 0
+    while True:
+        sizes = cut_lineage(rows.groupBy("part").agg(
+            F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(block), 4 * F.max("quota"))).cast("int").alias("_cells")
+        ))
+        last = sizes.where(F.col("_cells") > 1).isEmpty()
+        cell = F.pmod(F.xxhash64("id", F.lit(level)), F.col("_cells")).cast("int")
+        cells = rows.join(small_side(sizes), "part").select("part", "quota", "id", "fp", cell.alias("_cell"))
+        picked = cells.groupBy("part", "_cell").applyInArrow(
+            _pick_far_apart(seed + level), "part int, quota int, id long, fp array<long>, pick int"
+        )
+        if last:
+            return picked
+        rows, level = cut_lineage(picked), level + 1
+
+
+def maxmin_global(fps: DataFrame, k: int, block: int, seed: int) -> DataFrame:
+    """Exactly k mutually distant rows of the whole table (all, if it has fewer): id, pick.
+
+    Every row takes part: cells of at most about `block` rows give k picks each, and the picks meet again.
+    """
+    rows = fps.where(is_nonzero(F.col("fp"))).select(F.lit(0).alias("part"), F.lit(k).alias("quota"), "id", "fp")
+    return _narrowed(rows, block, seed).select("id", "pick")
+
+
 def maxmin_partitioned(
     fps: DataFrame, k: int, parts: int, block: int, seed: int, first_id: int, last_id: int
 ) -> DataFrame:
-    """k // parts mutually distant rows from a random block of each id range.
+    """Exactly k rows, mutually distant within each of `parts` equal id ranges: id, part, pick.
 
-    The choice inside a block is sequential by nature, so a task holds one block, never a whole
-    range: at most `block` vectors whatever the library holds.
+    Every row takes part. The remainder of k / parts goes to the first ranges. What ranges with too few rows leave open is
+    drawn from the rest of the table and returned under part -1; only a table of fewer than k rows gives fewer.
+    A task holds one cell of about `block` vectors, never a whole range.
     """
-    blocks = block_per_partition(fps.where(is_nonzero(F.col("fp"))), parts, block, seed, first_id, last_id)
-    return blocks.select("part", "id", "fp").groupBy("part").applyInArrow(
-        _pick_far_apart(max(1, k // parts), seed), "id long, part int, pick int"
-    )
+    rows = fps.where(is_nonzero(F.col("fp")))
+    width = max(1, (last_id - first_id + 1) // parts)
+    part = F.least(F.floor((F.col("id") - F.lit(first_id)) / width), F.lit(parts - 1)).cast("int")
+    quota = F.when(part < k % parts, F.lit(k // parts + 1)).otherwise(F.lit(k // parts))
+    ranged = rows.select(part.alias("part"), quota.cast("int").alias("quota"), "id", "fp").where("quota > 0")
+    picked = cut_lineage(_narrowed(ranged, block, seed).select("id", "part", "pick"))
+    open_ = k - picked.count()
+    if open_ <= 0:
+        return picked
+    rest = rows.join(picked.select("id"), "id", "left_anti")
+    more = maxmin_global(rest, open_, block, seed).select("id", F.lit(-1).alias("part"), "pick")
+    return picked.unionByName(more)
 
 
 def subset_points(xy: DataFrame, m: int, seed: int, id_cols: Sequence[str] = ("id",)) -> DataFrame:

@@ -22,7 +22,8 @@ def rounds_union(*tables: tuple[DataFrame, str]) -> DataFrame:
 def overlap_ids(scores: DataFrame, a: str, b: str, library_rows: int) -> DataFrame:
     """Ids labelled in both experiments: per round of the first, in total (round NULL), and by chance.
 
-    Sides are told apart by flags in one aggregate per id, so no join is needed.
+    Sides are told apart by flags in one aggregate per id, so no join is needed. Two draws of a and b rows from N share
+    a * b / N by chance.
     """
     rows = scores.where(F.col("experiment_id").isin(a, b)).select("compound_id", "experiment_id", "al_round")
     in_a, in_b = F.col("experiment_id") == a, F.col("experiment_id") == b
@@ -31,10 +32,11 @@ def overlap_ids(scores: DataFrame, a: str, b: str, library_rows: int) -> DataFra
         F.max(in_b.cast("int")).alias("_in_b"),
         F.max(in_a.cast("int")).alias("_in_a"),
     )
+    n_b = per_id.agg(F.count_if(F.col("_in_b") == 1)).first()[0]
     return (
         per_id.where(F.col("_in_a") == 1).rollup("al_round").agg(
             F.count_if(F.col("_in_b") == 1).alias("n_shared"), F.count(F.lit(1)).alias("n_a")
-        ).withColumn("expected", F.col("n_a").cast("double") * F.col("n_a") / F.lit(float(library_rows)))
+        ).withColumn("expected", F.col("n_a").cast("double") * F.lit(float(n_b)) / F.lit(float(library_rows)))
     )
 
 

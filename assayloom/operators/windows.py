@@ -13,7 +13,7 @@ from assayloom.functions.hashing import uniform
 from assayloom.operators.aggregates import BEST_NS
 from assayloom.operators.filters import valid_scores
 from assayloom.operators.ranking import nth_best, rank_within, top_n_by_group
-from assayloom.runtime import cut_lineage
+from assayloom.runtime import cut_lineage, join_keys
 
 
 def delta_best1(metrics: DataFrame, by: Sequence[str] = ("experiment_id",)) -> DataFrame:
@@ -35,9 +35,9 @@ def cumulative_best_n(
     rounds = sizes.groupBy(*by).agg(F.collect_list("al_round").alias("_rounds"))
     top = top_n_by_group(rows, [*by, "al_round"], ["score"], max(ns)).drop("rank")
     later = F.filter("_rounds", lambda r: r >= F.col("al_round"))
-    carried = top.join(rounds, list(by)).select(*by, F.explode(later).alias("at"), "score")
+    carried = join_keys(top, rounds, list(by)).select(*by, F.explode(later).alias("at"), "score")
     best = nth_best(carried, [*by, "at"], "score", ns).withColumnRenamed("at", "al_round")
-    return totals.join(best, [*by, "al_round"])
+    return join_keys(totals, best, [*by, "al_round"])
 
 
 def _running_best(ns: Sequence[int], every: int, at_end: bool):
@@ -89,7 +89,7 @@ def progress_checkpoints(
         )
     else:
         before_all = state.select(*by, "docked", "valid", "top")
-        numbered = numbered.join(before_all.select(*by, F.col("docked").alias("_d0")), list(by), "left").select(
+        numbered = join_keys(numbered, before_all.select(*by, F.col("docked").alias("_d0")), list(by), "left").select(
             *by, (F.col("_i") + F.coalesce("_d0", F.lit(0))).alias("_i"), "score"
         )
     if block_rows is None:
@@ -100,10 +100,10 @@ def progress_checkpoints(
     sizes = blocks.groupBy(*by, "_b").agg(F.count("score").alias("_valid"), F.max("_i").alias("_last"))
     so_far = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    sizes = sizes.select(
+    sizes = join_keys(sizes.select(
         *by, "_b", F.coalesce(F.sum("_valid").over(so_far), F.lit(0)).alias("_valid_here"),
         F.max("_last").over(whole).alias("_total"),
-    ).join(before_all.select(*by, "valid", "top"), list(by), "left").select(
+    ), before_all.select(*by, "valid", "top"), list(by), "left").select(
         *by, "_b", "_total", (F.col("_valid_here") + F.coalesce("valid", F.lit(0))).alias("_valid_before"),
         F.col("top").alias("_start"),
     )
@@ -124,8 +124,8 @@ def progress_checkpoints(
                 best = np.sort(np.concatenate([best, np.asarray(own, dtype=float)]))[:keep]
         return pdf[[*by, "_b"]].assign(_top=before)
 
-    before = sizes.join(tops, [*by, "_b"], "left").groupBy(*by).applyInPandas(carry, carry_schema)
-    carried = sizes.drop("_start").join(before, [*by, "_b"])
+    before = join_keys(sizes, tops, [*by, "_b"], "left").groupBy(*by).applyInPandas(carry, carry_schema)
+    carried = join_keys(sizes.drop("_start"), before, [*by, "_b"])
     out_schema = T.StructType([
         *key_fields,
         *[T.StructField(c, T.LongType()) for c in ("docked", "valid", "failed")],
@@ -150,7 +150,7 @@ def feed_state(
         )
         pool = pool.unionByName(state.select(*by, F.explode("top").alias("score")))
     tops = top_n_by_group(pool, by, ["score"], keep).groupBy(*by).agg(F.array_sort(F.collect_list("score")).alias("top"))
-    return counts.join(tops, list(by), "left").select(
+    return join_keys(counts, tops, list(by), "left").select(
         *by, "docked", "valid", F.coalesce("top", F.array().cast("array<double>")).alias("top")
     )
 

@@ -53,6 +53,9 @@ class Campaign:
         return f"{self.root}/{name}/{self.target}/{self.experiment_id}/round={rnd}"
 
 
+# The ceiling of trees in a parameter search; the final fit has its own.
+SEARCH_TREES = 2000
+
 # The keys of an experiment's config file and the fields they set.
 _CONFIG_KEYS = {
     "batch_size": "batch_size", "temperature": "temperature", "fail_threshold": "fail_threshold", "seed": "seed",
@@ -129,7 +132,9 @@ def label_batch(spark: SparkSession, cfg: Campaign, rnd: int, labels: DataFrame)
         F.current_timestamp().alias("docked_at"), F.lit(cfg.target).alias("target"),
         F.lit(cfg.experiment_id).alias("experiment_id"), F.lit(rnd).alias("al_round"),
     )
-    append_scores(scored, cfg.table("docking_scores"), f"round-{rnd}")
+    # A second go at a round writes beside the first; a go that broke off has committed nothing and is written again.
+    before = _scores(spark, cfg).where(F.col("al_round") == rnd).count()
+    append_scores(scored, cfg.table("docking_scores"), f"round-{rnd}-{before}")
 
 
 def train_round(spark: SparkSession, cfg: Campaign, rnd: int, fps: DataFrame) -> None:
@@ -142,7 +147,7 @@ def train_round(spark: SparkSession, cfg: Campaign, rnd: int, fps: DataFrame) ->
     hp_path = cfg.table(f"hparams/{cfg.target}/{cfg.experiment_id}")
     if cfg.tune_every and rnd % cfg.tune_every == 0:
         trials = search(labelled, cfg.nbits, cfg.tune_trials, cfg.tune_folds, cfg.seed,
-                        cfg.slot("trials", rnd), cfg.params.max_trees)
+                        cfg.slot("trials", rnd), min(SEARCH_TREES, cfg.params.max_trees))
         found = {k: float(v) for k, v in asdict(best_params(trials, cfg.params.max_trees)).items()}
         spark.createDataFrame([(rnd, found)], "round int, params map<string,double>").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("round").parquet(hp_path)

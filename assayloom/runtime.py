@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     already = spark.sparkContext.getCheckpointDir()
     if already:
         return already.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assayloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -67,6 +68,30 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the library's own making."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+#: A side of at most so many narrow rows may be broadcast; its rows are counted first.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast where its counted rows are few; else joins shuffle. df should be cheap to read twice."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by equal keys in which NULL equals NULL, as in a grouping; the keys come from the left side."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in keys])
+
+
 def table_complete(spark: SparkSession, path: str) -> bool:
     """True only when a write committed: the folder alone proves nothing after a crash."""
     return path_exists(spark, f"{path}/_SUCCESS")

@@ -10,7 +10,7 @@ from assayloom import schemas
 from assayloom.functions.text import joined_sorted
 from assayloom.operators.ingest import backfill, new_rows
 from assayloom.operators.ranking import rank_within
-from assayloom.runtime import path_exists, table_complete
+from assayloom.runtime import cut_lineage, join_keys, path_exists, small_side, table_complete
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -73,13 +73,30 @@ def write_quarantine(errors: DataFrame, path: str, batch: str) -> None:
     _replace_partitions(errors.withColumn("batch", F.lit(batch)), path, ["batch"])
 
 
-def update_from(compounds: DataFrame, updates: DataFrame, out: str, by: str = "tranche") -> None:
-    """Writes the library with the updates applied.
+#: Tasks that write one partition value at most.
+_WRITERS = 16
 
-    Rows go out by partition value and id hash, so a huge tranche is still many tasks.
+
+def update_from(updates: DataFrame, library: str, schema: T.StructType, by: str = "tranche") -> None:
+    """Applies the updates to a library partitioned by `by`: only partitions that hold an updated row are written again.
+
+    Rows go out by partition value and id hash, so a huge tranche is still many tasks and a task writes few tranches. The
+    new rows are fixed before any file is replaced.
     """
-    done = backfill(compounds, updates)
-    done.write.mode("overwrite").partitionBy(by).parquet(out)
+    spark = updates.sparkSession
+    rows = spark.read.schema(schema).parquet(library)
+    touched = cut_lineage(rows.join(updates.select("id"), "id", "left_semi").select(by).distinct())
+    whole = join_keys(rows, small_side(touched), [by])
+    done = cut_lineage(backfill(whole, updates))
+    dealt = done.repartition(F.col(by), F.pmod(F.xxhash64("id"), F.lit(_WRITERS)))
+    _replace_partitions(dealt, library, [by])
+
+
+def write_alert_report(hits: DataFrame, path: str) -> None:
+    """One row per hit in its order of score: id, score, whether flagged, and the names of its alerts."""
+    hits.orderBy("score", "compound_id").select(
+        "compound_id", F.format_string("%.3f", "score").alias("score"), F.col("flagged").cast("int").alias("flagged"), "alert_names",
+    ).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
 def write_fingerprints(fps: DataFrame, path: str, parts: int | None = None) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -34,8 +35,14 @@ def split_lines(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, folder: str, glob: str = "*.smi") -> DataFrame:
-    """All matching files below a folder, without each file's header line."""
+def list_files(spark: SparkSession, folder: str, glob: str = "*.smi") -> DataFrame:
+    """(file, tranche) of all matching files below a folder; no file is opened."""
+    found = spark.read.schema("value string").options(**_LINE_OPTIONS).option("pathGlobFilter", glob).csv(folder).inputFiles()
+    return spark.createDataFrame([(unquote(f),) for f in found], "file string").withColumn("tranche", tranche_name(F.col("file")))
+
+
+def read_lines(spark: SparkSession, folder: str | list[str], glob: str = "*.smi") -> DataFrame:
+    """All matching files below a folder, or the given files, without each file's header line."""
     raw = spark.read.schema("value string").options(**_LINE_OPTIONS).option("pathGlobFilter", glob).csv(folder)
     return split_lines(_raw_lines(raw))
 

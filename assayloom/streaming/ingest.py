@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assayloom.plans.ingest import write_ingested
 from assayloom.sources.files import split_lines
+from assayloom.streaming.results import feed_name
 
 
 def ingest_files(
@@ -17,7 +18,7 @@ def ingest_files(
 ) -> StreamingQuery:
     """The checkpoint's file log decides what is new; the tables are safe to write twice."""
     def each(df: DataFrame, i: int) -> None:
-        write_ingested(validate(split_lines(df)), root, f"stream-{i}")
+        write_ingested(validate(split_lines(df)), root, f"{feed_name(df.sparkSession, checkpoint)}-{i}")
 
     writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{every_seconds} seconds") if every_seconds else writer.trigger(availableNow=True)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assayloom.operators.ranking import rank_within
 from assayloom.operators.windows import feed_state, progress_checkpoints
-from assayloom.runtime import path_exists, table_complete
+from assayloom.runtime import delete_path, path_exists, table_complete
 from assayloom.sinks.tables import append_scores, write_progress_snapshot
 
 
@@ -30,9 +30,17 @@ def _start(df: DataFrame, each, checkpoint: str, every_seconds: int | None, mode
     return writer.start()
 
 
+def feed_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the checkpoint gave its query: the same after a restart, another for every other feed."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def append_results(stream: DataFrame, scores_path: str, checkpoint: str, every_seconds: int | None = None) -> StreamingQuery:
-    """One row per attempt, failed ones with a NULL score."""
-    return _start(stream, lambda df, i: append_scores(df, scores_path, f"stream-{i}"), checkpoint, every_seconds)
+    """One row per attempt, failed ones with a NULL score. Feeds that share a table keep their rows apart by name."""
+    def each(df: DataFrame, i: int) -> None:
+        append_scores(df, scores_path, f"{feed_name(df.sparkSession, checkpoint)}-{i}")
+
+    return _start(stream, each, checkpoint, every_seconds)
 
 
 def running_best(
@@ -46,13 +54,18 @@ def running_best(
     def each(df: DataFrame, i: int) -> None:
         spark = df.sparkSession
         earlier = f"{state_path}/v={i - 1}"
-        state = spark.read.parquet(earlier) if i > 0 and table_complete(spark, earlier) else None
+        if i > 0 and not table_complete(spark, earlier):
+            raise RuntimeError(f"the state before micro-batch {i} is missing: {earlier}")
+        state = spark.read.parquet(earlier) if i > 0 else None
         rows = df.select(*by, *arrival, "score").persist()
         progress_checkpoints(rows, by, arrival, every, state=state, at_end=False).write.mode("overwrite").parquet(
             f"{out}/batch={i}"
         )
         feed_state(rows, by, state).write.mode("overwrite").parquet(f"{state_path}/v={i}")
         rows.unpersist()
+        # a replay needs the state before it and no older one
+        if i > 1:
+            delete_path(spark, f"{state_path}/v={i - 2}")
 
     return _start(stream, each, checkpoint, every_seconds)
 
@@ -65,9 +78,14 @@ def live_progress(
         F.count(F.lit(1)).alias("docked"), F.count("score").alias("valid"),
         F.count_if(F.col("score").isNull()).alias("failed"), F.avg("score").alias("mean"), F.min("score").alias("best1"),
     )
-    return _start(
-        table, lambda df, i: write_progress_snapshot(df.persist(), history, latest, i), checkpoint, every_seconds, "complete"
-    )
+    def each(df: DataFrame, i: int) -> None:
+        rows = df.persist()
+        try:
+            write_progress_snapshot(rows, history, latest, i)
+        finally:
+            rows.unpersist()
+
+    return _start(table, each, checkpoint, every_seconds, "complete")
 
 
 def queue_batches(rows: DataFrame, size: int, order: Sequence[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def test_model_beats_the_mean(spark, views):
 def test_search_resumes(spark, views):
     path = work_path(spark, "trials-test")
     M.search(labelled(views), NBITS, n_trials=1, folds=2, trials_path=path, max_trees=2)
-    first = spark.read.parquet(path).collect()
+    first = spark.read.parquet(f"{path}/trial-0").collect()
     again = M.search(labelled(views), NBITS, n_trials=2, folds=2, trials_path=path, max_trees=2)
     rows = {r["trial"]: r for r in again.collect()}
     assert sorted(rows) == [0, 1] and rows[0]["cv_rmse"] == first[0]["cv_rmse"]
@@ -39,6 +39,16 @@ def test_search_resumes(spark, views):
     assert best.max_depth in {r["max_depth"] for r in rows.values()}
 
 
+def test_trials_that_end_together_are_all_kept(spark, monkeypatch):
+    """Fits are left out so that the eight trials write at the same time."""
+    rows = spark.createDataFrame([(i, [i], float(i)) for i in range(20)], "id long, fp array<long>, score double")
+    monkeypatch.setattr(M, "fit_with_patience", lambda fit, held, params, seed: (None, 1, params.learning_rate))
+    path = work_path(spark, "trials-parallel")
+    M.search(rows, NBITS, n_trials=5, folds=2, trials_path=path, parallelism=4)
+    kept = M.search(rows, NBITS, n_trials=8, folds=2, trials_path=path, parallelism=4)
+    assert sorted(r["trial"] for r in kept.collect()) == list(range(8))
+
+
 def test_trial_ranges():
     for t in range(50):
         p = M.trial_params(t, 1, 10)

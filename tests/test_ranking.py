@@ -25,18 +25,14 @@ def local(skewed):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("whole", [20_000, 0])
-def test_percentiles_equal_linear_interpolation(skewed, local, by, whole, monkeypatch):
-    monkeypatch.setattr(R, "WHOLE_GROUP", whole)
-    big = skewed.where("g = 0 or id % 2 = 0") if whole == 0 and by else skewed
-    frame = local[(local.g == 0) | (local.id % 2 == 0)] if whole == 0 and by else local
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_percentiles_equal_linear_interpolation(skewed, local, by, accuracy, monkeypatch):
+    """Also with a sketch so coarse that its first brackets miss."""
+    monkeypatch.setattr(R, "SKETCH_ACCURACY", accuracy)
     ps = {"p10": 0.1, "p50": 0.5, "p75": 0.75, "p999": 0.999, "p0": 0.0, "p100": 1.0}
-    got = {(r["g"] if by else None): r for r in R.exact_percentiles(big, by, "score", ps).collect()}
-    groups = frame.groupby("g") if by else [(None, frame)]
+    got = {(r["g"] if by else None): r for r in R.exact_percentiles(skewed, by, "score", ps).collect()}
+    groups = local.groupby("g") if by else [(None, local)]
     for key, part in groups:
-        # The bracket is only promised to hold for groups above the whole-group limit.
-        if whole == 0 and len(part) < 15_000:
-            continue
         assert got[key]["n"] == len(part)
         for name, p in ps.items():
             assert got[key][name] == pytest.approx(np.percentile(part.score, 100 * p), abs=1e-12)
@@ -88,3 +84,24 @@ def test_nth_best_is_null_in_short_groups(spark):
     rows = {r["g"]: r for r in R.nth_best(df, ["g"], "score", (1, 2)).collect()}
     assert (rows[1]["best1"], rows[1]["best2"]) == (-3.0, -1.0)
     assert (rows[2]["best1"], rows[2]["best2"]) == (-2.0, None)
+
+
+def test_null_keys_are_a_group(spark):
+    rows = spark.range(300).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 3 END AS g", "id", "cast(id AS double) AS score")
+    ranked = R.rank_within(rows, ["g"], ["id"])
+    assert ranked.count() == 300 and ranked.where("g IS NULL").agg({"rank": "max"}).first()[0] == 100
+    got = {r["g"]: (r["n"], r["mid"]) for r in R.exact_percentiles(rows, ["g"], "score", {"mid": 0.5}).collect()}
+    assert got == {None: (100, 148.5), 1: (100, 149.5), 2: (100, 150.5)}
+
+
+def test_no_raw_row_is_shuffled_by_its_group(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).selectExpr("id % 3 AS g", "id", "cast(id AS double) AS score")
+        sound = rows.where("score IS NOT NULL")
+        plan = R._bracketed(sound, ["g"], rows["score"], {"mid": 0.5}, {}, 0.01)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        ranked = R.rank_within(rows, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in ranked and "hashpartitioning" not in ranked
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

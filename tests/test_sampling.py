@@ -82,3 +82,21 @@ def test_diverse_seed_equals_a_plain_loop(spark):
             rest = [i for i in mine if i not in chosen]
             chosen.append(max(rest, key=lambda i: (gap(i), -i)))
         assert picks.id.tolist() == chosen
+
+
+def test_diverse_picks_read_every_row_and_give_exactly_k(spark):
+    rng = np.random.default_rng(3)
+    words = np.packbits(rng.random((500, 128)) < 0.3, axis=1, bitorder="little").view("<i8")
+    fps = spark.createDataFrame([(i, [int(w) for w in row]) for i, row in enumerate(words)], "id long, fp array<bigint>")
+    for k, parts in ((100, 24), (10, 24), (500, 7), (499, 3)):
+        got = P.maxmin_partitioned(fps, k, parts, 30, 1, 0, 499).toPandas()
+        assert len(got) == k == got.id.nunique()
+    # all of them in one range: the others' share is drawn from the rest
+    got = P.maxmin_partitioned(fps, 60, 4, 30, 1, 0, 1999).toPandas()
+    assert len(got) == 60 == got.id.nunique() and (got.part == -1).sum() == 45
+    assert P.maxmin_partitioned(fps, 600, 4, 30, 1, 0, 499).count() == 500
+    # one row unlike all others is found wherever it lies
+    odd = fps.withColumn("fp", F.when(F.col("id") == 333, F.expr("array(shiftleft(1L, 62), 0L)")).otherwise(F.expr("transform(fp, w -> (w & 1023) | 1)")))
+    for block in (20, 1000):
+        got = {r.id for r in P.maxmin_global(odd, 5, block, 7).collect()}
+        assert len(got) == 5 and 333 in got

@@ -57,7 +57,10 @@ def test_update_touches_both_columns_only_where_given(spark, tmp_path):
         [(1, "z", "CC", "t", None, 1.0), (2, "y", "C", "t", 5.0, 5.0), (3, "x", "", "u", None, None)], schemas.COMPOUNDS
     )
     updates = spark.createDataFrame([(1, 28.0, 0.5)], "id long, mw double, logp double")
-    K.update_from(rows, updates, str(tmp_path / "c"))
+    rows.write.partitionBy("tranche").parquet(str(tmp_path / "c"))
+    other = sorted((tmp_path / "c" / "tranche=u").glob("*.parquet"))
+    K.update_from(updates, str(tmp_path / "c"), schemas.COMPOUNDS)
+    assert sorted((tmp_path / "c" / "tranche=u").glob("*.parquet")) == other
     got = spark.read.schema(schemas.COMPOUNDS).parquet(str(tmp_path / "c")).orderBy("id").select("id", "mw", "logp").collect()
     assert [tuple(r) for r in got] == [(1, 28.0, 0.5), (2, 5.0, 5.0), (3, None, None)]
 
@@ -74,3 +77,44 @@ def test_metrics_keep_null_and_replace_a_round(spark, tmp_path):
     K.append_round_metrics(row.withColumn("best1", F.lit(2.5)), str(tmp_path / "m"))
     got = spark.read.schema(schemas.ROUND_METRICS).parquet(str(tmp_path / "m")).collect()
     assert len(got) == 1 and got[0]["best1"] == 2.5 and got[0]["val_rmse"] is None
+
+
+def test_alert_report(spark, tmp_path):
+    hits = spark.createDataFrame([(2, -1.0, True, "a; b"), (1, -2.5, False, "")], "compound_id long, score double, flagged boolean, alert_names string")
+    K.write_alert_report(hits, str(tmp_path / "r"))
+    got = spark.read.csv(str(tmp_path / "r"), header=True).collect()
+    assert [tuple(r) for r in got] == [("1", "-2.500", "0", None), ("2", "-1.000", "1", "a; b")]
+
+
+def test_ingest_opens_only_what_is_left(spark, tmp_path):
+    from assayloom.catalog.sinks import staged
+    from assayloom.plans import ingest as PI
+    from assayloom.sources.files import list_files
+
+    folder, root = tmp_path / "in", str(tmp_path / "lib")
+    (folder / "A").mkdir(parents=True)
+    (folder / "A" / "one.smi").write_text("h\n" + "".join(f"{c}b Z{i}\n" for i, c in enumerate("3456789")))
+    (folder / "A" / "empty.smi").write_text("h\n")
+    PI.ingest_folder(spark, str(folder), staged, root, "run-1")
+    status = lambda: {(r.tranche, r.status, r.batch) for r in spark.read.schema(schemas.TRANCHE_STATUS).parquet(f"{root}/tranche_status").collect()}
+    names = {r.tranche for r in list_files(spark, str(folder)).collect()}
+    assert status() == {(n, "completed", "run-1") for n in names} and len(names) == 2
+    seen = []
+    (folder / "A" / "two.smi").write_text("h\n7x Z7\nx Z20\n")
+    watched = lambda lines: staged(lines).where(F.lit(seen.append(sorted({r.file for r in lines.select("file").distinct().collect()})) is None))
+    PI.ingest_folder(spark, str(folder), watched, root, "run-2")
+    assert len(seen) == 1 and all(f.endswith("two.smi") for f in seen[0])
+    PI.ingest_folder(spark, str(folder), lambda lines: 1 / 0, root, "run-3")  # nothing is left to open
+
+    def broken(lines):
+        raise OSError("lost")
+
+    (folder / "A" / "three.smi").write_text("h\n8x Z8\n")
+    try:
+        PI.ingest_folder(spark, str(folder), broken, root, "run-4")
+    except OSError:
+        pass
+    assert {s for _, s, b in status() if b == "run-4"} == {"processing"}
+    PI.ingest_folder(spark, str(folder), staged, root, "run-4")
+    assert {s for _, s, b in status() if b == "run-4"} == {"completed"}
+    assert not (tmp_path / "lib" / "staging" / "run-4").exists()

@@ -1,5 +1,6 @@
 """A stream stopped in the middle and started again equals the batch answer."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from assayloom.operators.windows import feed_state, progress_checkpoints
@@ -88,3 +89,28 @@ def test_result_files_stream_into_the_score_table(spark, tmp_path):
     drain()
     got = spark.read.schema(schemas.SCORES).parquet(f"{t}/scores").collect()
     assert {r["compound_id"]: r["score"] for r in got} == {7: -5.0, 8: None, 9: -6.5} and len(got) == 3
+
+
+def test_feeds_and_restarts_keep_each_others_rows(spark, tmp_path):
+    t = str(tmp_path)
+    put(spark, f"{t}/one", 0, 10)
+    put(spark, f"{t}/two", 10, 25)
+    for feed, checkpoint in (("one", "ck-a"), ("two", "ck-b"), ("two", "ck-b")):
+        R.append_results(R.read_results(spark, f"{t}/{feed}", SCHEMA), f"{t}/scores", f"{t}/{checkpoint}").awaitTermination()
+    put(spark, f"{t}/one", 25, 30)
+    R.append_results(R.read_results(spark, f"{t}/one", SCHEMA), f"{t}/scores", f"{t}/ck-a").awaitTermination()
+    got = spark.read.schema(schemas.SCORES).parquet(f"{t}/scores")
+    assert sorted(r[0] for r in got.select("compound_id").collect()) == list(range(30))
+
+
+def test_many_batches_leave_few_states_and_a_missing_state_raises(spark, tmp_path):
+    t = str(tmp_path)
+    args = (["experiment_id"], ["compound_id"], f"{t}/best", f"{t}/state", f"{t}/ck")
+    for i in range(6):
+        put(spark, f"{t}/feed", 10 * i, 10 * i + 10)
+    R.running_best(R.read_results(spark, f"{t}/feed", SCHEMA, 1), *args, every=20).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=4", "v=5"]
+    (tmp_path / "state" / "v=5" / "_SUCCESS").unlink()
+    put(spark, f"{t}/feed", 60, 70)
+    with pytest.raises(Exception, match="state before micro-batch 6 is missing"):
+        R.running_best(R.read_results(spark, f"{t}/feed", SCHEMA, 1), *args, every=20).awaitTermination()
