@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from random import Random
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -78,6 +78,22 @@ def fit_with_patience(fit: DataFrame, held_out: DataFrame, params: Params, seed:
         trees = min(params.max_trees, 2 * trees)
 
 
+def first_trees(model: GBTRegressionModel, keep: int) -> GBTRegressionModel:
+    """The model of the first `keep` trees with their weights: what a fit of that size would give, without fitting again."""
+    if keep >= model.getNumTrees:
+        return model
+    context = SparkContext._active_spark_context
+    ml, trees, weights = context._jvm.org.apache.spark.ml.regression, model._java_obj.trees(), model.treeWeights
+    kept = context._gateway.new_array(ml.DecisionTreeRegressionModel, keep)
+    shares = context._gateway.new_array(context._jvm.double, keep)
+    for i in range(keep):
+        kept[i], shares[i] = trees[i], float(weights[i])
+    cut = ml.GBTRegressionModel(model.uid, kept, shares)
+    cut.setFeaturesCol(model.getFeaturesCol())
+    cut.setPredictionCol(model.getPredictionCol())
+    return GBTRegressionModel(cut)
+
+
 def train(labelled: DataFrame, nbits: int, params: Params = Params(), seed: int = 42):
     """Boosted trees on nine tenths, stopped early on the tenth drawn per score decile.
 
@@ -88,8 +104,7 @@ def train(labelled: DataFrame, nbits: int, params: Params = Params(), seed: int
     split = _training_rows(decile_split(labelled.select("id", "fp", "score"), 0.1, seed), nbits)
     fit, held_out = split.where(~F.col("is_val")), split.where("is_val")
     model, keep, val_rmse = fit_with_patience(fit, held_out, params, seed)
-    if keep < model.getNumTrees:
-        model = _regressor(params, seed, keep).fit(fit)
+    model = first_trees(model, keep)
     n_train, n_val, best = split.agg(
         F.count_if(~F.col("is_val")), F.count_if(F.col("is_val")), F.min("score")
     ).first()

@@ -129,3 +129,15 @@ def test_nothing_left_to_draw_is_an_error(spark, views):
     C.run_round(spark, cfg, 0, known, fps, labels(views))
     with pytest.raises(ValueError, match="no eligible"):
         C.run_round(spark, cfg, 1, known, fps, labels(views))
+
+
+def test_first_trees_equal_a_smaller_fit(spark, views, tmp_path):
+    rows = M._training_rows(labelled(views), NBITS)
+    large, small = (M._regressor(SMALL, 1, n).fit(rows) for n in (6, 3))
+    cut = M.first_trees(large, 3)
+    assert cut.getNumTrees == 3
+    cut.write().overwrite().save(str(tmp_path / "m"))
+    again = M.GBTRegressionModel.load(str(tmp_path / "m"))
+    for model in (cut, again):
+        got, want = ({r["id"]: r["predicted"] for r in m.transform(rows).select("id", "predicted").collect()} for m in (model, small))
+        assert got == pytest.approx(want)
