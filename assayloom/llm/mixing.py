@@ -157,7 +157,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = S
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-@query("op10_mix_sources")
+@query("op10_mix_sources", r"""
+    WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size FROM documents),
+    w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS lim
+        FROM (SELECT source, cast(sum(size) AS bigint) AS source_size, count(*) AS n_docs FROM d GROUP BY source)),
+    l AS (SELECT *, sum(source_size) OVER () - (sum(lim) OVER o - lim) AS left_, sum(weight) OVER () - (sum(weight) OVER o - weight) AS rest
+        FROM w WINDOW o AS (ORDER BY lim::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT *, left_::DOUBLE / rest AS per_weight, left_::DOUBLE / rest * weight >= lim AS stops FROM l),
+    t AS (SELECT *, CASE WHEN stops THEN lim::DOUBLE
+        ELSE (SELECT per_weight FROM p WHERE NOT stops ORDER BY left_ DESC LIMIT 1) * weight END AS target FROM p),
+    g AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS share, target - floor(ratio) * source_size AS wanted
+        FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t)),
+    r AS (SELECT d.*, source_size, target, whole, wanted, (u / (1 - u)) / (share / (1 - share) * sqrt(size / (source_size::DOUBLE / n_docs))) AS q
+        FROM (SELECT *, (cast('0x' || substr(md5(concat_ws('-', doc_id, '11', '0')), 1, 12) AS bigint) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM d) d
+        JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+    c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 THEN floor(q / (1 + q) * 1125899906842624) ELSE 1125899906842623 END, doc_id
+        ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+    n AS (SELECT *, cast(whole AS bigint) + CASE WHEN wanted > 0 AND size > 0 AND 2 * upto - size < 2 * wanted THEN 1 ELSE 0 END AS copies FROM c)
+    SELECT doc_id, size, source_size, target, size * copies AS taken, copies, source FROM n""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source",
