@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayloom.llm.registry import query
-from assayloom.llm.tables import documents
+from assayloom.llm.tables import documents, small_batches
 
 #: Words, and runs between white space, whose ids a worker keeps; when full, it starts again.
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 500_000
 _END = "\U0010fffd"
 #: Characters at which str.split() splits though the vocabulary's white space does not hold them.
 _SPLITS_MORE = regex.compile("[\x1c-\x1f]")
@@ -52,7 +52,6 @@ class Codec:
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in special.items()}
         self.special = special
         self.border = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -72,7 +71,7 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.ending: dict = {}
-        for s, t in self.vocab.items():
+        for s, t in self.vocab.items():  # states are suffixes of tokens
             if self._stands(t):
                 key = s[: -len(self.suffix)] + _END if s.endswith(self.suffix) and s != self.suffix else s
                 state = self.ending
@@ -191,12 +190,17 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: bytes | None) -> str:
-        """The tokens' strings with blanks between, as a vocabulary without a decoder gives them."""
-        if not ids:
-            return ""
-        names = self.names
-        return " ".join([names[i] for i in memoryview(ids).cast("I")])
+
+def names_of(path: str) -> dict[int, str]:
+    """The string of every id of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def joined(ids: bytes | None, names: dict[int, str]) -> str:
+    """The tokens' strings with blanks between, as a vocabulary without a decoder gives them."""
+    return " ".join([names[i] for i in memoryview(ids).cast("I")]) if ids else ""
 
 
 _CODECS: dict[str, Codec] = {}
@@ -220,6 +224,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
     A null or empty text has no tokens. Repeated rows give repeated results; other columns are not read.
     """
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
 
     def run(batches):
         tool = codec(path)
@@ -239,9 +244,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = encoded.columns
 
     def run(batches):
-        tool = codec(path)
+        names_by_id = names_of(path)
         for b in _batches(batches):
-            texts = [tool.decode(i) for i in b.column("ids").to_pylist()]
+            texts = [joined(i, names_by_id) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

@@ -10,6 +10,18 @@ from assayloom.runtime import work_path
 BROADCAST_ROWS = 200_000
 
 
+#: Sizes of the Arrow batches that whole texts travel in, where the session sets none: a batch is held several times over by
+#: an executor and its Python worker.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small from now on, unless the session has sizes of its own."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
