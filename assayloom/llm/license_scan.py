@@ -9,6 +9,7 @@ where its mandatory phrase stands at its place. Fixed phrases are labelled besid
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -54,8 +55,16 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_LETTER + "+")).cast("long")
 
 
+def _all_held(words: list[str]) -> Column:
+    """Whether a file's licence words, `held`, hold all of these: no phrase stands without its words."""
+    return F.size(F.array_except(F.array(*[F.lit(w) for w in dict.fromkeys(words)]), "held")) == 0
+
+
 def base_labels(text: Column, n_words: Column) -> Column:
-    """struct(n_base, first_word, last_word, labels): all places of the fixed phrases, by word number."""
+    """struct(n_base, first_word, last_word, labels): all places of the fixed phrases, by word number.
+
+    A text is searched only for phrases whose words it holds.
+    """
     none = F.struct(
         F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"),
         F.lit(None).cast("string").alias("label"),
@@ -69,7 +78,7 @@ def base_labels(text: Column, n_words: Column) -> Column:
             (F.size(parts) - 1).cast("long").alias("n"), count_words(F.get(parts, F.lit(0))).alias("first"),
             (n_words - len(words) - count_words(F.element_at(parts, -1))).alias("last"), F.lit(label).alias("label"),
         )
-        found.append(F.when(F.regexp_like(text, F.lit(pattern)), some).otherwise(none))
+        found.append(F.when(_all_held(words) & F.regexp_like(text, F.lit(pattern)), some).otherwise(none))
     n = found[0]["n"] + found[1]["n"] + found[2]["n"]
     return F.struct(
         n.alias("n_base"), F.least(*[f["first"] for f in found]).alias("first_word"),
@@ -96,17 +105,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare: int = RARE_WORDS, least: fl
     """
     spark = docs.sparkSession
     postings = _index(spark, templates)
-    vocabulary = sorted({w for _, _, notice in templates for w in split_words(notice)})
-    keys = "|".join(phrase_pattern(key.split()) for _, key, _ in templates)
+    vocabulary = sorted({w for _, _, notice in templates for w in split_words(notice)} | {w for p in PHRASES for w in p.split()})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # lower() also changes letters beyond A-Z, into other letters: words keep their number and places
     words = F.regexp_extract_all(F.lower("text"), F.lit(_LETTER + "+"), F.lit(0))
-    first = docs.select("doc_id", text.alias("text")).withColumn("n_words", count_words(F.col("text")))
+    first = docs.select("doc_id", text.alias("text")).withColumn("words", words).withColumn(
+        "held", F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
+    ).withColumn("n_words", F.size("words").cast("long"))
+    may_hold = reduce(lambda a, b: a | b, [_all_held(key.split()) for _, key, _ in templates])
     # the row number is fixed by writing
     rows = put(
-        first.withColumn("base", base_labels(F.col("text"), F.col("n_words"))).withColumn("words", words).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "base.*",
-            F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("held"),
-            F.when(F.regexp_like("text", F.lit(keys)), F.col("words")).alias("words"),
+        first.withColumn("base", base_labels(F.col("text"), F.col("n_words"))).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "base.*", "held",
+            F.when(may_hold, F.col("words")).alias("words"),
         ), "license-rows",
     )
     rarity = _rarity(rows, vocabulary)
