@@ -23,7 +23,7 @@ from assayloom.llm.registry import query
 from assayloom.llm.tables import documents, small_batches
 
 #: Words, and runs between white space, whose ids a worker keeps; when full, it starts again.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 350_000
 CACHED_PAIRS = 500_000
 _END = "\U0010fffd"
 #: Characters at which str.split() splits though the vocabulary's white space does not hold them.

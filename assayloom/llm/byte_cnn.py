@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.llm.registry import query
 from assayloom.llm.shingles import word_hashes
-from assayloom.llm.tables import documents
+from assayloom.llm.tables import documents, small_batches
 
 CHUNK, OVERLAP = 512, 32
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 8, 32, 16
@@ -187,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
         return (n1 + 1) / (n0 + n1 + 2)
+    small_batches(docs.sparkSession)
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
@@ -227,6 +229,7 @@ def score(docs: DataFrame, model: Network | float, keep: list[str]) -> DataFrame
                 cols = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(values, pa.float64())], names=[*keep, "score"])
 
+    small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     return rows.mapInArrow(run, f"{kinds}, score double")
@@ -235,13 +238,15 @@ def score(docs: DataFrame, model: Network | float, keep: list[str]) -> DataFrame
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least `least`, columns as they are."""
     model = train(docs, labels)
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    small_batches(docs.sparkSession)
+    wrapped = docs.select(F.struct(*docs.columns).alias("row"))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                texts = [(t or "").encode("utf-8", "replace") for t in part.column("text").to_pylist()]
+                held = pc.struct_field(part.column("row"), "text")
+                texts = [(t or "").encode("utf-8", "replace") for t in held.to_pylist()]
                 values = model.scores(texts) if isinstance(model, Network) else np.full(len(texts), model)
                 yield part.select(["row"]).filter(pa.array(values >= least))
 
