@@ -25,16 +25,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayloom.llm.components import components
 from assayloom.llm.registry import query
 from assayloom.llm.shingles import mix, shingle_sets
-from assayloom.llm.tables import documents, narrow_side, put
+from assayloom.llm.tables import documents, narrow_side, put, small_batches
 
 _U = np.uint64
 #: Signatures that one task sorts; the number of parts they are dealt to follows from the sum of all set sizes.
-SIGNATURES_PER_TASK = 2_000_000
+SIGNATURES_PER_TASK = 500_000
 #: Signatures a task gathers before it hands them on, packed.
-SIGNATURES_PER_PACK = 1_000_000
+SIGNATURES_PER_PACK = 300_000
 #: Sets of one block of a large signature.
 BLOCK = 256
 _ROWS = 512
+#: Bins of pairs that are compared at once.
+_COMPARED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -176,26 +178,26 @@ def _packed(rows: DataFrame, like: Likeness, parts: int) -> DataFrame:
 
 
 def _shared(packed: DataFrame) -> DataFrame:
-    """(bucket, id, low, held): each set of ids that share a signature, once per part, with its smallest id and its size."""
+    """(bucket, id, low, held): each set of ids that share a signature, once per part, with its smallest id and its size.
+
+    The packs come sorted by part, so a task holds one part at a time.
+    """
 
     def run(batches):
-        sigs, ids, parts = [], [], []
+        sigs, ids, part = [], [], None
         for b in batches:
             for p, s, r, i in zip(*[b.column(c).to_pylist() for c in ("part", "sigs", "rows", "ids")]):
-                n = len(s) // 6
+                if p != part and sigs:
+                    yield from _buckets(np.concatenate(sigs), np.concatenate(ids))
+                    sigs, ids = [], []
+                part, n = p, len(s) // 6
                 low = np.frombuffer(s, np.uint32, n).astype(_U)
                 high = np.frombuffer(s, np.uint16, n, 4 * n).astype(_U)
                 where = np.frombuffer(r, np.uint16 if len(r) == 2 * n else np.uint32)
                 sigs.append(high << _U(32) | low)
                 ids.append(np.frombuffer(i, np.int64)[where])
-                parts.append(np.full(n, p, np.int32))
-        if not sigs:
-            return
-        sig, id_, part = np.concatenate(sigs), np.concatenate(ids), np.concatenate(parts)
-        del sigs, ids, parts
-        for p in np.unique(part):
-            own = part == p
-            yield from _buckets(sig[own], id_[own])
+        if sigs:
+            yield from _buckets(np.concatenate(sigs), np.concatenate(ids))
 
     return packed.mapInArrow(run, "bucket long, id long, low long, held long")
 
@@ -309,18 +311,20 @@ def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) ->
         comp, block = cell["component"].to_numpy(), cell["own"].to_numpy()
         apart = cell["i"].iloc[0] != cell["j"].iloc[0]
         hit = np.zeros(len(cell), bool)
-        for x in range(1, len(cell)):
-            other = comp[:x] != comp[x]
-            if apart:
-                other &= block[:x] != block[x]
-            # sizes alone rule out most of a mixed cell
-            other &= like.over * np.minimum(sizes[:x], sizes[x]) >= like.under * np.maximum(sizes[:x], sizes[x])
-            at = np.flatnonzero(other)
-            if len(at):
-                least = np.abs(bins[at] - bins[x]).sum(axis=1)
-                ok = at[(like.over - like.under) * (sizes[at] + sizes[x]) >= (like.over + like.under) * least]
-                hit[ok] = True
-                hit[x] |= len(ok) > 0
+        other = np.triu(comp[:, None] != comp[None, :], 1)
+        if apart:
+            other &= block[:, None] != block[None, :]
+        # sizes alone rule out most of a mixed cell, then a few coarse bins, then all bins
+        other &= like.over * np.minimum.outer(sizes, sizes) >= like.under * np.maximum.outer(sizes, sizes)
+        x, y = np.nonzero(other)
+        for layer in (bins.reshape(len(bins), 64, -1).sum(axis=2, dtype=np.int32), bins):
+            keep, step = np.zeros(len(x), bool), max(1, _COMPARED // layer.shape[1])
+            for at in range(0, len(x), step):
+                i, j = x[at: at + step], y[at: at + step]
+                least = np.abs(layer[i] - layer[j]).sum(axis=1)
+                keep[at: at + step] = (like.over - like.under) * (sizes[i] + sizes[j]) >= (like.over + like.under) * least
+            x, y = x[keep], y[keep]
+        hit[x], hit[y] = True, True
         return cell.loc[hit, ["bucket", "id", "component", "own", "i", "j"]]
 
     kinds = "bucket long, id long, component long, own int, i int, j int"
@@ -362,6 +366,7 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     """
     like = Likeness(n, under, over)
     spark = docs.sparkSession
+    small_batches(spark)
     keys = put(set_keys(docs, like), "set-keys")
     whole = keys.where("id IS NOT NULL AND n_shingles > 0")
     folded = whole.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
@@ -374,7 +379,7 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     parts = max(width, int(held * 0.6) // SIGNATURES_PER_TASK + 1)
     usable = docs.where("doc_id IS NOT NULL")
     firsts = _texts(usable).join(narrow_side(copies.select("id").distinct()), "id", "left_anti")
-    packed = _packed(firsts, like, parts).repartition(parts, "part")
+    packed = _packed(firsts, like, parts).repartition(parts, "part").sortWithinPartitions("part")
     buckets = put(_shared(packed).dropDuplicates(["bucket", "id"]), "buckets")
     pairs = put(buckets.where("id != low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
     binned = _sets_of(usable, buckets, like, _binned)
