@@ -255,6 +255,20 @@ def _bins(packed: bytes) -> tuple[int, np.ndarray]:
     return int(np.frombuffer(packed, np.int64, 1)[0]), np.frombuffer(packed, np.uint8, offset=8).astype(np.int32)
 
 
+def _few_bins(binned: DataFrame) -> DataFrame:
+    """The binned sets with 64 bins each: few bytes for the many rows of mixed buckets, and a bound from below as well."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for p in b.column("packed").to_pylist():
+                n, bins = _bins(p)
+                out.append(np.int64(n).tobytes() + np.minimum(_coarse(bins, 64), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "packed"])
+
+    return binned.mapInArrow(run, "id long, packed binary")
+
+
 def _coarse(bins: np.ndarray, width: int) -> np.ndarray:
     return bins if len(bins) == width else bins.reshape(width, -1).sum(axis=1)
 
@@ -387,7 +401,8 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     ends = near.select(F.col("u").alias("id")).union(near.select("v"))
     links = put(_checked(near, _sets_of(usable, ends, like, _whole), like, _set_link), "links")
     comps = put(components(links), "components")
-    cells = put(_candidates_in_cells(_cells(buckets, comps), binned, like), "cells")
+    mixed = put(_candidates_in_cells(_cells(buckets, comps), put(_few_bins(binned), "few-bins"), like), "mixed")
+    cells = put(_candidates_in_cells(mixed, binned, like), "cells")
     if not cells.isEmpty():
         rest = put(_links_in_cells(cells, _sets_of(usable, cells, like, _whole), like), "rest")
         comps = put(components(links.union(rest)), "components")
