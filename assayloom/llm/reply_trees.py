@@ -35,27 +35,32 @@ def _unescape_role(role: Column) -> Column:
 
 
 def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of jumps by 1, 2, 4 ... messages, and per message its depth and the sum of scores from its root on."""
+    """Tables of jumps by 1, 2, 4 ... messages, and per message its depth and the sum of scores from its root on.
+
+    A message whose jumps have come to its root is done and joins no more, so later rounds hold only deep messages.
+    """
     known = messages.select(F.col("conv").alias("k_conv"), F.col("msg").alias("k_msg"))
-    step = messages.join(
+    step = put(messages.join(
         known, messages["conv"].eqNullSafe(known["k_conv"]) & (messages["parent"] == known["k_msg"]), "left"
-    ).select("conv", "msg", F.col("k_msg").alias("up"), F.lit(1).cast("long").alias("far"), F.col("score").alias("sum"))
-    tables, left = [put(step, "jump")], None
+    ).select("conv", "msg", F.col("k_msg").alias("up"), F.lit(1).cast("long").alias("far"), F.col("score").alias("sum")), "jump")
+    done, tables, left = step.where("up IS NULL"), [], None
     while True:
-        now = tables[-1].where("up IS NOT NULL").count()
+        open_ = step.where("up IS NOT NULL")
+        now = open_.count()
         if now == 0 or now == left:
             break
         left = now
-        low, high = tables[-1], tables[-1].select(
+        tables.append(open_)
+        high = done.union(open_).select(
             F.col("conv").alias("h_conv"), F.col("msg").alias("h_msg"), F.col("up").alias("h_up"), F.col("far").alias("h_far"),
             F.col("sum").alias("h_sum"),
         )
-        joined = low.join(high, low["conv"].eqNullSafe(high["h_conv"]) & (low["up"] == high["h_msg"]), "left")
-        tables.append(put(joined.select(
-            "conv", "msg", F.col("h_up").alias("up"), (F.col("far") + F.coalesce("h_far", F.lit(0))).alias("far"),
-            (F.col("sum") + F.coalesce("h_sum", F.lit(0.0))).alias("sum"),
-        ), "jump"))
-    return tables[:-1], tables[-1].where("up IS NULL").select("conv", "msg", (F.col("far") - 1).alias("depth"), "sum")
+        joined = open_.join(high, open_["conv"].eqNullSafe(high["h_conv"]) & (open_["up"] == high["h_msg"]))
+        step = put(joined.select(
+            "conv", "msg", F.col("h_up").alias("up"), (F.col("far") + F.col("h_far")).alias("far"), (F.col("sum") + F.col("h_sum")).alias("sum"),
+        ), "jump")
+        done = done.union(step.where("up IS NULL"))
+    return tables, done.select("conv", "msg", (F.col("far") - 1).alias("depth"), "sum")
 
 
 def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -73,7 +78,7 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     marked = put(chosen.select("conv", F.col("msg").alias("leaf"), "rank", F.col("sum").alias("total"), "msg", F.col("depth").alias("place")), "marked")
     for i in range(len(jumps) - 1, -1, -1):
-        up = jumps[i].where("up IS NOT NULL").select(F.col("conv").alias("u_conv"), F.col("msg").alias("u_msg"), "up")
+        up = jumps[i].select(F.col("conv").alias("u_conv"), F.col("msg").alias("u_msg"), "up")
         climbed = marked.join(up, marked["conv"].eqNullSafe(up["u_conv"]) & (marked["msg"] == up["u_msg"])).select(
             "conv", "leaf", "rank", "total", F.col("up").alias("msg"), (F.col("place") - 2**i).alias("place"),
         )
