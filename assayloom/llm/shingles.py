@@ -79,8 +79,9 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         tails = np.append(heads[1:], len(words))
         weights = list((np.arange(n, dtype=_U) * _U(2) + _U(1)) * _U(0xD6E8FEB86659FD93))
         grams = np.zeros(max(0, len(words) - n + 1), _U)
-        for i, w in enumerate(weights):
-            grams += (words[i: len(words) - n + 1 + i] ^ _U(i)) * w
+        if len(words) >= n:
+            for i, w in enumerate(weights):
+                grams += (words[i: len(words) - n + 1 + i] ^ _U(i)) * w
         grams = mix(grams)
         for a, b in zip(heads.tolist(), tails.tolist()):
             if b - a >= n:

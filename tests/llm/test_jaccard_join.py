@@ -59,6 +59,13 @@ def test_blocks_find_links_that_the_smallest_member_lacks(docs_of, monkeypatch):
     assert got == brute(texts, 4, 85, 100)
 
 
+@pytest.mark.parametrize("n", [4, 5])
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d"])
+def test_a_short_text_hashed_alone(docs_of, text, n):
+    got = [tuple(r) for r in J.similar_groups(docs_of([text]), n, 80, 100).collect()]
+    assert got == [(0, 1, 0)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 900), st.integers(0, 10**6), st.sampled_from([(85, 100), (80, 100), (4, 5), (9, 10)]))
 def test_similar_sets_share_a_signature(size, seed, ratio):
