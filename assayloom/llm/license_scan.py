@@ -1,15 +1,15 @@
 """License scans with a positional index of rare words.
 
 Notice templates are indexed as postings (word, template, position). The rarity of the templates' words is counted over all
-documents. Of each file the rarest licence words are looked up; the difference of their position in the file and in the
-template is the same for all words of one notice, so postings are intersected by that difference. A template counts only
+documents. A template can stand only in a file that holds all words of its mandatory phrase; of each such template the
+rarest words of that phrase are looked up, whatever else the file holds. The difference of their position in the file and in
+the template is the same for all words of one notice, so postings are intersected by that difference. A template counts only
 where its mandatory phrase stands at its place. Fixed phrases are labelled besides. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,7 +34,7 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
-#: How many of a file's rarest licence words are looked up, the share of a template's rarity that must stand in place.
+#: How many of a mandatory phrase's rarest words are looked up, the share of a template's rarity that must stand in place.
 RARE_WORDS, LEAST_SHARE = 8, 0.3
 
 _LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -112,12 +112,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare: int = RARE_WORDS, least: fl
     first = docs.select("doc_id", text.alias("text")).withColumn("words", words).withColumn(
         "held", F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
     ).withColumn("n_words", F.size("words").cast("long"))
-    may_hold = reduce(lambda a, b: a | b, [_all_held(key.split()) for _, key, _ in templates])
+    # the templates that can stand: a lookup of their own words misses none of them
+    could = F.array_compact(F.array(*[F.when(_all_held(key.split()), F.lit(t)) for t, (_, key, _) in enumerate(templates)]))
     # the row number is fixed by writing
     rows = put(
-        first.withColumn("base", base_labels(F.col("text"), F.col("n_words"))).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "base.*", "held",
-            F.when(may_hold, F.col("words")).alias("words"),
+        first.withColumn("base", base_labels(F.col("text"), F.col("n_words"))).withColumn("could", could).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "base.*", "held", "could",
+            F.when(F.size("could") > 0, F.col("words")).alias("words"),
         ), "license-rows",
     )
     rarity = _rarity(rows, vocabulary)
@@ -146,27 +147,31 @@ def _rarity(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
 def _aligned(rows: DataFrame, postings: DataFrame, rarity: DataFrame, rare: int, least: float) -> DataFrame:
     """(row, found, share): labels of the templates that stand in place, for rows with a mandatory phrase."""
     rarity = F.broadcast(rarity)  # one row per word of the templates
-    table = F.broadcast(postings.join(rarity, "word").withColumnRenamed("word", "p_word"))
-    files = rows.where("words IS NOT NULL").select("row", "words", "held")
-    ranked = files.select("row", F.explode("held").alias("word")).join(rarity, "word").groupBy("row").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("i"), "word"))), 1, rare).alias("rarest"),
-    ).select(F.col("row").alias("r_row"), F.transform("rarest", lambda x: x["word"]).alias("rarest"))
-    places = files.join(ranked, F.col("row") == F.col("r_row")).select("row", "rarest", F.posexplode("words").alias("pos", "word"))
-    hits = places.where(F.array_contains("rarest", F.col("word"))).join(table, F.col("word") == F.col("p_word"))
+    known = postings.join(rarity, "word")
+    # the rarest words of each mandatory phrase, at all their places in it: wherever the phrase stands, all of them do
+    in_key = known.where((F.col("at") >= F.col("key_at")) & (F.col("at") < F.col("key_at") + F.size("key")))
+    ranked = in_key.groupBy("template").agg(
+        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("idf")).alias("i"), "word"))), 1, rare).alias("rarest"),
+    ).select(F.col("template").alias("r_template"), F.transform("rarest", lambda x: x["word"]).alias("rarest"))
+    looked = in_key.join(ranked, F.col("template") == F.col("r_template")).where(F.array_contains("rarest", F.col("word")))
+    table = F.broadcast(looked.withColumnRenamed("word", "p_word"))
+    needed = looked.groupBy("template").agg(F.count("*").alias("needed"))
+    files = rows.where("words IS NOT NULL").select("row", "words", "could")
+    places = files.select("row", "could", F.posexplode("words").alias("pos", "word"))
+    hits = places.join(table, F.col("word") == F.col("p_word")).where(F.array_contains("could", F.col("template")))
     shifts = hits.groupBy("row", "template", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.sum("idf").alias("weight"), F.first("label").alias("label"), F.first("words").alias("t_words"),
+        F.count("*").alias("met"), F.first("label").alias("label"), F.first("words").alias("t_words"),
         F.first("key").alias("key"), F.first("key_at").alias("key_at"),
-    )
-    whole = postings.join(rarity, "word").groupBy("template").agg(F.sum("idf").alias("all"), F.collect_list(F.struct("word", "idf")).alias("weights"))
+    ).join(F.broadcast(needed), "template").where("met = needed")
+    whole = known.groupBy("template").agg(F.sum("idf").alias("all"), F.collect_list(F.struct("word", "idf")).alias("weights"))
     checked = shifts.join(F.broadcast(whole), "template").join(files.select(F.col("row").alias("w_row"), "words"), F.col("row") == F.col("w_row"))
     stands = F.slice("words", F.col("shift") + F.col("key_at") + 1, F.size("key")) == F.col("key")
-    inside = F.col("shift") + F.col("key_at") >= 0
     idf = F.map_from_entries(F.array_distinct("weights"))
     placed = F.aggregate(
         F.zip_with("t_words", F.sequence(F.lit(0), F.size("t_words") - 1), lambda w, i: F.when(F.get(F.col("words"), F.col("shift") + i) == w, idf[w]).otherwise(0.0)),
         F.lit(0.0), lambda a, x: a + x,
     )
-    kept = checked.where(inside & stands).withColumn("share", F.least(F.lit(1.0), placed / F.col("all"))).where(F.col("share") >= least)
+    kept = checked.where(stands).withColumn("share", F.least(F.lit(1.0), placed / F.col("all"))).where(F.col("share") >= least)
     return kept.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
 

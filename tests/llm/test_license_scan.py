@@ -39,6 +39,26 @@ def test_base_and_labels(docs_of):
     assert "gpl-3.0" in got[12].labels
 
 
+NOTICE = {label: notice for label, _, notice in reversed(L.TEMPLATES)}
+SEVERAL = [
+    ("bsd", "mit"), ("bsd", "isc", "apache-2.0", "mit"), ("mpl-2.0", "gpl-2.0", "cc-by-nc-4.0", "mit", "apache-2.0"),
+    tuple(sorted(NOTICE)),
+]
+
+
+def test_every_notice_of_a_text_is_found(docs_of):
+    texts = ["\n".join(NOTICE[x] for x in several) for several in SEVERAL]
+    long_mit = next(n for label, key, n in L.TEMPLATES if key.startswith("permission is hereby"))
+    texts.append(" ".join([long_mit, NOTICE["cc-by-nc-4.0"], NOTICE["apache-2.0"]]))
+    # rarer words of a notice that stand elsewhere do not hide its mandatory phrase
+    texts.append("software associated documentation restriction deal obtaining copy files " * 3 + long_mit)
+    wanted = [*SEVERAL, ("mit", "cc-by-nc-4.0", "apache-2.0"), ("mit",)]
+    common = [NOTICE[x] for x in ("mit", "cc-by-nc-4.0", "apache-2.0") for _ in range(20)]
+    got = {r.doc_id: r.labels for r in L.scan(docs_of(texts + common)).collect()}
+    for i, labels in enumerate(wanted):
+        assert set(got[i]) - set(L.PHRASES.values()) == set(labels), texts[i]
+
+
 def test_whole_table(spark, folder):
     got = {r.doc_id: r for r in L.op7(spark, folder).collect()}
     for i, text in duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall():
