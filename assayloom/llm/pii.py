@@ -1,7 +1,7 @@
 """Personal data: fixed shapes, and contextual extraction bootstrapped from them.
 
-Entities of known shape are the seeds. The words around them are lexical patterns; tokens that look like identifiers are
-instances. Patterns and instances score each other over a few rounds: a pattern is as good as the share of its instances
+Entities of known shape are the seeds, each with its whole text. The words before them are lexical patterns; seeds, and
+tokens that look like identifiers, are instances. Patterns and instances score each other over a few rounds: a pattern is as good as the share of its instances
 that are believed, an instance as good as the best pattern that holds it. Patterns above a threshold then mark every
 identifier they surround, also those of no known shape. Everything is DataFrame operations.
 """
@@ -26,15 +26,23 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
 #: What may be an identifier: at least eight characters with a digit among them.
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+"
+#: What ends a context: another instance, or what is as good as one. Its words are no pattern.
+_OTHER = rf"\S*@\S*|[0-9]++(?:\.[0-9]++){{3}}|[0-9]{{4,}}+|{TOKEN}"
 #: Rounds, the least number of different instances of a pattern, the confidence from which it is believed, and the doubt
 #: that is added to its instances.
 ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE, DOUBT = 3, 3, 0.7, 1.0
 
 
+def _context(gap: Column) -> Column:
+    """Up to two words before an instance, with what touches it, since the instance before: the lexical pattern."""
+    words = F.regexp_extract(gap, r"(?<!\S)((?:\S++\s++){0,2}+\S*+)\z", 1)
+    return F.lower(F.ltrim(F.element_at(F.split(words, _OTHER, -1), -1)))
+
+
 def _matches(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<start, stop, hit>> of all matches, in code points; `hint` is a cheap necessary condition."""
+    """array<struct<start, stop, hit, context>> of all matches, in code points; `hint` is a cheap necessary condition."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:bigint,stop:bigint,hit:string,tail:string>>"
+    kind = "array<struct<start:bigint,stop:bigint,hit:string,context:string>>"
     pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
@@ -42,7 +50,7 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
         a = acc["at"] + F.length(x["g"])
         b = a + F.length(x["h"])
         one = F.struct(
-            a.alias("start"), b.alias("stop"), x["h"].alias("hit"), F.right(x["g"], F.lit(40)).alias("tail"),
+            a.alias("start"), b.alias("stop"), x["h"].alias("hit"), _context(x["g"]).alias("context"),
         )
         return F.struct(b.alias("at"), F.array_append(acc["out"], one).alias("out"))
 
@@ -68,11 +76,14 @@ def _valid(kind: str, hit: Column) -> Column:
 
 def _kind_spans(matches: Column, place: int, kind: str) -> Column:
     good = F.filter(matches, lambda m: _valid(kind, m["hit"]))
-    return F.transform(good, lambda m: _span(m["start"], F.lit(place), m["stop"], F.lit(kind)))
+    return F.transform(good, lambda m: F.struct(
+        m["start"].alias("start"), F.lit(place).alias("place"), m["stop"].alias("stop"), F.lit(kind).alias("kind"),
+        m["context"].alias("context"), m["hit"].alias("hit"),
+    ))
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, place, stop, kind>> of the fixed kinds, by start, then kind as listed."""
+    """array<struct<start, place, stop, kind, context, hit>> of the fixed kinds, by start, then kind as listed."""
     hints = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     each = []
@@ -89,29 +100,36 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def _context(tail: Column) -> Column:
-    """Up to two words before a token, with what touches it: the lexical pattern."""
-    return F.lower(F.regexp_extract(tail, r"((?:\S+\s+){0,2}\S*)$", 1))
-
-
 def seen_in(docs: DataFrame) -> DataFrame:
-    """Written rows (row, doc_id, base, tokens): base spans, and identifier tokens as (start, stop, context, token, seed)."""
+    """Written rows (row, doc_id, base, tokens): base spans, and instances as (start, stop, context, token, seed, inside).
+
+    Instances are the base spans, whole and with their kind as seed, and the identifier tokens that touch none of them.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    # a token inside a base span has that span's kind as its seed
+    rows = docs.select("doc_id", text.alias("text")).withColumn("found", base_spans(F.col("text")))
+    known = F.transform(
+        "found",
+        lambda b: F.struct(
+            b["start"].alias("start"), b["stop"].alias("stop"), b["context"].alias("context"), b["hit"].alias("token"),
+            b["kind"].alias("seed"), F.lit(True).alias("inside"),
+        ),
+    )
+    outside = F.filter(
+        _matches(F.col("text"), TOKEN, "[0-9]"), lambda m: ~F.exists("found", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+    )
     tokens = F.transform(
-        _matches(F.col("text"), TOKEN, "[0-9]"),
+        outside,
         lambda m: F.struct(
-            m["start"].alias("start"), m["stop"].alias("stop"), _context(m["tail"]).alias("context"), m["hit"].alias("token"),
-            F.coalesce(
-                F.get(F.filter("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"])), F.lit(0))["kind"],
-                F.when(F.regexp_like(m["hit"], F.lit(SECRET)), F.lit("secret")),
-            ).alias("seed"),
-            F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])).alias("inside"),
+            m["start"].alias("start"), m["stop"].alias("stop"), m["context"].alias("context"), m["hit"].alias("token"),
+            F.when(F.regexp_like(m["hit"], F.lit(SECRET)), F.lit("secret")).alias("seed"), F.lit(False).alias("inside"),
         ),
     )
+    base = F.transform("found", lambda b: _span(b["start"], b["place"], b["stop"], b["kind"]))
     # the row number is fixed by writing
-    return put(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", tokens.alias("tokens")), "pii-rows")
+    return put(
+        rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), F.concat(known, tokens).alias("tokens")),
+        "pii-rows",
+    )
 
 
 def learn_patterns(

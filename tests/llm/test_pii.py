@@ -61,6 +61,28 @@ def test_patterns_find_what_has_no_known_shape(docs_of):
     assert spans[8] == [("secret", 13, 29)] and not spans[9] and not spans[10] and not spans[11]
 
 
+BOOTSTRAP = {
+    "email": ("please mail ", lambda i: f"user{chr(97 + i)}@site.org"), "ip": ("the host ", lambda i: f"10.0.0.{i}"),
+    "card": ("card number: ", lambda i: next(f"4111 1111 11{i:02d} {k:04d}" for k in range(10) if luhn(f"4111111111{i:02d}{k:04d}"))),
+    "phone": ("call me: ", lambda i: f"+1 (974) 555-34{i:02d}"),
+    "secret": ('a very long key before it, token="', lambda i: hashlib.sha1(str(i).encode()).hexdigest()),
+}
+
+
+def test_every_kind_bootstraps_a_pattern(docs_of):
+    texts = [f"we said {before}{one(i)} today" for before, one in BOOTSTRAP.values() for i in range(8)]
+    new = [f"we said {before}ZX-99817-QQ-1234 today" for before, _ in BOOTSTRAP.values()]
+    far = "x" * 60 + "\u00e9="  # what touches a token counts whole, however long
+    texts += [far + hashlib.sha1(f"far{i}".encode()).hexdigest() for i in range(8)]
+    clean = ["x" * 50 + "\u00e9=ZX-99817-QQ-1234", "serial ZX-99817-AA-1234"]
+    spans = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in P.find(docs_of(texts + new + clean)).collect()}
+    for i, (kind, (before, _)) in enumerate(BOOTSTRAP.items()):
+        at = len("we said ") + len(before)
+        assert spans[len(texts) + i] == [(kind, at, at + 16)], kind
+        assert {s[0] for j in range(8 * i, 8 * i + 8) for s in spans[j]} == {kind}
+    assert not spans[len(texts) + 5] and not spans[len(texts) + 6]
+
+
 def test_a_common_context_of_mixed_tokens_is_not_believed(docs_of):
     texts = [f"the code {i:08d}x" for i in range(30)] + ["the code " + "a1" * 20]
     spans = {r.doc_id: r.spans for r in P.find(docs_of(texts)).collect()}
