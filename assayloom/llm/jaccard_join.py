@@ -371,6 +371,20 @@ def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFr
     return cells.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
 
 
+def _firsts(docs: DataFrame, whole: DataFrame, several: DataFrame, copies: DataFrame, like: Likeness) -> DataFrame:
+    """(id, text) without the texts whose set a smaller id has; a doc_id with different sets keeps those it is the first of."""
+    sets = F.struct("k1", "k2", "n_shingles")
+    varied = put(whole.groupBy("id").agg(F.min(sets).alias("x"), F.max(sets).alias("y")).where("x != y").select("id"), "varied")
+    texts = _texts(docs)
+    once = texts.join(narrow_side(put(copies.select("id").union(varied).distinct(), "not-once")), "id", "left_anti")
+    if varied.isEmpty():
+        return once
+    some = put(texts.join(narrow_side(varied), "id", "left_semi").withColumn("row", F.monotonically_increasing_id()), "varied-texts")
+    keys = put(set_keys(some.select(F.col("row").alias("doc_id"), "text"), like).withColumnRenamed("id", "row"), "varied-keys")
+    later = keys.join(some.select("row", F.col("id")), "row").join(several, ["k1", "k2", "n_shingles"]).where("id != first")
+    return once.union(some.join(narrow_side(put(later.select("row"), "varied-copies")), "row", "left_anti").select("id", "text"))
+
+
 def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -392,7 +406,7 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, int(held * 0.6) // SIGNATURES_PER_TASK + 1)
     usable = docs.where("doc_id IS NOT NULL")
-    firsts = _texts(usable).join(narrow_side(copies.select("id").distinct()), "id", "left_anti")
+    firsts = _firsts(usable, whole, several, copies, like)
     packed = _packed(firsts, like, parts).repartition(parts, "part").sortWithinPartitions("part")
     buckets = put(_shared(packed).dropDuplicates(["bucket", "id"]), "buckets")
     pairs = put(buckets.where("id != low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
@@ -414,7 +428,7 @@ def _reported(keys: DataFrame, comps: DataFrame, equal: DataFrame) -> DataFrame:
     """Puts every row under its component: through the first row of equal sets where it is not that row itself."""
     twice = equal.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n"))
     comps = comps.select(F.col("id").alias("c_id"), "component")
-    if not twice.where("n > 1").isEmpty() or not equal.join(equal.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
+    if not twice.where("n > 1").isEmpty() or not equal.join(equal.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty() or not equal.join(comps, F.col("u") == F.col("c_id"), "left_semi").isEmpty():
         # a doc_id with several texts ties their classes together
         edges = equal.union(comps.select("c_id", "component"))
         comps = put(components(edges), "components").select(F.col("id").alias("c_id"), "component")

@@ -96,6 +96,18 @@ def test_odd_rows(docs_of):
     assert J.similar_groups(docs.where("false"), 4, 85, 100).count() == 0
 
 
+def test_a_doc_id_with_a_copy_and_a_text_of_its_own(docs_of):
+    a, b = "a b c d e", " ".join(f"w{i}" for i in range(60))
+    c = " ".join(f"v{i}" for i in range(60))
+    docs = docs_of([
+        (1, a, "s"), (4, a, "s"), (4, b, "s"), (7, b + " x", "s"), (2, a + " z", "s"),
+        (20, "p q r s t", "s"), (21, "p q r s t", "s"), (21, c, "s"), (22, c, "s"), (23, c + " x", "s"), (30, c + " q r s t u v w x y z a b c d", "s"),
+    ])
+    got = sorted({(r.doc_id, r.component_id) for r in J.similar_groups(docs, 4, 85, 100).collect()})
+    assert got == [(1, 1), (2, 2), (4, 1), (7, 1), (20, 20), (21, 20), (22, 20), (23, 20), (30, 30)]
+    assert sorted({r.doc_id for r in J.keep_one(docs, 4, 85, 100).collect()}) == [1, 2, 20, 30]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.sql("SELECT 900L AS u, 901L AS v"))
     got = {r.id: r.component for r in C.components(edges).collect()}
