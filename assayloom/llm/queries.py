@@ -6,7 +6,10 @@ from importlib import import_module
 
 from assayloom.llm.registry import ORACLE, QUERIES
 
-_MODULES = ("exact_dedup", "jaccard_join", "bpe", "byte_cnn", "reply_trees", "license_scan", "pii", "token_rollup", "impact_search", "mixing")
+_MODULES = (
+    "exact_dedup", "jaccard_join", "bpe", "byte_cnn", "reply_trees", "license_scan", "pii", "token_rollup", "impact_search", "mixing",
+    "collocations",
+)
 
 
 def llm_queries() -> dict:

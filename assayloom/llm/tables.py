@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayloom.runtime import work_path
@@ -22,6 +25,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what is run inside, unless the session has sizes of its own; its settings come back after."""
+    ours = [key for key in _BATCHES if spark.conf.get(key, None) is None]
+    for key in ours:
+        spark.conf.set(key, _BATCHES[key])
+    try:
+        yield
+    finally:
+        for key in ours:
+            spark.conf.unset(key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
