@@ -8,7 +8,7 @@ from assayloom.llm.registry import ORACLE, QUERIES
 
 _MODULES = (
     "exact_dedup", "jaccard_join", "bpe", "byte_cnn", "reply_trees", "license_scan", "pii", "token_rollup", "impact_search", "mixing",
-    "collocations",
+    "hnsw", "prefix_trie", "collocations",
 )
 
 
