@@ -49,8 +49,31 @@ def test_rows(docs_of):
     assert bpe.encode(docs.where("false"), PATH).count() == 0
 
 
-def test_caches_start_again(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+def test_caches_let_old_entries_go(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 1500)
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 2)
     tool = bpe.Codec(PATH)
-    for text in ("one two three four five", "six seven one two", "one nine"):
+    for text in ("one two three four five", "six seven one two", "one nine", "x" * 5000, "one six", "two", "ten one"):
         assert tool.encode(text) == expected(text)[0]
+        assert tool.runs.held <= 1500 + 21_000 and len(tool.runs.new) + len(tool.runs.old) < 15
+
+
+def test_one_pass_and_odd_names(spark, docs_of):
+    docs = docs_of(["x y", None, "x y"]).selectExpr("*", "1 AS `a.b`", "'k' AS decoded")
+    got = bpe.encode(docs, PATH, ["doc_id", "a.b"], decoded=True)
+    assert got.columns == ["doc_id", "a.b", "n_tokens", "ids", "decoded"]
+    assert [(r.doc_id, r[1], bytes(r.ids), r.decoded) for r in got.orderBy("doc_id").collect()] == [
+        (0, 1, *expected("x y")), (1, 1, b"", ""), (2, 1, *expected("x y")),
+    ]
+    null = got.selectExpr("doc_id", "IF(doc_id = 0, NULL, ids) AS ids")
+    assert {r.doc_id: r.decoded for r in bpe.decode(null, PATH).collect()} == {0: "", 1: "", 2: expected("x y")[1]}
+
+
+def test_automaton_links_lead_to_shorter_tokens():
+    tool = bpe.codec(PATH)
+    names = {0: ""}
+    for step, at in sorted(tool.next.items(), key=lambda e: e[1]):
+        names[at] = names[step >> 21] + chr(step & 0x1FFFFF)
+    for at in range(1, len(names), 97):
+        assert len(names[at]) == tool.length[at] and names[at].endswith(names[tool.fail[at]]) and tool.fail[at] != at
+        assert tool.link[at] == 0 or tool.token[tool.link[at]] >= 0
