@@ -9,7 +9,7 @@ from assayloom.catalog.sources import lang_of, write_line_files
 from assayloom.catalog.windowed import CHECKPOINTS
 from assayloom.runtime import work_path
 from assayloom.sources.files import stream_lines
-from assayloom.streaming import ingest as SI, results as R
+from assayloom.streaming import ingest as SI, queue as Q, results as R
 
 
 def result_feed(v, chunks: int = 3):
@@ -68,21 +68,19 @@ def _(v):
 
 
 @query("st_queue_micro_batch", """
-    WITH c AS (SELECT max(compound_id) AS last FROM v_scores),
-    f AS (SELECT s.*, CASE WHEN compound_id <= last // 3 THEN 0 WHEN compound_id <= last * 2 // 3 THEN 1 ELSE 2 END AS micro FROM v_scores s, c)
     SELECT experiment_id, compound_id, score IS NOT NULL AS prepared,
-           CASE WHEN score IS NOT NULL THEN (row_number() OVER (PARTITION BY micro, score IS NULL ORDER BY compound_id) - 1) // 100 END AS batch_no
-    FROM f""")
+           CASE WHEN score IS NOT NULL THEN (row_number() OVER (PARTITION BY score IS NULL ORDER BY compound_id) - 1) // 100 END AS batch_no
+    FROM v_scores""")
 def _(v):
     out = work_path(v.spark, "st-queue")
     stream = result_feed(v).withColumn("prepared", F.col("score").isNotNull())
-    R.queue_micro_batches(
-        stream, 100, ["compound_id"], f"{out}/queue", f"{out}/failed", f"{out}/checkpoint"
+    order = ["compound_id"]
+    Q.queue_micro_batches(
+        stream, 100, order, f"{out}/queue", f"{out}/failed", f"{out}/state", f"{out}/checkpoint"
     ).awaitTermination()
-    queued = v.spark.read.parquet(f"{out}/queue").select(
-        "experiment_id", "compound_id", F.lit(True).alias("prepared"), "batch_no"
-    )
+    Q.finish_queue(v.spark, stream.schema, 100, order, f"{out}/queue", f"{out}/state")
+    queued = v.spark.read.parquet(f"{out}/queue").select("experiment_id", "compound_id", "prepared", "batch_no")
     failed = v.spark.read.parquet(f"{out}/failed").select(
-        "experiment_id", "compound_id", F.lit(False).alias("prepared"), F.lit(None).cast("long").alias("batch_no")
+        "experiment_id", "compound_id", "prepared", F.lit(None).cast("long").alias("batch_no")
     )
     return queued.unionByName(failed)

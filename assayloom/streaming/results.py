@@ -1,4 +1,4 @@
-"""Result feeds as streams: append, running best, live progress, queue batches.
+"""Result feeds as streams: append, running best, live progress.
 
 Every sink writes under its micro-batch number, so a batch replayed after a failure replaces what
 it wrote before. Hot feeds are aggregated as ordinary batch jobs inside foreachBatch: keyed
@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from assayloom.operators.ranking import rank_within
 from assayloom.operators.windows import feed_state, progress_checkpoints
 from assayloom.runtime import delete_path, path_exists, table_complete
 from assayloom.sinks.tables import append_scores, write_progress_snapshot
@@ -88,26 +87,6 @@ def live_progress(
     return _start(table, each, checkpoint, every_seconds, "complete")
 
 
-def queue_batches(rows: DataFrame, size: int, order: Sequence[str]) -> DataFrame:
-    """Successes numbered into batches of `size` in order."""
-    ranked = rank_within(rows, [], order, "_r")
-    return ranked.withColumn("batch_no", F.floor((F.col("_r") - 1) / size)).drop("_r")
-
-
-def queue_micro_batches(
-    stream: DataFrame, size: int, order: Sequence[str], queue_path: str, failed_path: str, checkpoint: str,
-    every_seconds: int | None = None,
-) -> StreamingQuery:
-    """Prepared rows go to the queue in batches; rows that failed preparation bypass it."""
-    def each(df: DataFrame, i: int) -> None:
-        rows = df.persist()
-        queue_batches(rows.where(F.col("prepared")), size, order).write.mode("overwrite").parquet(f"{queue_path}/micro={i}")
-        rows.where(~F.col("prepared")).write.mode("overwrite").parquet(f"{failed_path}/micro={i}")
-        rows.unpersist()
-
-    return _start(stream, each, checkpoint, every_seconds)
-
-
 def stop_requested(spark: SparkSession, path: str | None) -> bool:
     """True once someone created the stop file."""
     return path is not None and path_exists(spark, path)
