@@ -176,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     """The network fitted on labelled rows that are not held out; a plain probability where a class has no rows.
 
     Of each class the `per_class` rows with the smallest hash of their id take part, and of each row up to `most_chunks`
-    chunks spread evenly over the text. The share of the classes is counted over all labelled rows. Ids with contradicting
-    labels and labels other than 0 and 1 are left out.
+    chunks spread evenly over the text. The share of the classes is counted over all labelled rows. Of rows that share
+    an id the smallest text counts, so no id brings more than one row. Ids with contradicting labels and labels other than
+    0 and 1 are left out.
     """
     known = (
         labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -205,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("label"), pa.array(out, pa.binary())], names=["id", "label", "held"])
 
     # at most 2 * per_class narrow rows
-    sample = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__id", "label", "text")
+    sample = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id", "label").agg(F.min("text").alias("text"))
     held = sample.mapInArrow(cut, "id long, label int, held binary").collect()
     held.sort(key=lambda r: (r["id"], bytes(r["held"])))
     rows = [(np.frombuffer(r["held"], np.int16).reshape(-1, CHUNK), r["label"]) for r in held]
@@ -239,7 +240,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     """The rows of docs whose score is at least `least`, columns as they are."""
     model = train(docs, labels)
     small_batches(docs.sparkSession)
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"))
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches):
         for b in batches:
@@ -250,7 +251,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
                 values = model.scores(texts) if isinstance(model, Network) else np.full(len(texts), model)
                 yield part.select(["row"]).filter(pa.array(values >= least))
 
-    return wrapped.mapInArrow(run, f"row {wrapped.schema['row'].dataType.simpleString()}").select("row.*")
+    return wrapped.mapInArrow(run, wrapped.schema).select("row.*")
 
 
 @query("op8_byte_cnn")

@@ -4,7 +4,7 @@ Sets are put into bands of like sizes; a set takes part in its own band and the
 meet in one. In a band, similar sets differ in at most k shingles. The shingle domain is cut into first-level parts, each into
 second-level parts; a signature is one first-level part without one of its second-level parts. Since some first-level part
 holds at most one of the k differences, similar sets share a signature. Sharing one proves nothing: every link is checked
-on the whole sets.
+on the whole sets. Shingles go by 64-bit hashes of their words, which have no algebra that texts could meet on.
 
 Equal sets are folded first. Signatures travel as packed arrays, dealt by signature. A signature's sets are compared with
 the smallest of them; where a signature still holds more than one component, its sets are compared in blocks, pairs that
@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -314,24 +313,46 @@ def _cells(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
+def _by_cell(rows: DataFrame, look, kinds: str) -> DataFrame:
+    """look(cell) of each (bucket, i, j): its rows meet in one task and are cut out of sorted batches, with no frame per cell."""
+    key = ["bucket", "i", "j"]
+
+    def run(batches):
+        open_ = None
+        for b in batches:
+            table = pa.Table.from_batches([*(open_ or []), b]).combine_chunks()
+            values = [table.column(c).to_numpy() for c in key]
+            new = np.zeros(table.num_rows, bool)
+            for v in values:
+                new[1:] |= v[1:] != v[:-1]
+            heads = np.append(0, np.flatnonzero(new))
+            if len(heads) > 1:
+                yield from look(table.slice(0, heads[-1]), heads[:-1])
+            open_ = table.slice(heads[-1]).to_batches()
+        if open_:
+            table = pa.Table.from_batches(open_)
+            yield from look(table, np.zeros(1, np.int64))
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, kinds)
+
+
 def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) -> DataFrame:
     """The rows of cells that may link with a row of another component in their cell."""
 
-    def look(cell: pd.DataFrame) -> pd.DataFrame:
-        parts = [_bins(p) for p in cell["packed"]]
-        width = min(len(b) for _, b in parts)
-        sizes = np.array([n for n, _ in parts])
-        bins = np.stack([_coarse(b, width) for _, b in parts])
-        comp, block = cell["component"].to_numpy(), cell["own"].to_numpy()
-        apart = cell["i"].iloc[0] != cell["j"].iloc[0]
-        hit = np.zeros(len(cell), bool)
+    def hits(sizes: np.ndarray, packed: list[bytes], comp: np.ndarray, block: np.ndarray, apart: bool) -> np.ndarray:
         other = np.triu(comp[:, None] != comp[None, :], 1)
         if apart:
             other &= block[:, None] != block[None, :]
         # sizes alone rule out most of a mixed cell, then a few coarse bins, then all bins
         other &= like.over * np.minimum.outer(sizes, sizes) >= like.under * np.maximum.outer(sizes, sizes)
+        hit = np.zeros(len(sizes), bool)
         x, y = np.nonzero(other)
-        for layer in (bins.reshape(len(bins), 64, -1).sum(axis=2, dtype=np.int32), bins):
+        if not len(x):
+            return hit
+        parts = [_bins(p)[1] for p in packed]
+        width = min(len(b) for b in parts)
+        bins = np.stack([_coarse(b, width) for b in parts])
+        for layer in (bins.reshape(len(bins), 64, -1).sum(axis=2, dtype=np.int32), bins)[: 1 + (width > 64)]:
             keep, step = np.zeros(len(x), bool), max(1, _COMPARED // layer.shape[1])
             for at in range(0, len(x), step):
                 i, j = x[at: at + step], y[at: at + step]
@@ -339,20 +360,29 @@ def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) ->
                 keep[at: at + step] = (like.over - like.under) * (sizes[i] + sizes[j]) >= (like.over + like.under) * least
             x, y = x[keep], y[keep]
         hit[x], hit[y] = True, True
-        return cell.loc[hit, ["bucket", "id", "component", "own", "i", "j"]]
-
+        return hit
+
+    def look(table: pa.Table, heads: np.ndarray):
+        packed = table.column("packed").to_pylist()
+        sizes = np.array([int.from_bytes(p[:8], "little") for p in packed])
+        comp, block = table.column("component").to_numpy(), table.column("own").to_numpy()
+        apart = (table.column("i").to_numpy() != table.column("j").to_numpy()).tolist()
+        hit = np.zeros(table.num_rows, bool)
+        for a, z in zip(heads.tolist(), [*heads.tolist()[1:], table.num_rows]):
+            if z - a > 1:
+                hit[a:z] = hits(sizes[a:z], packed[a:z], comp[a:z], block[a:z], apart[a])
+        yield from table.drop_columns(["packed"]).filter(pa.array(hit)).to_batches()
+
+    columns = ["bucket", "id", "component", "own", "i", "j"]
     kinds = "bucket long, id long, component long, own int, i int, j int"
-    return cells.join(binned, "id").groupBy("bucket", "i", "j").applyInPandas(look, kinds)
+    return _by_cell(cells.join(binned, "id").select(*columns, "packed"), look, kinds)
 
 
 def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links between components, cell by cell; a pair already joined within its cell is passed over."""
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        ids, blocks = cell["id"].tolist(), cell["own"].tolist()
-        apart = cell["i"].iloc[0] != cell["j"].iloc[0]
-        whole = [np.frombuffer(s, _U) for s in cell["packed"]]
-        root = {c: c for c in cell["component"]}
+    def links(ids: list, comp: list, blocks: list, whole: list, apart: bool) -> list[tuple]:
+        root, out = {c: c for c in comp}, []
 
         def find(c):
             while root[c] != c:
@@ -360,15 +390,23 @@ def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFr
                 c = root[c]
             return c
 
-        comp, out = cell["component"].tolist(), []
         for x in range(len(ids)):
             for y in range(x):
                 if not (apart and blocks[x] == blocks[y]) and find(comp[x]) != find(comp[y]) and _linked(whole[x], whole[y], like):
                     root[find(comp[x])] = find(comp[y])
                     out.append((ids[x], ids[y]))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return cells.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
+        return out
+
+    def look(table: pa.Table, heads: np.ndarray):
+        ids, comp, blocks, i, j, packed = [table.column(c).to_pylist() for c in ("id", "component", "own", "i", "j", "packed")]
+        whole, out = [np.frombuffer(p, _U) for p in packed], []
+        for a, z in zip(heads.tolist(), [*heads.tolist()[1:], len(ids)]):
+            out += links(ids[a:z], comp[a:z], blocks[a:z], whole[a:z], i[a] != j[a])
+        u, v = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    columns = ["bucket", "id", "component", "own", "i", "j"]
+    return _by_cell(cells.join(sets, "id").select(*columns, "packed"), look, "u long, v long")
 
 
 def _firsts(docs: DataFrame, whole: DataFrame, several: DataFrame, copies: DataFrame, like: Likeness) -> DataFrame:

@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = S
     """The mix itself: every row of docs as often as the mix takes it, columns as they are."""
     _, sources = plan(docs, weights, most, seed)
     wide = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"),
     )
     taken = _copies(wide, sources, seed).where("copies > 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +21,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BYTE[ord("A"): ord("Z") + 1] = _BYTE[ord("a"): ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"): ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, _U)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+#: Words of more bytes go through a digest, the others through rounds of eight bytes.
+_ROUNDS = 16
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends) of all words: data holds the UTF-8 texts back to back, from the places `starts`.
 
-    Words are runs without ASCII white space; A-Z count as a-z.
+    Words are runs without ASCII white space; A-Z count as a-z. A hash takes a word's length and its bytes eight at a time,
+    scrambled after each, so it has no algebra by which different words come to one value.
     """
     n = len(data)
     if not n:
@@ -57,11 +50,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     inner = starts[(starts > 0) & (starts < n)]
     after[inner - 1] = False
     last = np.flatnonzero(solid & ~after) + 1
-    up, down = _powers(n)
-    total = np.empty(n + 1, _U)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix((total[last] - total[first]) * down[first]), first, last
+    lower = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eights = np.ndarray((n,), "<u8", lower, 0, (1,))
+    size = (last - first).astype(_U)
+    hashes = mix(size * _U(0x9E3779B97F4A7C15))
+    left, at, rows = size.copy(), first.copy(), np.arange(len(first))
+    for _ in range(_ROUNDS):
+        block = eights[at]
+        short = left < _U(8)
+        block[short] &= (_U(1) << (left[short] * _U(8))) - _U(1)
+        hashes[rows] = mix(hashes[rows] ^ block)
+        more = left > _U(8)
+        if not more.any():
+            break
+        left, at, rows = left[more] - _U(8), at[more] + 8, rows[more]
+    else:
+        for i in rows.tolist():
+            hashes[i] = np.frombuffer(blake2b(lower[first[i]: last[i]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return hashes, first, last
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:

@@ -88,3 +88,10 @@ def test_held_out_rows_never_teach(spark):
     flipped = labels.withColumn("quality", F.when(N.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     one, two = N.train(docs, labels, 40, 2), N.train(docs, flipped, 40, 2)
     assert np.array_equal(one.conv, two.conv) and one.prior == two.prior
+
+
+def test_names_with_dots_and_repeated_ids(spark, docs_of):
+    docs = docs_of([(i % 4, "good words here" if i % 2 else "zz zz zz", "s") for i in range(40)]).selectExpr("*", "7 AS `a.b`")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    out = N.keep_good(docs, labels, 0.0)
+    assert out.columns == docs.columns and out.count() == 40 and {r[-1] for r in out.collect()} == {7}

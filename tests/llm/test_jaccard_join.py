@@ -112,3 +112,38 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.sql("SELECT 900L AS u, 901L AS v"))
     got = {r.id: r.component for r in C.components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+def test_words_that_meet_under_polynomial_hashes_stay_apart(docs_of):
+    """The word of Thue and Morse and its mirror have one polynomial hash modulo 2^64, whatever the base."""
+    texts = []
+    for bits in (10, 11, 12):
+        marks = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        texts += ["".join("ab"[m] for m in marks), "".join("ba"[m] for m in marks)]
+    got = {r.doc_id: r.component_id for r in J.similar_groups(docs_of(texts), 4, 85, 100).collect()}
+    assert got == {i: i for i in range(6)}
+
+
+def test_word_hashes_take_every_byte_and_the_length():
+    from assayloom.llm.shingles import word_hashes
+
+    words = [b"x" * n for n in range(1, 300)] + [b"x" * n + b"y" for n in range(0, 299)] + [b"y" + b"x" * n for n in range(1, 299)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    hashes, first, last = word_hashes(data, np.zeros(1, np.int64))
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    again, _, _ = word_hashes(np.frombuffer(b" ".join(words).upper(), np.uint8), np.zeros(1, np.int64))
+    assert (again == hashes).all() and [data[a:z].tobytes() for a, z in zip(first, last)] == words
+
+
+def test_a_very_long_text(docs_of):
+    """Texts beyond the size that is hashed together, one of them a single word."""
+    long = " ".join(f"w{i % 70_000}" for i in range(300_000))
+    got = [tuple(r)[1:] for r in J.similar_groups(docs_of([long, long + " tail", "z" * 3_000_000, "a b c d e"]), 4, 85, 100).orderBy("doc_id").collect()]
+    assert got == [(70_000, 0), (70_001, 0), (1, 2), (2, 3)]
+
+
+def test_one_signature_of_a_third_of_all_rows(docs_of):
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*base, f"own{i}"]) for i in range(60)] + [" ".join(f"t{i}x{j}" for j in range(30)) for i in range(120)]
+    got = [r.component_id for r in J.similar_groups(docs_of(texts), 4, 85, 100).orderBy("doc_id").collect()]
+    assert got == [0] * 60 + list(range(60, 180))

@@ -78,3 +78,9 @@ def test_odd_tables(docs_of):
     assert len(odd) == 4 and {r.source_size for r in odd} == {4, 3}
     same = {r.copies for r in odd if r.doc_id == 1}
     assert len(same) == 1
+
+
+def test_names_with_dots(docs_of):
+    docs = docs_of([(0, "a b c", "x"), (1, "d", "y")]).selectExpr("*", "7 AS `a.b`")
+    out = M.mix(docs)
+    assert out.columns == docs.columns and {r[-1] for r in out.collect()} == {7}
