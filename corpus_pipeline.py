@@ -32,8 +32,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids (binary, little-endian 32-bit) and the hash of the text they decode to."""
     path = bpe.vocabulary()
-    encoded = bpe.encode(docs, path, ["doc_id", "lang", "source"])
-    return bpe.decode(encoded, path).select(
+    encoded = bpe.encode(docs, path, ["doc_id", "lang", "source"], decoded=True)
+    return encoded.select(
         "doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
