@@ -11,6 +11,7 @@ from assayloom.operators import aggregates as A, ingest as I
 from assayloom.plans import ingest as PI
 from assayloom.runtime import work_path
 from assayloom.sinks import tables as K
+from assayloom.sinks.keyed import insert_first, read_keyed
 from assayloom.sources import tables as T
 
 
@@ -42,10 +43,10 @@ def _(v):
     out = work_path(v.spark, "library")
     rows = v.compounds.select("zinc_id", "id", "tranche")
     schema = rows.schema
-    K.insert_ignore(rows.where("tranche like 'en/%'"), out, "zinc_id", ["tranche", "id"], schema)
-    K.insert_ignore(rows, out, "zinc_id", ["tranche", "id"], schema)
-    K.insert_ignore(rows, out, "zinc_id", ["tranche", "id"], schema)
-    return v.spark.read.schema(schema).parquet(out)
+    insert_first(rows.where("tranche like 'en/%'"), out, "zinc_id", ["tranche", "id"], schema)
+    insert_first(rows, out, "zinc_id", ["tranche", "id"], schema)
+    insert_first(rows, out, "zinc_id", ["tranche", "id"], schema)
+    return read_keyed(v.spark, out, schema)
 
 
 def staged(lines):
@@ -81,7 +82,7 @@ LINES = """
     FROM g WHERE rn = 1""")
 def _(v):
     root = ingested(v, "smi-library")
-    library = v.spark.read.schema(schemas.COMPOUNDS).parquet(f"{root}/compounds")
+    library = read_keyed(v.spark, f"{root}/compounds", schemas.COMPOUNDS)
     return library.select("id", "zinc_id", "smiles", lang_of(F.concat("tranche", F.lit("/"))).alias("lang"), "mw", "logp")
 
 

@@ -8,6 +8,7 @@ from assayloom.catalog.sinks import LINES, staged
 from assayloom.catalog.sources import lang_of, write_line_files
 from assayloom.catalog.windowed import CHECKPOINTS
 from assayloom.runtime import work_path
+from assayloom.sinks.keyed import read_keyed
 from assayloom.sources.files import stream_lines
 from assayloom.streaming import ingest as SI, queue as Q, results as R
 
@@ -60,7 +61,7 @@ def _(v):
     folder = write_line_files(v, "st-smi", line)
     SI.ingest_files(stream_lines(v.spark, folder, files_per_trigger=8), staged, out, f"{out}/checkpoint").awaitTermination()
     # How often each library key was offered; every offered key is in the library once.
-    library = v.spark.read.schema(schemas.COMPOUNDS).parquet(f"{out}/compounds").select("zinc_id")
+    library = read_keyed(v.spark, f"{out}/compounds", schemas.COMPOUNDS).select("zinc_id")
     offered = v.table("documents").select(
         F.concat(F.lit("Z"), (F.col("doc_id") % 701).cast("string")).alias("zinc_id"), F.md5("text").alias("raw")
     ).where("substring(raw, 1, 1) not in ('0', '1', '2')")

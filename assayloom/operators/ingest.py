@@ -56,11 +56,6 @@ def first_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.groupBy(key).agg(first).select(key, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
 
 
-def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First arrivals whose key the table does not hold yet."""
-    return first_per_key(rows, key, order).join(existing.select(key), key, "left_anti")
-
-
 def backfill(compounds: DataFrame, updates: DataFrame) -> DataFrame:
     """Both properties replaced on every row that has an update; other rows as they were."""
     given = updates.select("id", F.col("mw").alias("_mw"), F.col("logp").alias("_logp"), F.lit(True).alias("_hit"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from assayloom import schemas
 from assayloom.operators.filters import missing_properties
 from assayloom.operators.ingest import good_rows, quarantined
-from assayloom.sinks.tables import insert_ignore, read_or_empty, write_quarantine
+from assayloom.sinks.keyed import insert_first
+from assayloom.sinks.tables import read_or_empty, write_quarantine
 from assayloom.runtime import delete_path
 from assayloom.sources.files import list_files, read_lines
 
@@ -32,7 +33,7 @@ def write_ingested(staged: DataFrame, root: str, batch: str, tranches: DataFrame
     stage = f"{root}/staging/{batch}"
     staged.write.mode("overwrite").parquet(stage)
     rows = spark.read.schema(staged.schema).parquet(stage)
-    insert_ignore(
+    insert_first(
         good_rows(rows).select("zinc_id", "tranche", "block", "pos", "smiles", "mw", "logp"),
         f"{root}/compounds", "zinc_id", ["tranche", "block", "pos"], schemas.COMPOUNDS, serial="id",
     )

@@ -68,6 +68,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right below a path; none where it does not exist."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the library's own making."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayloom import schemas
 from assayloom.functions.text import joined_sorted
-from assayloom.operators.ingest import backfill, new_rows
-from assayloom.operators.ranking import rank_within
+from assayloom.operators.ingest import backfill
 from assayloom.runtime import cut_lineage, join_keys, path_exists, small_side, table_complete
 
 
@@ -54,21 +53,6 @@ def _replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def insert_ignore(
-    rows: DataFrame, path: str, key: str, order: Sequence[str], schema: T.StructType, serial: str | None = None
-) -> None:
-    """First arrival per key wins, over files and over runs.
-
-    With serial, new rows are numbered on from the highest number in the table, in arrival order.
-    """
-    existing = read_or_empty(rows.sparkSession, path, schema)
-    fresh = new_rows(rows, existing, key, order)
-    if serial:
-        last = existing.agg(F.max(serial)).first()[0] or 0
-        fresh = rank_within(fresh, [], order, serial).withColumn(serial, F.col(serial) + F.lit(last))
-    fresh.select(*schema.names).write.mode("append").parquet(path)
-
-
 def write_quarantine(errors: DataFrame, path: str, batch: str) -> None:
     _replace_partitions(errors.withColumn("batch", F.lit(batch)), path, ["batch"])
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from assayloom.operators.ranking import rank_within
-from assayloom.runtime import delete_path, table_complete
+from assayloom.runtime import delete_path, list_names, table_complete
 
 _NEXT, _PLACE = "_next_batch", "_place"
 
@@ -97,7 +97,7 @@ def queue_micro_batches(
 
 def finish_queue(spark: SparkSession, schema: T.StructType, size: int, order: Sequence[str], queue_path: str, state_path: str) -> int:
     """Queues the last, short batch after a feed has ended and its query has stopped; returns its rows. A second call adds nothing."""
-    states = [f for f in _listed(spark, state_path) if f.startswith("v=")]
+    states = [f for f in list_names(spark, state_path) if f.startswith("v=")]
     if not states:
         return 0
     i = max(int(f[2:]) for f in states)
@@ -111,8 +111,3 @@ def finish_queue(spark: SparkSession, schema: T.StructType, size: int, order: Se
     _write_state(rest.where(F.lit(False)), next_batch + (n > 0), schema, f"{state_path}/v={i}/closed")
     return n
 
-
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []

@@ -20,19 +20,6 @@ def test_batch_is_written_once(spark, tmp_path):
     assert rows.count() == 20 and rows.where("experiment_id = 'e' and round = 0").agg(F.max("compound_id")).first()[0] == 9
 
 
-def test_insert_ignore_numbers_on_and_keeps_the_first(spark, tmp_path):
-    path, schema = str(tmp_path / "lib"), "id long, k string, o long"
-    s = spark.createDataFrame([], schema).schema
-    one = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, o long")
-    two = spark.createDataFrame([("b", 0), ("c", 5), ("d", 4)], "k string, o long")
-    K.insert_ignore(one, path, "k", ["o"], s, serial="id")
-    K.insert_ignore(two, path, "k", ["o"], s, serial="id")
-    K.insert_ignore(two, path, "k", ["o"], s, serial="id")
-    assert sorted(tuple(r) for r in spark.read.schema(s).parquet(path).collect()) == [
-        (1, "a", 1), (2, "b", 3), (3, "d", 4), (4, "c", 5)
-    ]
-
-
 def test_half_written_predictions_are_written_again(spark, tmp_path):
     path = str(tmp_path / "p")
     rows = spark.range(5).select("id", F.lit(-1.0).alias("predicted"))
