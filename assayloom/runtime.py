@@ -75,6 +75,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, made at once or not at all."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop_path, True).close()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the library's own making."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,8 +5,9 @@ every bucket the positions to which its new keys hash, a Bloom filter of fixed l
 new for sure; only the buckets of the other keys are opened, and only their key column. So the cost of an insert follows the
 arrival and the buckets it may hit, not the library.
 
-Order of writes: bitmaps, rows, commit. A crash leaves bitmaps without rows, which cost a look and lose nothing, or rows
-without a commit, which the next insert finds by their bitmaps; it then takes the last number from the rows themselves.
+Order of writes: bitmaps, rows, and a commit, an empty file whose name holds the last number. A crash leaves bitmaps without
+rows, which cost a look and lose nothing, or rows without a commit, which the next insert finds by their bitmaps; it then
+takes the last number from the rows themselves.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from assayloom.operators.ingest import first_per_key
 from assayloom.operators.ranking import rank_within
-from assayloom.runtime import cut_lineage, delete_path, list_names, path_exists, small_side, table_complete
+from assayloom.runtime import cut_lineage, delete_path, list_names, path_exists, table_complete, touch
 
 #: Bits of one bitmap, by the functions that make and join them.
 _BITS = 32_768
 #: Runs of bitmaps that are folded into one.
 FOLDED_RUNS = 16
-_BITMAPS = "bucket int, page int, bits binary, layout string"
+_BITMAPS = "bucket int, page int, bits binary"
+#: Bitmaps that one task sorts.
+_SORTED_ROWS = 8_192
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,10 @@ class Layout:
     pages: int = 1
     hashes: int = 3
 
+    @property
+    def name(self) -> str:
+        return f"layout={self.buckets}-{self.pages}-{self.hashes}"
+
     def bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(0), F.col(key)), F.lit(self.buckets)).cast("int")
 
@@ -66,17 +73,18 @@ class _Runs:
         self.folded = max(found("folded"), default=0)
         self.runs = [n for n in found("run") if n > self.folded]
         self.last = max([self.folded, *self.runs])
-        self.commits = found("commit")
-        if not self.last and path_exists(spark, path):
+        #: number of the run and last number of the library, by name
+        self.commits = {n: tuple(map(int, n[7:].split("-"))) for n in names if n.startswith("commit=")}
+        made = [n for n in names if n.startswith("layout=")]
+        if made and made != [layout.name]:
+            raise ValueError(f"{path} was made with {made[0]}, not {layout.name}")
+        if not made and path_exists(spark, path):
             raise ValueError(f"{path} holds rows without bitmaps of their keys")
+        self.made = bool(made)
 
     def bitmaps(self) -> DataFrame:
         paths = [f"{self.root}/run={n}" for n in self.runs] + [f"{self.root}/folded={self.folded}"] * (self.folded > 0)
-        rows = self.spark.read.schema(_BITMAPS).parquet(*paths)
-        other = rows.where(F.col("layout") != str(self.layout)).limit(1).collect()
-        if other:
-            raise ValueError(f"{self.path} was made with {other[0]['layout']}, not {self.layout}")
-        return rows
+        return self.spark.read.schema(_BITMAPS).parquet(*paths)
 
     def _joined(self) -> DataFrame:
         return self.bitmaps().groupBy("bucket", "page").agg(F.bitmap_or_agg("bits").alias("bits"))
@@ -92,21 +100,23 @@ class _Runs:
     def add(self, rows: DataFrame, key: str) -> int:
         """Writes the bitmaps of new rows and returns their run's number."""
         n = self.last + 1
+        if not self.made:
+            touch(self.spark, f"{self.root}/{self.layout.name}")
         places = rows.select("bucket", F.explode(self.layout.places(key)).alias("_p")).select("bucket", "_p.page", "_p.bit")
         made = places.groupBy("bucket", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
         self._write(made, f"{self.root}/run={n}")
         return n
 
     def _write(self, bitmaps: DataFrame, path: str) -> None:
-        rows = bitmaps.withColumn("layout", F.lit(str(self.layout)))
-        # sorted by bucket, so that a look at few buckets skips the other pages
-        rows.repartitionByRange("bucket", "page").sortWithinPartitions("bucket", "page").write.mode("overwrite").parquet(path)
+        """Sorted by bucket, so that a look at few buckets skips the other pages."""
+        few = self.layout.buckets * self.layout.pages <= _SORTED_ROWS
+        placed = bitmaps.coalesce(1) if few else bitmaps.repartitionByRange("bucket", "page")
+        placed.sortWithinPartitions("bucket", "page").write.mode("overwrite").parquet(path)
 
-    def commit(self, n: int, last_serial: int | None) -> None:
-        one = self.spark.range(1).select(F.lit(last_serial).cast("long").alias("last_serial"))
-        one.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commit={n}")
+    def commit(self, n: int, last_serial: int) -> None:
+        touch(self.spark, f"{self.root}/commit={n}-{last_serial}")
         for old in self.commits:
-            delete_path(self.spark, f"{self.root}/commit={old}")
+            delete_path(self.spark, f"{self.root}/{old}")
 
     def fold(self, upto: int) -> None:
         """One run for many, once there are many; the old ones go after the new one is complete."""
@@ -119,12 +129,9 @@ class _Runs:
 
     def last_serial(self, schema: T.StructType, serial: str) -> int:
         """From the last commit if it is the last run's, else from the rows."""
-        if not self.last:
-            return 0
-        if self.last in self.commits:
-            known = self.spark.read.schema("last_serial long").parquet(f"{self.root}/commit={self.last}").first()
-            if known and known[0] is not None:
-                return known[0]
+        known = [last for run, last in self.commits.values() if run == self.last]
+        if known or not self.last:
+            return max(known, default=0)
         return read_keyed(self.spark, self.path, schema).agg(F.max(serial)).first()[0] or 0
 
 
@@ -143,12 +150,11 @@ def insert_first(
     opened: list[int] = []
     if runs.last:
         first = cut_lineage(first)
-        may = cut_lineage(runs.may_hold(first.select(key, "bucket"), key))
+        may = runs.may_hold(first.select(key, "bucket"), key)
         opened = sorted(r["bucket"] for r in may.select("bucket").distinct().collect())
-        if opened:
+        if opened and path_exists(spark, path):
             library = spark.read.schema(T.StructType([schema[key], T.StructField("bucket", T.IntegerType())])).parquet(path)
-            held = library.where(F.col("bucket").isin(opened)).join(may, ["bucket", key], "left_semi").select(key)
-            first = first.join(small_side(cut_lineage(held)), key, "left_anti")
+            first = first.join(library.where(F.col("bucket").isin(opened)), ["bucket", key], "left_anti")
     if serial:
         first = rank_within(first, [], [*order, key], serial).withColumn(
             serial, F.col(serial) + F.lit(runs.last_serial(schema, serial))
@@ -158,6 +164,6 @@ def insert_first(
         return opened
     n = runs.add(fresh, key)
     fresh.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("append").partitionBy("bucket").parquet(path)
-    runs.commit(n, fresh.agg(F.max(serial)).first()[0] if serial else None)
+    runs.commit(n, fresh.agg(F.max(serial)).first()[0] if serial else 0)
     runs.fold(n)
     return opened
