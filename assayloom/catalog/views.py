@@ -103,6 +103,8 @@ def with_views(body: str) -> str:
         return body.strip()
     listed = ",\n".join(f"{n} AS ({ORACLE_VIEWS[n].strip()})" for n in names if n in need)
     text = body.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {listed},\n{text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {listed},\n{text[5:]}"
     return f"WITH {listed}\n{text}"

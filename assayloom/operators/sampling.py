@@ -68,43 +68,62 @@ def block_per_partition(
     local = row - part * width
     return rows.withColumn("part", part.cast("int")).where((local >= offset) & (local < offset + block))
 
+#: Room for rounding where the triangle inequality rules a row out.
+_SLACK = 1e-9
 
-def _pick_far_apart(seed: int):
-    """Per-cell helper: repeatedly take the vector farthest from all taken so far, up to the cell's quota."""
-
-    def pick(key, table):
-        part = key[0].as_py()
-        ids = table.column("id").to_numpy()
-        words = table.column("fp").combine_chunks().values.to_numpy(zero_copy_only=False).view(np.uint64)
-        vectors = words.reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        # One row per word: a pick then runs along contiguous memory without a block-sized copy.
-        by_word = np.ascontiguousarray(vectors[order].T)
-        weight = np.bitwise_count(by_word).sum(axis=0, dtype=np.int64)
-        take = min(table.column("quota")[0].as_py(), len(ids))
-        at = int(np.random.default_rng(seed + part).integers(len(ids)))
-        gap = np.full(len(ids), np.inf)
-        chosen = [at]
-        while len(chosen) < take:
-            shared = np.zeros(len(ids), dtype=np.int32)
-            for word in by_word:
-                shared += np.bitwise_count(word & word[at])
-            np.minimum(gap, 1.0 - shared / (weight + weight[at] - shared), out=gap)
-            gap[chosen] = -1.0
-            at = int(gap.argmax())
-            chosen.append(at)
-        kept = table.take(pa.array(order[chosen][:take])).select(["part", "quota", "id", "fp"])
-        return kept.append_column("pick", pa.array(np.arange(take), pa.int32()))
-
-    return pick
+
+def farthest_first(vectors: np.ndarray, start: int, take: int) -> tuple[list[int], int]:
+    """Rows picked one after the other, each the farthest (Tanimoto) from all before, ties to the first; and how many distances
+    to rows were computed.
+
+    Every row keeps its distance to the nearest pick, an upper bound that only falls. As the distance is a metric, a row that is
+    nearer to its pick than half the way from there to the new pick cannot be nearer to the new one: it is not looked at.
+    """
+    # One row per word: a pick then runs along contiguous memory without a block-sized copy.
+    by_word = np.ascontiguousarray(vectors.T)
+    weight = np.bitwise_count(by_word).sum(axis=0, dtype=np.int64)
+    n = len(weight)
+
+    def distances(at: int, rows) -> np.ndarray:
+        shared = np.zeros(len(weight[rows]), dtype=np.int64)
+        for word in by_word:
+            shared += np.bitwise_count(word[rows] & word[at])
+        return 1.0 - shared / (weight[rows] + weight[at] - shared)
+
+    gap, nearest = distances(start, slice(None)), np.zeros(n, dtype=np.int64)
+    chosen, looked = [start], n
+    gap[start] = -1.0
+    while len(chosen) < min(take, n):
+        at = int(gap.argmax())
+        half = distances(at, np.array(chosen)) / 2 - _SLACK
+        rows = np.flatnonzero(gap > half[nearest])
+        looked += len(rows)
+        found = distances(at, rows)
+        nearer = found < gap[rows]
+        gap[rows[nearer]], nearest[rows[nearer]] = found[nearer], len(chosen)
+        chosen.append(at)
+        gap[at] = -1.0
+    return chosen[:take], looked
+
+
+def _pick_far_apart(key, table):
+    """The picks of one cell, from the row with the smallest start on, up to the cell's quota."""
+    ids = table.column("id").to_numpy()
+    words = table.column("fp").combine_chunks().values.to_numpy(zero_copy_only=False).view(np.uint64)
+    order = np.argsort(ids, kind="stable")
+    start = int(np.argmin(table.column("start").to_numpy()[order]))
+    take = min(table.column("quota")[0].as_py(), len(ids))
+    chosen, _ = farthest_first(words.reshape(len(ids), -1)[order], start, take)
+    kept = table.take(pa.array(order[chosen])).select(["part", "quota", "id", "fp"])
+    return kept.append_column("pick", pa.array(np.arange(take), pa.int32()))
 
 
 def _narrowed(rows: DataFrame, block: int, seed: int) -> DataFrame:
     """(part, quota, id, fp, pick): each part's quota of mutually distant rows, out of all its rows.
 
     A part of more than `block` rows is cut into cells of about that many by a hash of the id, every
-    cell gives its quota, and the picks are narrowed again until one cell holds what is left.
+    cell gives its quota, and the picks are narrowed again until one cell holds what is left. A cell starts with
+    its row of the smallest hash.
     """
     level = 0
     while True:
@@ -112,10 +131,12 @@ def _narrowed(rows: DataFrame, block: int, seed: int) -> DataFrame:
             F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(block), 4 * F.max("quota"))).cast("int").alias("_cells")
         ))
         last = sizes.where(F.col("_cells") > 1).isEmpty()
-        cell = F.pmod(F.xxhash64("id", F.lit(level)), F.col("_cells")).cast("int")
-        cells = rows.join(small_side(sizes), "part").select("part", "quota", "id", "fp", cell.alias("_cell"))
+        cell = F.floor(uniform(F.col("id"), seed + 1, level) * F.col("_cells")).cast("int")
+        cells = rows.join(small_side(sizes), "part").select(
+            "part", "quota", "id", "fp", uniform(F.col("id"), seed, level).alias("start"), cell.alias("_cell")
+        )
         picked = cells.groupBy("part", "_cell").applyInArrow(
-            _pick_far_apart(seed + level), "part int, quota int, id long, fp array<long>, pick int"
+            _pick_far_apart, "part int, quota int, id long, fp array<long>, pick int"
         )
         if last:
             return picked

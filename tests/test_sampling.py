@@ -100,3 +100,38 @@ def test_diverse_picks_read_every_row_and_give_exactly_k(spark):
     for block in (20, 1000):
         got = {r.id for r in P.maxmin_global(odd, 5, block, 7).collect()}
         assert len(got) == 5 and 333 in got
+
+
+def test_farthest_first_is_exact_and_looks_at_few_rows():
+    rng = np.random.default_rng(4)
+    # families of like rows: the triangle inequality rules most of them out
+    heads = rng.integers(0, 2**63, (30, 16), dtype=np.uint64)
+    rows = heads[rng.integers(0, 30, 3000)]
+    rows[np.arange(3000), rng.integers(0, 16, 3000)] ^= np.uint64(1) << rng.integers(0, 63, 3000).astype(np.uint64)
+    chosen, looked = P.farthest_first(rows, 7, 60)
+    counts = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+    gap, plain = np.full(3000, np.inf), [7]
+    while len(plain) < 60:
+        shared = np.bitwise_count(rows & rows[plain[-1]]).sum(axis=1, dtype=np.int64)
+        gap = np.minimum(gap, 1.0 - shared / (counts + counts[plain[-1]] - shared))
+        gap[plain] = -1.0
+        plain.append(int(gap.argmax()))
+    assert chosen == plain and looked < 0.55 * 60 * 3000
+    same, _ = P.farthest_first(np.full((5, 2), 3, np.uint64), 2, 9)
+    assert sorted(same) == [0, 1, 2, 3, 4] and same[0] == 2
+
+
+def test_composed_picks_spread_nearly_as_far_as_a_single_pass(spark):
+    rng = np.random.default_rng(8)
+    words = np.packbits(rng.random((1200, 256)) < rng.uniform(0.05, 0.4, (1200, 1)), axis=1, bitorder="little").view("<i8")
+    fps = spark.createDataFrame([(i, [int(w) for w in row]) for i, row in enumerate(words)], "id long, fp array<bigint>")
+
+    def spread(block):
+        got = [r.id for r in P.maxmin_global(fps, 20, block, 3).collect()]
+        bits = np.unpackbits(words[got].view(np.uint8), axis=1).astype(int)
+        shared, n = bits @ bits.T, bits.sum(axis=1)
+        gaps = 1 - shared / (n[:, None] + n[None, :] - shared)
+        return len(got), gaps[np.triu_indices(20, 1)].min()
+
+    (n, whole), (m, composed) = spread(2000), spread(100)
+    assert n == m == 20 and composed >= 0.95 * whole
