@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from assayloom.functions.bits import popcount
 from assayloom.runtime import cut_lineage
@@ -51,97 +51,82 @@ def _compare(skip_same: bool):
     return compare
 
 
-def _classes(distinct: DataFrame, salt: str, rows: int, merge: bool) -> tuple[DataFrame, dict[int, int]]:
-    """Popcount class of each vector, and into how many hash pieces each class is cut.
+def _classes(distinct: DataFrame, salt: str, rows: int, merge: bool, side: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their popcount class and hash piece, and a table (cls, pieces) that says into how many a class is cut.
 
-    There are at most log(bits) / log(base) classes, so their sizes fit on the driver. With merge
-    all vectors form one class, for when there is nothing to skip.
+    There are at most log(bits) / log(base) classes, a few dozen rows. With merge all vectors form one class, for when there
+    is nothing to skip.
     """
-    cls = F.lit(0) if merge else F.floor(F.log(popcount(F.col("fp"))) / math.log(CLASS_BASE)).cast("int")
-    marked = distinct.withColumn("cls", cls)
-    sizes = {r["cls"]: r["n"] for r in marked.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pieces = {c: math.ceil(n / rows) for c, n in sizes.items()}
-    n_pieces = F.lit(1)
-    for c, n in pieces.items():
-        if n > 1:
-            n_pieces = F.when(F.col("cls") == c, F.lit(n)).otherwise(n_pieces)
-    piece = F.pmod(F.xxhash64("fp", F.lit(salt)), n_pieces).cast("int")
-    return marked.withColumn("piece", piece), pieces
-
-
-def _bound(q_cls: int, r_cls: int) -> float:
-    """No similarity between two popcount classes can exceed this: fewest bits over most bits."""
-    if q_cls == r_cls:
-        return 1.0
-    low, high = sorted((q_cls, r_cls))
-    return min(1.0, CLASS_BASE ** (low + 1 - high) + 1e-9)
-
-
-def _run_cells(queries: DataFrame, refs: DataFrame, slices: dict[int, int], skip_same: bool) -> DataFrame:
-    """queries carry (cls, piece, cells); a cell names a reference class and piece."""
-    sliced = queries.select("fp", F.col("cls").alias("q_cls"), F.col("piece").alias("q_piece"), F.inline("cells"))
-    q_pieces = F.array(*[
-        F.struct(F.lit(c).alias("q_cls"), F.lit(p).alias("q_piece")) for c, n in slices.items() for p in range(n)
-    ])
+    cls, pieces = f"{side}_cls", f"{side}_pieces"
+    of = F.lit(0) if merge else F.floor(F.log(popcount(F.col("fp"))) / math.log(CLASS_BASE)).cast("int")
+    marked = distinct.withColumn(cls, of)
+    sizes = cut_lineage(marked.groupBy(cls).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(pieces)))
+    piece = F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(pieces)).cast("int")
+    return marked.join(F.broadcast(sizes), cls).withColumn(f"{side}_piece", piece).drop(pieces), sizes
+
+
+def _cells(q_sizes: DataFrame, r_sizes: DataFrame) -> DataFrame:
+    """One row per pair of classes: q_cls, q_pieces, r_cls, r_pieces, most, near (the class nearest to the queries').
+
+    No similarity of the two classes can exceed `most`: fewest bits over most bits.
+    """
+    pairs = q_sizes.withColumn("_one", F.lit(1)).join(r_sizes.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    apart = F.abs(F.col("q_cls") - F.col("r_cls"))
+    most = F.when(apart == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.pow(F.lit(CLASS_BASE), 1 - apart) + F.lit(1e-9)))
+    order = Window.partitionBy("q_cls").orderBy(apart, "r_cls")
+    return cut_lineage(pairs.withColumn("most", most).withColumn("near", F.row_number().over(order) == 1))
+
+
+_CELL = ["q_cls", "q_piece", "r_cls", "r_piece"]
+
+
+def _run_cells(queries: DataFrame, refs: DataFrame, cells: DataFrame, skip_same: bool) -> DataFrame:
+    """queries (fp, q_cls, q_piece, r_cls, r_piece) meet the references of their cells; (fp, sim) per query and cell."""
     # One copy of a reference block per query slice that can meet it.
-    spread = refs.select(F.col("fp").alias("ref_fp"), F.col("cls").alias("r_cls"), F.col("piece").alias("r_piece"), F.inline(q_pieces))
-    keys = ["q_cls", "q_piece", "r_cls", "r_piece"]
+    met = refs.join(F.broadcast(cells.select("q_cls", "q_pieces", "r_cls")), "r_cls")
+    spread = met.select(
+        F.col("fp").alias("ref_fp"), "q_cls", "r_cls", "r_piece", F.explode(F.sequence(F.lit(0), F.col("q_pieces") - 1)).alias("q_piece"),
+    )
     compare = _compare(skip_same)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         return compare(left, right)
 
-    return sliced.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(cell, "fp array<bigint>, sim double")
+    return queries.select("fp", *_CELL).groupBy(*_CELL).cogroup(spread.groupBy(*_CELL)).applyInArrow(cell, "fp array<bigint>, sim double")
 
 
 def _best_by_vector(queries: DataFrame, refs: DataFrame, block_rows: int, slice_rows: int | None, skip_same: bool) -> DataFrame:
     """queries and refs are distinct non-zero vectors; returns (fp, sim).
 
     Both sets, and the first pass, are read several times: they are checkpointed instead of being
-    shuffled or multiplied again.
+    shuffled or multiplied again. Which slices meet which blocks is a table, so plans do not grow with the rows.
     """
     same = refs is queries
     queries = cut_lineage(queries)
     refs = queries if same else cut_lineage(refs)
+    n_queries, n_refs = queries.count(), refs.count()
+    if not n_queries or not n_refs:
+        return queries.select("fp", F.lit(0.0).alias("sim"))
     if slice_rows is None:
         # Small query sets are cut finer, so that all cores have a cell.
         cores = queries.sparkSession.sparkContext.defaultParallelism
-        slice_rows = min(SLICE_ROWS, max(LEAST_SLICE_ROWS, queries.count() // (2 * cores)))
-    one_block = refs.count() <= block_rows
-    refs, blocks = _classes(refs, "r", block_rows, one_block)
-    queries, slices = _classes(queries, "q", slice_rows, one_block)
-    if not blocks or not slices:
-        return queries.select("fp", F.lit(0.0).alias("sim"))
-    all_cells = [(c, p) for c, n in blocks.items() for p in range(n)]
-    cell = lambda c, p: F.struct(F.lit(c).alias("r_cls"), F.lit(p).alias("r_piece"))
-
-    def listed(pairs):
-        return F.array(*[cell(c, p) for c, p in pairs])
-
+        slice_rows = min(SLICE_ROWS, max(LEAST_SLICE_ROWS, n_queries // (2 * cores)))
+    one_block = n_refs <= block_rows
+    refs, blocks = _classes(refs, "r", block_rows, one_block, "r")
+    queries, slices = _classes(queries, "q", slice_rows, one_block, "q")
+    cells = _cells(slices, blocks)
     # First pass: one block of the nearest class gives every query a lower bound.
-    first = F.lit(None)
-    for q in slices:
-        near = min(blocks, key=lambda c: (abs(c - q), c))
-        first = F.when(F.col("cls") == q, listed([(near, 0)])).otherwise(first)
-    seeds = _run_cells(queries.withColumn("cells", first), refs, slices, skip_same)
-    if len(all_cells) == 1:
+    near = cells.where("near")
+    seeded = queries.join(F.broadcast(near.select("q_cls", "r_cls")), "q_cls").withColumn("r_piece", F.lit(0))
+    seeds = _run_cells(seeded, refs.where("r_piece = 0"), near, skip_same)
+    if one_block:
         return seeds
     seeds = cut_lineage(seeds)
     # Second pass: only the blocks whose bound is above it.
-    bounded = F.lit(None)
-    for q in slices:
-        near = min(blocks, key=lambda c: (abs(c - q), c))
-        rest = [
-            F.struct(F.lit(c).alias("r_cls"), F.lit(p).alias("r_piece"), F.lit(_bound(q, c)).alias("most"))
-            for c, p in all_cells if (c, p) != (near, 0)
-        ]
-        bounded = F.when(F.col("cls") == q, F.array(*rest)).otherwise(bounded)
-    open_cells = F.transform(
-        F.filter(bounded, lambda s: s["most"] > F.col("sim")),
-        lambda s: F.struct(s["r_cls"].alias("r_cls"), s["r_piece"].alias("r_piece")),
-    )
-    rest = queries.join(seeds, "fp").withColumn("cells", open_cells)
-    return seeds.unionByName(_run_cells(rest, refs, slices, skip_same)).groupBy("fp").agg(F.max("sim").alias("sim"))
+    rest = queries.join(seeds, "fp").join(F.broadcast(cells), "q_cls").where(F.col("most") > F.col("sim")).withColumn(
+        "r_piece", F.explode(F.sequence(F.lit(0), F.col("r_pieces") - 1))
+    ).where("NOT (near AND r_piece = 0)")
+    return seeds.unionByName(_run_cells(rest, refs, cells, skip_same)).groupBy("fp").agg(F.max("sim").alias("sim"))
 
 
 def max_similarity(

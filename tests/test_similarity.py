@@ -49,6 +49,15 @@ def test_max_similarity_self(spark, block_rows, slice_rows):
     assert (got["max_sim"].to_numpy()[:40] == 1.0).all()
 
 
+def test_plans_do_not_grow_with_the_rows(spark):
+    def size(n):
+        bits = vectors(n, 8)
+        df = max_similarity(frame(spark, bits), frame(spark, bits, 10_000), 8, 8)
+        return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+    assert size(400) < 1.1 * size(60)
+
+
 def test_no_references(spark):
     got = max_similarity(frame(spark, vectors(10, 4)), frame(spark, vectors(3, 5)).limit(0)).toPandas()
     assert (got["max_sim"] == 0.0).all() and len(got) == 10
