@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from assayloom import schemas
 from assayloom.functions.text import joined_sorted
 from assayloom.operators.ingest import backfill
-from assayloom.runtime import cut_lineage, join_keys, path_exists, small_side, table_complete
+from assayloom.runtime import cut_lineage, path_exists, table_complete
+from assayloom.sinks import swap
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -62,18 +63,26 @@ _WRITERS = 16
 
 
 def update_from(updates: DataFrame, library: str, schema: T.StructType, by: str = "tranche") -> None:
-    """Applies the updates to a library partitioned by `by`: only partitions that hold an updated row are written again.
+    """Applies the updates to a library partitioned by `by`: only files that hold an updated row are written again.
 
-    Rows go out by partition value and id hash, so a huge tranche is still many tasks and a task writes few tranches. The
-    new rows are fixed before any file is replaced.
+    A run that broke off is finished or cleared first. Rows go out by partition value and id hash, so a huge tranche is still
+    many tasks and a task writes few tranches. Of several updates of one id the one with the smallest values counts. One
+    writer at a time.
     """
     spark = updates.sparkSession
+    swap.finish(spark, library)
     rows = spark.read.schema(schema).parquet(library)
-    touched = cut_lineage(rows.join(updates.select("id"), "id", "left_semi").select(by).distinct())
-    whole = join_keys(rows, small_side(touched), [by])
-    done = cut_lineage(backfill(whole, updates))
+    updates = cut_lineage(updates.groupBy("id").agg(F.min(F.struct("mw", "logp")).alias("_u")).select("id", "_u.mw", "_u.logp"))
+    hits = rows.select("id", F.col("_metadata.file_path").alias("_file")).join(updates, "id", "left_semi")
+    touched = [r["_file"] for r in hits.select("_file").distinct().collect()]
+    if not touched:
+        return
+    done = backfill(rows.where(F.col("_metadata.file_path").isin(touched)), updates)
     dealt = done.repartition(F.col(by), F.pmod(F.xxhash64("id"), F.lit(_WRITERS)))
-    _replace_partitions(dealt, library, [by])
+    staged = swap.staging(library)
+    dealt.write.partitionBy(by).parquet(staged)
+    swap.decide(spark, library, staged, touched)
+    swap.finish(spark, library)
 
 
 def write_alert_report(hits: DataFrame, path: str) -> None:

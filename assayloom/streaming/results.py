@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from assayloom.operators.windows import feed_state, progress_checkpoints
-from assayloom.runtime import delete_path, path_exists, table_complete
+from assayloom.runtime import path_exists
 from assayloom.sinks.tables import append_scores, write_progress_snapshot
+from assayloom.streaming.feed_states import FeedStates
 
 
 def read_results(
@@ -48,23 +49,24 @@ def running_best(
 ) -> StreamingQuery:
     """At every `every`-th result of a feed: docked, valid, failed and n-th best so far.
 
-    State per feed is three columns: two counts and its best 1000 scores.
+    State per feed is three columns: two counts and its best 1000 scores. It is kept in buckets of feeds, and a micro-batch
+    reads and rewrites only the buckets of its own feeds.
     """
+    kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in by)
+
     def each(df: DataFrame, i: int) -> None:
-        spark = df.sparkSession
-        earlier = f"{state_path}/v={i - 1}"
-        if i > 0 and not table_complete(spark, earlier):
-            raise RuntimeError(f"the state before micro-batch {i} is missing: {earlier}")
-        state = spark.read.parquet(earlier) if i > 0 else None
+        states = FeedStates(df.sparkSession, state_path, by, kinds)
+        versions = states.versions(i - 1)
         rows = df.select(*by, *arrival, "score").persist()
-        progress_checkpoints(rows, by, arrival, every, state=state, at_end=False).write.mode("overwrite").parquet(
-            f"{out}/batch={i}"
-        )
-        feed_state(rows, by, state).write.mode("overwrite").parquet(f"{state_path}/v={i}")
-        rows.unpersist()
-        # a replay needs the state before it and no older one
-        if i > 1:
-            delete_path(spark, f"{state_path}/v={i - 2}")
+        try:
+            touched = states.touched(rows)
+            state = states.read(versions, touched)
+            progress_checkpoints(rows, by, arrival, every, state=state, at_end=False).write.mode("overwrite").parquet(
+                f"{out}/batch={i}"
+            )
+            states.write(i, feed_state(rows, by, state), touched)
+        finally:
+            rows.unpersist()
 
     return _start(stream, each, checkpoint, every_seconds)
 

@@ -1,13 +1,15 @@
 """Writers run twice, and after half a run."""
 
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from assayloom import schemas
 from assayloom.operators import ingest as I
 from assayloom.runtime import table_complete
-from assayloom.sinks import tables as K
+from assayloom.sinks import swap, tables as K
 
 
 def test_batch_is_written_once(spark, tmp_path):
@@ -52,6 +54,77 @@ def test_update_touches_both_columns_only_where_given(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 28.0, 0.5), (2, 5.0, 5.0), (3, None, None)]
 
 
+def library(spark, path):
+    """Six files in two tranches, one of them with a name that must be escaped."""
+    for lo in (0, 100, 200):
+        for tranche in ("en/web", "u v"):
+            rows = spark.range(lo, lo + 20).selectExpr(
+                f"id + {0 if tranche == 'u v' else 50} AS id", "concat('z', id) AS zinc_id", "'CC' AS smiles", f"'{tranche}' AS tranche",
+                "cast(null AS double) AS mw", "1.0D AS logp",
+            )
+            rows.coalesce(1).write.mode("append").partitionBy("tranche").parquet(path)
+
+
+def content(spark, path):
+    return {r.id: (r.mw, r.logp, r.tranche) for r in spark.read.schema(schemas.COMPOUNDS).parquet(path).collect()}
+
+
+def test_update_writes_only_files_with_hits(spark, tmp_path):
+    path = str(tmp_path / "c")
+    library(spark, path)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("*.parquet")}
+    before = files()
+    updates = spark.createDataFrame([(105, 7.0, 8.0), (105, 9.0, 8.0), (152, 5.0, 6.0), (9999, 1.0, 1.0)], "id long, mw double, logp double")
+    K.update_from(updates, path, schemas.COMPOUNDS)
+    kept = {p: m for p, m in before.items() if files().get(p) == m}
+    assert len(before) == 6 and len(kept) == 4
+    new = [str(p) for p in files() if p not in before]
+    assert spark.read.option("basePath", path).parquet(*new).count() == 40
+    got = content(spark, path)
+    assert len(got) == 120 and spark.read.parquet(path).count() == 120
+    assert got[105] == (7.0, 8.0, "u v") and got[152] == (5.0, 6.0, "en/web") and got[104] == (None, 1.0, "u v")
+    assert not [p for p in (tmp_path / "c").iterdir() if p.name.startswith(("_staged", "_swap"))]
+
+
+@pytest.mark.parametrize("step", ["before the marker", "between moves", "between deletes"])
+def test_a_broken_update_is_finished(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "c")
+    library(spark, path)
+    updates = spark.createDataFrame([(5, 7.0, 8.0), (55, 5.0, 6.0)], "id long, mw double, logp double")
+    finish, calls = swap.finish, []
+
+    def broken(*a):
+        calls.append(a)
+        if len(calls) == 1:
+            return finish(*a)
+        raise OSError("lost")
+
+    if step == "before the marker":
+        monkeypatch.setattr(swap, "decide", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    else:
+        monkeypatch.setattr(swap, "finish", broken)
+    try:
+        K.update_from(updates, path, schemas.COMPOUNDS)
+    except OSError:
+        pass
+    monkeypatch.undo()
+    if step == "between moves":  # one new file is in, no old one is out
+        staged = next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("_staged"))
+        one = sorted(staged.rglob("*.parquet"))[0]
+        one.rename(tmp_path / "c" / one.relative_to(staged))
+    if step == "between deletes":  # all new files are in, one old one is out
+        marker = next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("_swap"))
+        told = json.loads(marker.read_text())
+        for one in sorted((tmp_path / "c" / os.path.basename(told["staged"])).rglob("*.parquet")):
+            one.rename(tmp_path / "c" / one.relative_to(tmp_path / "c" / os.path.basename(told["staged"])))
+        os.remove(told["old"][0].removeprefix("file:"))
+    K.update_from(updates, path, schemas.COMPOUNDS)
+    got = content(spark, path)
+    assert len(got) == 120 == spark.read.parquet(path).count()
+    assert got[5] == (7.0, 8.0, "u v") and got[55] == (5.0, 6.0, "en/web") and got[6][0] is None
+    assert not [p for p in (tmp_path / "c").iterdir() if p.name.startswith(("_staged", "_swap"))]
+
+
 def test_first_per_key_combines_before_the_shuffle(spark):
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     got = I.first_per_key(rows, "k", ["id"])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators.windows import feed_state, progress_checkpoints
 from assayloom.streaming import results as R
+from assayloom.streaming.feed_states import FeedStates
 from assayloom.catalog.streams import staged
 from assayloom.sources.files import stream_lines
 from assayloom.streaming.ingest import ingest_files
@@ -45,8 +46,8 @@ def test_restart_in_the_middle(spark, tmp_path):
     got = spark.read.parquet(f"{t}/best").drop("batch").collect()
     want = progress_checkpoints(whole, ["experiment_id"], ["compound_id"], 100, at_end=False).collect()
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 12
-    state = spark.read.parquet(f"{t}/state/v=2").collect()
-    assert sorted(state) == sorted(feed_state(whole, ["experiment_id"]).collect())
+    states = FeedStates(spark, f"{t}/state", ["experiment_id"], "experiment_id string")
+    assert sorted(states.read(states.versions(2)).collect()) == sorted(feed_state(whole, ["experiment_id"]).collect())
     live = spark.read.json(f"{t}/latest").collect()
     assert sum(r["docked"] for r in live) == 1203
 
@@ -109,8 +110,43 @@ def test_many_batches_leave_few_states_and_a_missing_state_raises(spark, tmp_pat
     for i in range(6):
         put(spark, f"{t}/feed", 10 * i, 10 * i + 10)
     R.running_best(R.read_results(spark, f"{t}/feed", SCHEMA, 1), *args, every=20).awaitTermination()
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=4", "v=5"]
-    (tmp_path / "state" / "v=5" / "_SUCCESS").unlink()
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["manifest=4", "manifest=5", "v=4", "v=5"]
+    (tmp_path / "state" / "manifest=5" / "_SUCCESS").unlink()
     put(spark, f"{t}/feed", 60, 70)
     with pytest.raises(Exception, match="state before micro-batch 6 is missing"):
         R.running_best(R.read_results(spark, f"{t}/feed", SCHEMA, 1), *args, every=20).awaitTermination()
+
+
+def test_feeds_without_news_are_not_rewritten(spark, tmp_path):
+    t = str(tmp_path)
+    schema = "feed string, id long, score double"
+
+    def arrive(feeds, lo):
+        rows = [(f, i, -float((i * 31) % 17)) for f in feeds for i in range(lo, lo + 12)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{t}/feed")
+
+    def drain():
+        stream = R.read_results(spark, f"{t}/feed", schema, 1)
+        R.running_best(stream, ["feed"], ["id"], f"{t}/best", f"{t}/state", f"{t}/ck", every=5).awaitTermination()
+
+    every = [f"f{i}" for i in range(40)]
+    arrive(every, 0)
+    drain()
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("bucket=*/*.parquet")}
+    first = files()
+    for n in range(1, 4):
+        arrive(["f3"], 12 * n)
+        drain()
+    states = FeedStates(spark, f"{t}/state", ["feed"], "feed string")
+    versions = states.versions(3)
+    bucket = spark.createDataFrame([("f3",)], "feed string").select(states.bucket()).first()[0]
+    assert {b for b, v in versions.items() if v == 3} == {bucket} and set(versions.values()) == {0, 3}
+    kept = {p: m for p, m in files().items() if f"bucket={bucket}" not in str(p)}
+    assert kept == {p: m for p, m in first.items() if f"bucket={bucket}" not in str(p)} and len(kept) > 10
+    # what a replay may still ask for, and nothing older, is there of the bucket with news
+    assert {p.parent.parent.name for p in files() if f"bucket={bucket}/" in str(p)} == {"v=2", "v=3"}
+    held = {r.feed: (r.docked, r.top) for r in states.read(versions).collect()}
+    want = lambda n: sorted(-float((i * 31) % 17) for i in range(n))
+    assert held == {f: (12, want(12)) for f in every if f != "f3"} | {"f3": (48, want(48))}
+    got = spark.read.parquet(f"{t}/best").where("feed = 'f3'").collect()
+    assert sorted(r.docked for r in got) == list(range(5, 48, 5))
