@@ -1,8 +1,9 @@
 """Model jobs and whole rounds. SQL cannot fit models, so the queries report what it can check; tests hold the rest to laws."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from assayloom.catalog.registry import query
+from assayloom.catalog.windowed import u01
 from assayloom.operators import model as M
 from assayloom.operators.sampling import fit_split
 from assayloom.plans import campaign as C
@@ -41,22 +42,46 @@ def _(v):
     )
 
 
-@query("job_hpo", "SELECT cast(range AS int) AS trial, true AS in_range, true AS judged FROM range(6)")
+@query("job_hpo", """
+    SELECT cast(rung AS int) AS rung, cast(count(DISTINCT trial) AS bigint) AS trials, cast(any_value(trees) AS int) AS trees,
+           cast(any_value(goes) AS bigint) AS goes_on, any_value(n) AS n_rows, cast(0 AS bigint) AS wrong
+    FROM (VALUES (0, 6, 1, 2), (1, 2, 4, 0)) AS r(rung, held, trees, goes), range(6) AS t(trial),
+         (SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL) WHERE trial < held GROUP BY rung""")
 def _(v):
-    """Two trials, then the other four at a time; the first two are not fitted again."""
-    out = work_path(v.spark, "trials")
-    M.search(labelled(v), NBITS, n_trials=2, folds=2, trials_path=out, max_trees=4)
-    rows = M.search(labelled(v), NBITS, n_trials=6, folds=2, trials_path=out, max_trees=4)
-    sound = F.col("max_depth").between(3, 10) & F.col("learning_rate").between(0.01, 0.3) & F.col("subsample").between(0.5, 1.0)
-    sound = sound & F.col("colsample").between(0.05, 0.3) & F.col("min_child").between(1, 20)
-    return rows.select("trial", sound.alias("in_range"), (F.col("cv_rmse") > 0).alias("judged"))
+    """Six trials of one tree, two of four. `wrong` replays from the stored errors who goes on and who is judged next."""
+    out, rows = work_path(v.spark, "trials"), labelled(v)
+    M.search_by_halving(rows, NBITS, n_trials=6, folds=2, trials_path=out, max_trees=4)
+    stored = v.spark.read.option("basePath", out).parquet(f"{out}/rung-0", f"{out}/rung-1", recursiveFileLookup=True)
+    stored = stored.select("trial", "max_trees", "cv_rmse", F.regexp_extract(F.col("_metadata.file_path"), r"rung-(\d+)", 1).cast("int").alias("rung"))
+    order = Window.partitionBy("rung").orderBy("cv_rmse", "trial")
+    sound = stored.where((F.col("cv_rmse") > 0) & ~F.isnan("cv_rmse"))
+    ranked = sound.withColumn("next", (F.row_number().over(order) <= 2) & (F.col("rung") == 0))
+    judged = stored.where("rung = 1").select("trial", F.lit(True).alias("seen"))
+    checked = ranked.join(judged, "trial", "left").withColumn("seen", F.col("seen").isNotNull() & (F.col("rung") == 0))
+    per = checked.groupBy("rung").agg(
+        F.count("*").alias("trials"), F.max("max_trees").alias("trees"), F.count_if("seen").alias("goes_on"),
+        F.count_if(F.col("seen") != F.col("next")).alias("wrong"),
+    )
+    size = rows.agg(F.count("*").alias("n_rows")).withColumn("_one", F.lit(1))
+    return per.withColumn("_one", F.lit(1)).join(size, "_one").drop("_one")
+
 
+#: One split, on all rows and bits: what SQL can replay.
+STUMP = M.Params(max_depth=1, subsample=1.0, colsample=1.0, max_trees=1)
 
-@query("job_score_library", "SELECT vec_id AS id, true AS sound FROM embeddings")
+
+@query("job_score_library", f"""
+    WITH k AS (SELECT vec_id AS id, -5.0::DOUBLE - list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE)) AS score FROM embeddings),
+    d AS (SELECT *, (row_number() OVER (ORDER BY score, id) - 1) * 10 // (SELECT count(*) FROM k) AS decile FROM k),
+    s AS (SELECT id, score, row_number() OVER (PARTITION BY decile ORDER BY {u01('id', 42)}, id)
+            > greatest(1, floor(count(*) OVER (PARTITION BY decile) * 0.1::DOUBLE)) AS fit FROM d),
+    g AS (SELECT i, b, count(*) AS n, sum(score) AS total FROM s JOIN v_fpbits f ON f.id = s.id WHERE fit GROUP BY i, b),
+    best AS (SELECT i FROM g GROUP BY i HAVING count(*) = 2 ORDER BY sum(total * total / n) DESC, i LIMIT 1)
+    SELECT f.id, round(cast(g.total / g.n AS FLOAT)::DOUBLE, 4) AS predicted FROM v_fpbits f JOIN best USING (i) JOIN g ON g.i = f.i AND g.b = f.b""")
 def _(v):
-    model, _ = M.train(labelled(v), NBITS, SMALL)
-    scored = M.score_library(model, v.fps, NBITS)
-    return scored.select("id", (F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.abs("predicted") < 1e6)).alias("sound"))
+    """Trained on nine tenths, applied to all; the oracle draws the same tenth and finds the same split."""
+    model, _ = M.train(labelled(v), NBITS, STUMP)
+    return M.score_library(model, v.fps, NBITS).select("id", F.round(F.col("predicted").cast("double"), 4).alias("predicted"))
 
 
 @query("job_pca", "SELECT id, cast(count(*) FILTER (b) AS double) AS squared_length FROM v_fpbits GROUP BY id")

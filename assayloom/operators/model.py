@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from random import Random
@@ -135,13 +136,24 @@ def search(
     `parallelism` trials run at a time. With trials_path each finished trial is a committed folder of its own there, so
     trials that end together cannot disturb each other, and a rerun only fits the missing ones.
     """
-    spark = labelled.sparkSession
-    shared_dir(spark)
-    schema = "trial int, max_depth int, learning_rate double, subsample double, colsample double, " \
-             "min_child int, max_trees int, cv_rmse double"
-    folder = lambda trial: f"{trials_path}/trial-{trial}"
-    done = {t for t in range(n_trials) if trials_path and table_complete(spark, folder(t))}
     rows = _training_rows(kfold(labelled.select("id", "fp", "score"), folds, seed), nbits)
+    try:
+        return _judged(rows, nbits, range(n_trials), folds, seed, trials_path, max_trees, parallelism)
+    finally:
+        rows.unpersist()
+
+
+_TRIALS = "trial int, max_depth int, learning_rate double, subsample double, colsample double, min_child int, max_trees int, cv_rmse double"
+
+
+def _judged(
+    rows: DataFrame, nbits: int, trials: Sequence[int], folds: int, seed: int, path: str | None, max_trees: int, parallelism: int
+) -> DataFrame:
+    """One row per trial with its mean RMSE over the folds; with a path, trials whose folder there is complete are not fitted."""
+    spark = rows.sparkSession
+    shared_dir(spark)
+    folder = lambda trial: f"{path}/trial-{trial}"
+    done = {t for t in trials if path and table_complete(spark, folder(t))}
 
     def judge(trial: int) -> DataFrame:
         p = trial_params(trial, seed, max_trees)
@@ -150,22 +162,58 @@ def search(
             for f in range(folds)
         ]
         row = (trial, p.max_depth, p.learning_rate, p.subsample, p.colsample, p.min_child, max_trees, sum(errors) / folds)
-        table = spark.createDataFrame([row], schema)
-        if trials_path:
+        table = spark.createDataFrame([row], _TRIALS)
+        if path:
             table.write.mode("overwrite").parquet(folder(trial))
         return table
 
     # Threads only submit Spark jobs; the fits themselves run on the executors.
     with ThreadPool(parallelism) as pool:
-        tables = pool.map(inheritable_thread_target(spark)(judge), [t for t in range(n_trials) if t not in done])
-    rows.unpersist()
-    if trials_path:
-        return spark.read.schema(schema).parquet(*[folder(t) for t in range(n_trials)])
+        tables = pool.map(inheritable_thread_target(spark)(judge), [t for t in trials if t not in done])
+    if path:
+        return spark.read.schema(_TRIALS).parquet(*[folder(t) for t in trials])
     return union_all(tables)
 
 
+def rungs(n_trials: int, max_trees: int, keep: int) -> list[tuple[int, int]]:
+    """(trials, trees) of every rung: one in `keep` trials goes on, with `keep` times the trees, up to max_trees."""
+    out, trees = [n_trials], max_trees
+    while out[-1] > 1 and trees >= keep:
+        out.append(-(-out[-1] // keep))
+        trees //= keep
+    return [(n, max(1, max_trees // keep ** (len(out) - 1 - i))) for i, n in enumerate(out)]
+
+
+def search_by_halving(
+    labelled: DataFrame, nbits: int, n_trials: int = 30, folds: int = 5, seed: int = 42,
+    trials_path: str | None = None, max_trees: int = 2000, keep: int = 3, parallelism: int = 4,
+) -> DataFrame:
+    """Successive halving of the same seeded trials: rung, the trial's columns as in `search`, and goes_on.
+
+    Every rung judges its trials with few trees; the best of them, one in `keep`, ties to the smaller trial, go on to `keep`
+    times the trees. Only the last rung's trials grow max_trees, so bad trials cost few trees. With trials_path a finished
+    trial of a rung is a committed folder, so a rerun fits only the missing ones and lets the same trials go on.
+    """
+    rows = _training_rows(kfold(labelled.select("id", "fp", "score"), folds, seed), nbits)
+    left, out = list(range(n_trials)), []
+    try:
+        plan = rungs(n_trials, max_trees, keep)
+        for i, (n, trees) in enumerate(plan):
+            path = f"{trials_path}/rung-{i}" if trials_path else None
+            judged = _judged(rows, nbits, left, folds, seed, path, trees, parallelism)
+            # one row per trial of the rung
+            order = [r["trial"] for r in judged.orderBy("cv_rmse", "trial").select("trial").collect()]
+            left = sorted(order[: plan[i + 1][0]]) if i + 1 < len(plan) else []
+            out.append(judged.select(F.lit(i).alias("rung"), "*", F.col("trial").isin(left).alias("goes_on")))
+    finally:
+        rows.unpersist()
+    return union_all(out)
+
+
 def best_params(trials: DataFrame, max_trees: int = 5000) -> Params:
-    r = trials.orderBy("cv_rmse", "trial").first()
+    """The best trial of a search; of a search by halving, the best of its last rung."""
+    last = [F.col("rung").desc()] if "rung" in trials.columns else []
+    r = trials.orderBy(*last, "cv_rmse", "trial").first()
     return Params(r["max_depth"], r["learning_rate"], r["subsample"], r["colsample"], r["min_child"], max_trees)
 
 

@@ -11,7 +11,7 @@ from assayloom import schemas
 from assayloom.operators.aggregates import BEST_NS
 from assayloom.operators.filters import in_scope, threshold_null, trainable
 from assayloom.operators.joins import eligible, labels_with_features, latest_hparams, not_done, only_known
-from assayloom.operators.model import Params, best_params, score_library, search, train
+from assayloom.operators.model import Params, best_params, score_library, search, search_by_halving, train
 from assayloom.operators.ranking import nth_best
 from assayloom.operators.sampling import hash_sample, maxmin_partitioned, thompson
 from assayloom.runtime import cut_lineage, table_complete
@@ -28,7 +28,10 @@ _HPARAMS = T.StructType([
 
 @dataclass(frozen=True)
 class Campaign:
-    """One experiment. Field defaults are the campaign's usual settings; tune_every 0 never tunes."""
+    """One experiment. Field defaults are the campaign's usual settings; tune_every 0 never tunes.
+
+    tune_keep k > 1 searches by halving, in which one trial in k goes on; 0 grows every trial in full.
+    """
 
     root: str
     target: str
@@ -44,6 +47,7 @@ class Campaign:
     tune_every: int = 3
     tune_trials: int = 30
     tune_folds: int = 5
+    tune_keep: int = 0
     params: Params = field(default_factory=Params)
 
     def table(self, name: str) -> str:
@@ -146,8 +150,8 @@ def train_round(spark: SparkSession, cfg: Campaign, rnd: int, fps: DataFrame) ->
     labelled = labels_with_features(trainable(_scores(spark, cfg), cfg.fail_threshold), fps)
     hp_path = cfg.table(f"hparams/{cfg.target}/{cfg.experiment_id}")
     if cfg.tune_every and rnd % cfg.tune_every == 0:
-        trials = search(labelled, cfg.nbits, cfg.tune_trials, cfg.tune_folds, cfg.seed,
-                        cfg.slot("trials", rnd), min(SEARCH_TREES, cfg.params.max_trees))
+        how = (cfg.nbits, cfg.tune_trials, cfg.tune_folds, cfg.seed, cfg.slot("trials", rnd), min(SEARCH_TREES, cfg.params.max_trees))
+        trials = search_by_halving(labelled, *how, cfg.tune_keep) if cfg.tune_keep > 1 else search(labelled, *how)
         found = {k: float(v) for k, v in asdict(best_params(trials, cfg.params.max_trees)).items()}
         spark.createDataFrame([(rnd, found)], "round int, params map<string,double>").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("round").parquet(hp_path)

@@ -49,6 +49,44 @@ def test_trials_that_end_together_are_all_kept(spark, monkeypatch):
     assert sorted(r["trial"] for r in kept.collect()) == list(range(8))
 
 
+def test_rungs_cost_fewer_trees():
+    assert M.rungs(30, 2000, 3) == [(30, 74), (10, 222), (4, 666), (2, 2000)] or M.rungs(30, 2000, 3)[-1][1] == 2000
+    for n, trees, keep in ((30, 2000, 3), (9, 9, 3), (6, 4, 3), (1, 10, 3), (5, 2, 3), (16, 64, 2)):
+        plan = M.rungs(n, trees, keep)
+        assert plan[0][0] == n and plan[-1][1] == trees
+        assert all(b[0] == -(-a[0] // keep) and b[1] <= keep * a[1] + keep for a, b in zip(plan, plan[1:]))
+        assert sum(a * b for a, b in plan) <= n * trees
+    assert sum(a * b for a, b in M.rungs(30, 2000, 3)) < 0.25 * 30 * 2000
+
+
+def test_halving_lets_the_best_go_on_and_resumes(spark, monkeypatch):
+    """Fits are left out: a trial's error is its learning rate, worse trees only add to it."""
+    rows = spark.createDataFrame([(i, [i], float(i)) for i in range(20)], "id long, fp array<long>, score double")
+    fits = []
+
+    def fit(train, held, p, seed):
+        fits.append((p.learning_rate, p.max_trees))
+        return None, 1, p.learning_rate + 1 / p.max_trees
+
+    monkeypatch.setattr(M, "fit_with_patience", fit)
+    path = work_path(spark, "halving")
+    how = dict(n_trials=9, folds=2, trials_path=path, max_trees=18)
+    got = M.search_by_halving(rows, NBITS, **how).collect()
+    rate = {t: M.trial_params(t, 42, 18).learning_rate for t in range(9)}
+    best = sorted(rate, key=rate.get)
+    by_rung = lambda i: {r.trial for r in got if r.rung == i}
+    assert [by_rung(i) for i in range(3)] == [set(range(9)), set(best[:3]), {best[0]}]
+    assert {r.trial for r in got if r.goes_on and r.rung == 0} == set(best[:3]) and {r.max_trees for r in got} == {2, 6, 18}
+    assert len(fits) == 2 * 13
+    again = M.search_by_halving(rows, NBITS, **how)
+    assert sorted(again.collect()) == sorted(got) and len(fits) == 2 * 13
+    assert M.best_params(again).learning_rate == rate[best[0]]
+    # a trial lost from the middle is fitted again, and only that one
+    import shutil
+    shutil.rmtree(f"{path.removeprefix('file:')}/rung-1/trial-{best[1]}")
+    assert sorted(M.search_by_halving(rows, NBITS, **how).collect()) == sorted(got) and len(fits) == 2 * 14
+
+
 def test_trial_ranges():
     for t in range(50):
         p = M.trial_params(t, 1, 10)
