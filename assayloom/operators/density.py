@@ -213,11 +213,15 @@ def colour_limits(points: DataFrame, slots: DataFrame, ratios: DataFrame, diffs:
         return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("name"), "value")
 
     scores = points.where(F.col("score").isNotNull())
-    p95 = exact_percentiles(scores, [], "score", {"value": 0.95}).select(F.lit("score_max").alias("name"), "value")
+    # the minimum rides along in the first of the two passes that bracket the percentile
+    both = exact_percentiles(scores, [], "score", {"p95": 0.95}, also={"low": F.min("score")})
+    ends = F.array(*[
+        F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
+        for name, value in (("score_min", F.floor("low")), ("score_max", F.col("p95")))
+    ])
     widest = F.max(F.abs("diff"))
     return union_all([
-        named(scores, "score_min", F.floor(F.min("score"))),
-        p95,
+        both.select(F.inline(ends)),
         named(slots, "count_max", F.floor(F.percentile("n", F.lit(0.99)))),
         named(ratios.where(F.col("log2r").isNotNull()), "ratio_max",
               F.least(F.lit(4.0), F.percentile(F.abs("log2r"), F.lit(0.995)))),
