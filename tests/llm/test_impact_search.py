@@ -72,3 +72,10 @@ def test_whole_numbers(spark):
     rows = spark.createDataFrame([(1, [0.5, -0.0001]), (2, [float("nan"), 1.0]), (3, None), (4, [None, 1.0]), (5, [float("inf")]), (6, [])], "i int, e array<float>")
     got = {r.i: r.v for r in rows.select("i", S.whole_numbers(F.col("e")).alias("v")).collect()}
     assert got == {1: [512, -1], 2: None, 3: None, 4: None, 5: None, 6: []}
+
+
+def test_repeated_ids_and_other_columns(spark):
+    v = spark.createDataFrame([(1, [1, 2]), (1, [9, 9]), (2, [3, 4]), (None, [5, 5]), (3, None)], "vec_id long, vector array<long>").selectExpr("*", "1 AS block")
+    q = spark.createDataFrame([(2, [1, 1]), (7, [1, 0]), (7, [2, 0]), (None, [1, 1])], "query_id long, query array<long>").selectExpr("*", "1 AS chunk")
+    got = {tuple(r) for r in S.search(S.build_index(v), q, 5).collect()}
+    assert got == {(2, 1, 1, 3), (7, 1, 2, 3), (7, 2, 1, 1)}

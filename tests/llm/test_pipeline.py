@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -70,3 +71,14 @@ def test_tokens(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert Counter((r.doc_id, r.n_tokens) for r in C.run(spark, FOLDER).collect()) == Counter((r.doc_id, r.n_tokens) for r in stages["bpe"].collect())
+
+
+def test_quality_rejects_what_is_bad(spark):
+    """On a folder with enough labels: held-out documents of label 0 go, those of label 1 stay."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = set(texts(C.quality(spark, docs, folder)))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(byte_cnn.held_out(F.col("doc_id"))).collect()
+    bad, good = [{r.doc_id for r in labels if r.quality == q} for q in (0, 1)]
+    assert len(kept) < docs.count() and len(bad) > 10
+    assert len(bad & kept) <= 0.1 * len(bad) and len(good & kept) >= 0.95 * len(good)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from assayloom.llm import token_rollup as R
+from small_tables import docs_of  # noqa: F401
 from assayloom.runtime import work_path
 
 EVENTS = "doc_id long, op string, source string, lang string, version string, tokens long, seq long"
@@ -65,3 +66,15 @@ def test_odd_events(spark):
     rollup.apply(2, spark.createDataFrame([], EVENTS))
     rollup.apply(3, spark.createDataFrame([(5, "delete", None, None, "v", None, 0)], EVENTS))
     assert totals(rollup) == {}
+
+
+def test_counted_rows_of_every_kind(spark, docs_of):
+    docs = docs_of([(0, None, "s"), (1, "", "s"), (2, "a b, c", None), (3, "w " * 200_000, "s"), (2, "a b, c d", None), (None, "lost", "s")], extra="version")
+    rollup = R.Rollup(spark, work_path(spark, "rollup-counted"))
+    assert rollup.apply(1, R.counted(docs, "insert", docs["text"]))
+    # of the rows of one doc_id the one with the largest count; rows without a doc_id do not count
+    assert totals(rollup) == {
+        ("s", "en", "words-1"): (3, 200_000), ("s", "en", "pieces-1"): (3, 200_000), (None, "en", "words-1"): (1, 4), (None, "en", "pieces-1"): (1, 5),
+    }
+    empty = R.Rollup(spark, work_path(spark, "rollup-none"))
+    assert empty.apply(1, R.counted(docs.where("false"), "insert", docs["text"])) and totals(empty) == {}
