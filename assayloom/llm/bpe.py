@@ -25,7 +25,7 @@ from assayloom.llm.registry import query
 from assayloom.llm.tables import documents, small_batches
 
 #: Bytes of words, and of runs between white space, whose ids a worker keeps, and pairs whose test it keeps.
-CACHED_BYTES = 48 << 20
+CACHED_BYTES = 64 << 20
 CACHED_PAIRS = 150_000
 #: Bytes of an entry besides its strings.
 _ENTRY = 200
@@ -90,7 +90,7 @@ class Codec:
         self.border = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern, regex.V0)
-        self.letters = byte_letters()
+        self.codes = [ord(letter) for letter in byte_letters()]
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
@@ -179,39 +179,51 @@ class Codec:
 
     def _learn(self, words: set[str]) -> None:
         """Stores the ids of words as little-endian 32-bit integers."""
-        letters, step, compatible, following = self.letters, self._step, self.compatible, self.next.get
-        tokens, lengths, link, fail = self.token, self.length, self.link, self.fail
-        spelled = sorted(("".join([letters[b] for b in w.encode("utf-8", "replace")]) + _END, w) for w in words)
-        last, back, states, before = [-1], [0], [0], ""
-        for spell, word in spelled:
-            n, shared = len(spell), 0
+        codes, compatible, known, following = self.codes, self.compatible, self.pairs.get, self.next.get
+        tokens, lengths, link, fail, end_code = self.token, self.length, self.link, self.fail, ord(_END)
+        last, back, states, before = [-1], [0], [0], b""
+        for spell, word in sorted([(w.encode("utf-8", "replace"), w) for w in words]):
+            shared = 0
             for x, y in zip(spell, before):
                 if x != y:
                     break
                 shared += 1
             del last[shared + 1:], back[shared + 1:], states[shared + 1:]
-            state = states[-1]
-            for at in range(shared + 1, n + 1):
-                letter = ord(spell[at - 1])
+            state, at = states[-1], shared
+            for letter in [*[codes[b] for b in spell[shared:]], end_code]:
+                at += 1
                 after = following(state << 21 | letter)
-                state = step(fail[state], letter) if after is None else after
+                while after is None and state:
+                    state = fail[state]
+                    after = following(state << 21 | letter)
+                state = after or 0
                 states.append(state)
                 end = state if tokens[state] >= 0 else link[state]
                 while end:
                     token, start = tokens[end], at - lengths[end]
-                    if start == 0 or (last[start] >= 0 and compatible(last[start], token)):
-                        last.append(token)
-                        back.append(start)
+                    if start:
+                        left = last[start]
+                        if left >= 0:
+                            free = known(left << 32 | token)
+                            if free is None:
+                                free = compatible(left, token)
+                            if free:
+                                break
+                        end = link[end]
+                    else:
                         break
-                    end = link[end]
+                if end:
+                    last.append(token)
+                    back.append(start)
                 else:
                     last.append(-1)
                     back.append(0)
-            ids, at = [], n
+            ids = []
             while at:
                 ids.append(last[at])
                 at = back[at]
-            self.words.learn(word, array("I", reversed(ids)).tobytes())
+            ids.reverse()
+            self.words.learn(word, array("I", ids).tobytes())
             before = spell
 
     def _pieces(self, run: str) -> list[str]:
