@@ -62,8 +62,7 @@ def _(v):
         F.count("*").alias("trials"), F.max("max_trees").alias("trees"), F.count_if("seen").alias("goes_on"),
         F.count_if(F.col("seen") != F.col("next")).alias("wrong"),
     )
-    size = rows.agg(F.count("*").alias("n_rows")).withColumn("_one", F.lit(1))
-    return per.withColumn("_one", F.lit(1)).join(size, "_one").drop("_one")
+    return per.withColumn("n_rows", F.lit(rows.count()).cast("long"))
 
 
 #: One split, on all rows and bits: what SQL can replay.

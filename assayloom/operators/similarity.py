@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from assayloom.functions.bits import popcount
 from assayloom.runtime import cut_lineage
@@ -58,7 +58,8 @@ def _classes(distinct: DataFrame, salt: str, rows: int, merge: bool, side: str)
     is nothing to skip.
     """
     cls, pieces = f"{side}_cls", f"{side}_pieces"
-    of = F.lit(0) if merge else F.floor(F.log(popcount(F.col("fp"))) / math.log(CLASS_BASE)).cast("int")
+    n_bits = popcount(F.col("fp"))
+    of = (F.pmod(n_bits, F.lit(1)) if merge else F.floor(F.log(n_bits) / math.log(CLASS_BASE))).cast("int")
     marked = distinct.withColumn(cls, of)
     sizes = cut_lineage(marked.groupBy(cls).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(pieces)))
     piece = F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(pieces)).cast("int")
@@ -68,13 +69,18 @@ def _classes(distinct: DataFrame, salt: str, rows: int, merge: bool, side: str)
 def _cells(q_sizes: DataFrame, r_sizes: DataFrame) -> DataFrame:
     """One row per pair of classes: q_cls, q_pieces, r_cls, r_pieces, most, near (the class nearest to the queries').
 
-    No similarity of the two classes can exceed `most`: fewest bits over most bits.
+    No similarity of the two classes can exceed `most`: fewest bits over most bits. A few dozen classes a side make the table.
     """
-    pairs = q_sizes.withColumn("_one", F.lit(1)).join(r_sizes.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    apart = F.abs(F.col("q_cls") - F.col("r_cls"))
-    most = F.when(apart == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.pow(F.lit(CLASS_BASE), 1 - apart) + F.lit(1e-9)))
-    order = Window.partitionBy("q_cls").orderBy(apart, "r_cls")
-    return cut_lineage(pairs.withColumn("most", most).withColumn("near", F.row_number().over(order) == 1))
+    refs = [(r["r_cls"], r["r_pieces"]) for r in r_sizes.collect()]
+    rows = []
+    for q in q_sizes.collect():
+        nearest = min(refs, key=lambda r: (abs(r[0] - q["q_cls"]), r[0]))[0]
+        for cls, pieces in refs:
+            apart = abs(cls - q["q_cls"])
+            most = 1.0 if not apart else min(1.0, CLASS_BASE ** (1 - apart) + 1e-9)
+            rows.append((q["q_cls"], q["q_pieces"], cls, pieces, most, cls == nearest))
+    kinds = "q_cls int, q_pieces int, r_cls int, r_pieces int, most double, near boolean"
+    return cut_lineage(q_sizes.sparkSession.createDataFrame(rows, kinds))
 
 
 _CELL = ["q_cls", "q_piece", "r_cls", "r_piece"]
