@@ -3,8 +3,9 @@
 Sets are put into bands of like sizes; a set takes part in its own band and the next, so any two sets that can be similar
 meet in one. In a band, similar sets differ in at most k shingles. The shingle domain is cut into first-level parts, each into
 second-level parts; a signature is one first-level part without one of its second-level parts. Since some first-level part
-holds at most one of the k differences, similar sets share a signature. Sharing one proves nothing: every link is checked
-on the whole sets. Shingles go by 64-bit hashes of their words, which have no algebra that texts could meet on.
+holds at most one of the k differences, similar sets share a signature. With spare parts they share several, and every set
+leaves out as many of its weakest, those of the fewest shingles. Sharing one proves nothing: every link is checked on the
+whole sets. Shingles go by 64-bit hashes of their words, which have no algebra that texts could meet on.
 
 Equal sets are folded first. Signatures travel as packed arrays, dealt by signature. A signature's sets are compared with
 the smallest of them; where a signature still holds more than one component, its sets are compared in blocks, pairs that
@@ -59,21 +60,25 @@ def _bands(like: Likeness, largest: int) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _layout(like: Likeness, band: int, last: int):
-    """(first-level parts, second-level parts, spare first-level parts, borders) of a band, or None if only equal sets link."""
+    """(first-level parts, second-level parts, signatures to leave out, borders, tags) of a band, or None if only equal sets link."""
     k = 2 * last * (like.over - like.under) // (like.over + like.under)
     if k == 0:
         return None
     n1, n2 = -(-(k + 1) // 2), 3 if k < 32 else 2
-    # with e spare parts at least e + 1 agree, so a set with at most e empty ones may leave those out
-    spare = 0 if n1 < 8 else 1 + n1 // 50
-    parts = (n1 + spare) * n2
+    n1 += (n1 + 2) // 10
+    parts = n1 * n2
     borders = np.array([(i << 64) // parts for i in range(1, parts)], dtype=_U)
     tags = mix(np.arange(parts, dtype=_U) + (_U(band) << _U(32)))
-    return n1 + spare, n2, spare, borders, tags
+    # k differences spoil at most parts - (2 * n1 - k) signatures, so similar sets share at least one more than are left out
+    return n1, n2, 2 * n1 - k - 1, borders, tags
 
 
 def signatures(shingles: np.ndarray, like: Likeness) -> np.ndarray:
-    """PartEnum signatures of one sorted set, for its own size band and the next."""
+    """PartEnum signatures of one sorted set, for its own size band and the next.
+
+    Similar sets share more signatures than are left out. Those of the fewest shingles are, since unlike sets meet there most;
+    the order goes by what a signature is made of, so the last of the shared ones in it is kept by both sets.
+    """
     size = len(shingles)
     if not size:
         return np.zeros(0, _U)
@@ -85,15 +90,14 @@ def signatures(shingles: np.ndarray, like: Likeness) -> np.ndarray:
         layout = _layout(like, band, int(lasts[band]))
         if layout is None:
             continue
-        n1, n2, spare, borders, tags = layout
+        n1, n2, left_out, borders, tags = layout
         at = np.concatenate([[0], np.searchsorted(shingles, borders), [size]])
         sums, held = np.diff(total[at]).reshape(n1, n2), np.diff(at).reshape(n1, n2)
         without = sums.sum(axis=1, keepdims=True) - sums
-        empty = (held.sum(axis=1, keepdims=True) - held) == 0
+        made_of = (held.sum(axis=1, keepdims=True) - held).ravel().astype(_U)
         found = mix(mix(without).ravel() + tags)
-        if empty.any(axis=1).sum() <= spare:
-            found = found[~empty.ravel()]
-        out.append(found)
+        order = np.argsort(made_of << _U(32) | found >> _U(32), kind="stable")
+        out.append(found[order[left_out:]])
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
