@@ -15,13 +15,18 @@ ALL_TABLES = (
 ).split()
 
 
+#: Lines that one task sorts and writes.
+LINES_PER_TASK = 500_000
+
+
 def write_line_files(v, label: str, line) -> str:
-    """One folder of .smi files per language, a header line in each, lines in doc_id order."""
+    """Folders of .smi files, one per language, a header line in each file, lines in doc_id order; the more rows the more files."""
     out = work_path(v.spark, label)
-    docs = v.table("documents").repartitionByRange(4, "doc_id").sortWithinPartitions("lang", "doc_id")
-    docs.select("lang", line.alias("header line")).write.partitionBy("lang").option("extension", "smi").csv(
-        out, header=True, sep="\u0001", quote="", escape=""
-    )
+    lines = v.table("documents").select("lang", "doc_id", line.alias("header line"))
+    parts = max(4, -(-lines.count() // LINES_PER_TASK))
+    lines.repartitionByRange(parts, "doc_id").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").option(
+        "extension", "smi"
+    ).csv(out, header=True, sep="\u0001", quote="", escape="")
     return out
 
 

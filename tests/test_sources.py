@@ -71,3 +71,20 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("Name\tLogP\nA b\t3.1\nC\tx\n")
     got = S.read_delimited(spark, str(tmp_path / "t.tsv"), "Name string, LogP double", sep="\t").collect()
     assert [tuple(r) for r in got] == [("A b", 3.1), ("C", None)]
+
+
+def test_more_lines_make_more_files_in_the_same_order(spark, folder, monkeypatch):
+    """All lines went through four tasks, however many there were."""
+    from assayloom.catalog import registry, sources
+
+    monkeypatch.setattr(sources, "LINES_PER_TASK", 20, raising=False)
+    views = registry.Views(spark, folder)
+    out = sources.write_line_files(views, "many-lines", F.concat(F.lit("c"), "doc_id", F.lit(" Z"), "doc_id"))
+    rows = S.read_lines(spark, out).select("raw", "file", "block", "pos").collect()
+    docs = views.table("documents").select("doc_id", "lang").collect()
+    assert sorted(r["raw"] for r in rows) == sorted(f"c{d['doc_id']}" for d in docs)
+    by_lang = {}
+    for r in sorted(rows, key=lambda r: (r["file"], r["block"], r["pos"])):
+        by_lang.setdefault(r["file"].split("lang=")[1].split("/")[0], []).append(int(r["raw"][1:]))
+    assert all(ids == sorted(ids) for ids in by_lang.values())
+    assert len({r["file"].rsplit("/", 1)[1] for r in rows}) == -(-len(docs) // 20)
