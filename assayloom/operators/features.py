@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayloom.functions.bits import pack_positions
@@ -13,24 +16,68 @@ NBITS = 4096
 GRAM = 4
 
 
+#: Characters and texts whose grams are taken together.
+_CHARS, _TEXTS = 1 << 20, 512
+
+
+def _gram_ids(points: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct gram, for every place the number of its gram), exact for all code points."""
+    n, width, held = len(points) - q + 1, np.uint64(int(points.max()).bit_length()), 0
+    keys = np.zeros(n, np.uint64)
+    for i in range(q):
+        if held + int(width) > 64:
+            keys, held = np.unique(keys, return_inverse=True)[1].astype(np.uint64), 32
+        keys, held = keys << width | points[i: n + i], held + int(width)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    ids = np.empty(n, np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return order[new], ids
+
+
+def _positions(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many positions each text has, all positions, ascending per text)."""
+    whole, sizes = "".join(texts), np.array([len(t) for t in texts])
+    if len(whole) < q:
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+    first, ids = _gram_ids(np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64), q)
+    digests = (md5(whole[a: a + q].encode(), usedforsecurity=False).digest() for a in first.tolist())
+    bit = np.fromiter((d[0] << 4 | d[1] >> 4 for d in digests), np.int32, len(first))
+    row, end = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    inside = np.flatnonzero(np.arange(len(ids)) + q <= end[: len(ids)])
+    seen = np.zeros((len(texts), NBITS), bool)
+    seen[row[inside], bit[ids[inside]]] = True
+    return seen.sum(axis=1), np.nonzero(seen)[1].astype(np.int32)
+
+
+def _gram_batch(texts: pa.Array, q: int) -> pa.Array:
+    """Positions of a batch, a few texts at a time: digests are taken once per distinct gram of them."""
+    held = [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
+    strings = [t.decode("utf-8", "replace") for t in held]
+    counts, found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    ends = np.cumsum([len(t) for t in strings])
+    while at < len(strings):
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHARS, "right"))
+        to = max(at + 1, min(fits, at + _TEXTS))
+        n, positions = _positions(strings[at:to], q)
+        counts.append(n)
+        found.append(positions)
+        at = to
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)), mask=texts.is_null())
+
+
 def gram_positions(text: Column, q: int = GRAM) -> Column:
-    """Distinct bit positions, in 0..4095, of the hashed q-grams of a whole text.
+    """Distinct bit positions, in 0..4095, of the hashed q-grams of a whole text; NULL of NULL.
 
-    The text is cut into characters once; taking a substring per position would rescan it from
-    the start each time, which is quadratic for long texts.
+    A column expression takes a digest and a few calls for every character; over an Arrow batch, grams are numbered by sorting
+    and each distinct one is digested once.
     """
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
-    def positions(cs: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(cs) - q)
-        grams = F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(cs, i + k) for k in range(q)])))
-        return F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 3), 16, 10).cast("int"))
-
-    # The one-element transform binds the character array, so that it is computed once per text.
-    bound = F.transform(F.array(chars), positions)[0]
-    return F.when(F.length(text) >= q, F.array_distinct(bound)).when(
-        text.isNotNull(), F.array().cast("array<int>")
-    )
+    def positions(texts: pa.Array) -> pa.Array:
+        return _gram_batch(texts, q)
+
+    return F.arrow_udf(positions, "array<int>")(text)
 
 
 def fingerprints(rows: DataFrame, text: str = "text", featuriser: Callable[[Column], Column] | None = None) -> DataFrame:
