@@ -179,3 +179,13 @@ def test_first_trees_equal_a_smaller_fit(spark, views, tmp_path):
     for model in (cut, again):
         got, want = ({r["id"]: r["predicted"] for r in m.transform(rows).select("id", "predicted").collect()} for m in (model, small))
         assert got == pytest.approx(want)
+
+
+def test_training_parts_grow_no_faster_than_the_rows_and_start_low(spark):
+    """Every thousand rows were a task of each of some 1,400 jobs, which all report to the driver."""
+    rows = spark.range(60_000).select("id", F.array("id").alias("fp"), F.lit(1.0).alias("score"))
+    assert M._training_rows(rows, NBITS).rdd.getNumPartitions() <= 32
+    parts = {n: M._training_parts(n, 64) for n in (0, 1, 1_000, 5_001, 10**5, 10**6, 10**7, 10**8)}
+    assert parts[0] == parts[1] == parts[1_000] == 1 and parts[5_001] == 6
+    assert parts[10**6] == 32 and parts[10**8] < 11 * parts[10**7] < 5_000
+    assert M._training_parts(10**6, 4096) > 700  # wide rows stay in small parts
