@@ -382,6 +382,18 @@ def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) ->
     return _by_cell(cells.join(binned, "id").select(*columns, "packed"), look, kinds)
 
 
+def _merged(cells: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of cells once each, dealt anew with buckets that share rows as one: like rows meet in many buckets.
+
+    Rows of one bucket stay together, so no pair is lost, and a whole set travels once for each pair of blocks of its group.
+    """
+    first = cells.groupBy("bucket").agg(F.min("id").alias("u"))
+    ties = put(cells.join(first, "bucket").where("u != id").select("u", F.col("id").alias("v")).distinct(), "ties")
+    groups = put(components(ties), "groups")
+    sizes = groups.groupBy("component").agg(F.greatest(F.count("*"), F.lit(3)).alias("held"))
+    return _cells(groups.join(sizes, "component").select(F.col("component").alias("bucket"), "id", "held"), comps)
+
+
 def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links between components, cell by cell; a pair already joined within its cell is passed over."""
 
@@ -460,7 +472,8 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     mixed = put(_candidates_in_cells(_cells(buckets, comps), put(_few_bins(binned), "few-bins"), like), "mixed")
     cells = put(_candidates_in_cells(mixed, binned, like), "cells")
     if not cells.isEmpty():
-        rest = put(_links_in_cells(cells, _sets_of(usable, cells, like, _whole), like), "rest")
+        sets = _sets_of(usable, cells, like, _whole)
+        rest = put(_links_in_cells(put(_merged(cells, comps), "merged"), sets, like), "rest")
         comps = put(components(links.union(rest)), "components")
     equal = copies.select(F.col("id").alias("u"), F.col("first").alias("v"))
     return _reported(keys, comps, equal)
