@@ -9,8 +9,9 @@ whole sets. Shingles go by 64-bit hashes of their words, which have no algebra t
 
 Equal sets are folded first. Signatures travel as packed arrays, dealt by signature. A signature's sets are compared with
 the smallest of them; where a signature still holds more than one component, its sets are compared in blocks, pairs that
-already are in one component excepted. So no link between components is missed and no group emits all its pairs. Before
-whole sets travel, counts of their shingles in a few bins bound the difference from below and rule out most pairs safely.
+already are in one component excepted. So no link between components is missed and no group emits all its pairs. Like sets
+meet in many signatures, so signatures of one smallest set are compared as one where that makes fewer pairs. Before whole
+sets travel, counts of their shingles in a few bins bound the difference from below and rule out most pairs safely.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.llm.components import components
 from assayloom.llm.registry import query
@@ -32,11 +33,15 @@ _U = np.uint64
 SIGNATURES_PER_TASK = 500_000
 #: Signatures a task gathers before it hands them on, packed.
 SIGNATURES_PER_PACK = 300_000
-#: Sets of one block of a large signature.
+#: Sets of one block of a large signature, until there are MOST_BLOCKS; then the blocks grow, as each row goes to every block.
 BLOCK = 256
+MOST_BLOCKS = 32
+#: Whole sets get more blocks than that only if a block would hold more bytes.
+BLOCK_BYTES = 16 << 20
 _ROWS = 512
-#: Bins of pairs that are compared at once.
+#: Bins of pairs that are compared at once, and rows of a cell whose pairs are listed at once.
 _COMPARED = 1 << 20
+_TILE = 512
 
 
 @dataclass(frozen=True)
@@ -303,13 +308,33 @@ def _checked(pairs: DataFrame, packed: DataFrame, like: Likeness, test) -> DataF
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _cells(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (bucket, id, component, own, i, j) of the buckets that hold several components, dealt to pairs of blocks."""
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (bucket, id, component, low, held) of the buckets that hold several components."""
     known = buckets.where("held > 2").join(comps.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left").select(
-        "bucket", "id", "held", F.coalesce("component", "id").alias("component"),
+        "bucket", "id", F.coalesce("component", "id").alias("component"), "low", "held",
     )
     open_ = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    rows = known.join(open_, "bucket", "left_semi").withColumn("blocks", (F.col("held") / BLOCK).cast("int") + 1)
+    return known.join(open_, "bucket", "left_semi")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, id, component, held) of buckets, those of one smallest id as one bucket where that makes fewer pairs.
+
+    Rows of one bucket stay together, so no pair is lost, and neither rows nor pairs grow in number.
+    """
+    rows = put(rows, "open")
+    apart = rows.where("id = low").groupBy("low").agg(F.sum(F.col("held").cast("double") * F.col("held")).alias("apart"))
+    whole = rows.select("low", "id").distinct().groupBy("low").agg(F.count("*").alias("whole"))
+    alike = whole.join(apart, "low").where("whole * cast(whole as double) <= apart").select("low", "whole")
+    placed = rows.join(put(alike, "alike"), "low", "left")
+    bucket = F.when(F.col("whole").isNull(), F.col("bucket")).otherwise(F.xxhash64("low"))
+    return placed.select(bucket.alias("bucket"), "id", "component", F.coalesce("whole", "held").alias("held")).distinct()
+
+
+def _cells(rows: DataFrame, most: int | Column) -> DataFrame:
+    """Rows (bucket, id, component, own, i, j) dealt to pairs of blocks, at most so many blocks a bucket."""
+    blocks = F.least((F.col("held") / BLOCK).cast("int") + 1, F.lit(most) if isinstance(most, int) else most)
+    rows = rows.withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     return (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -322,9 +347,12 @@ def _by_cell(rows: DataFrame, look, kinds: str) -> DataFrame:
     key = ["bucket", "i", "j"]
 
     def run(batches):
-        open_ = None
+        open_ = []
         for b in batches:
-            table = pa.Table.from_batches([*(open_ or []), b]).combine_chunks()
+            if open_ and all(b.column(c)[-1] == open_[0].column(c)[0] for c in key):
+                open_.append(b)  # sorted, so all of it goes on with the open cell
+                continue
+            table = pa.Table.from_batches([*open_, b]).combine_chunks()
             values = [table.column(c).to_numpy() for c in key]
             new = np.zeros(table.num_rows, bool)
             for v in values:
@@ -334,8 +362,7 @@ def _by_cell(rows: DataFrame, look, kinds: str) -> DataFrame:
                 yield from look(table.slice(0, heads[-1]), heads[:-1])
             open_ = table.slice(heads[-1]).to_batches()
         if open_:
-            table = pa.Table.from_batches(open_)
-            yield from look(table, np.zeros(1, np.int64))
+            yield from look(pa.Table.from_batches(open_).combine_chunks(), np.zeros(1, np.int64))
 
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, kinds)
 
@@ -344,26 +371,33 @@ def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) ->
     """The rows of cells that may link with a row of another component in their cell."""
 
     def hits(sizes: np.ndarray, packed: list[bytes], comp: np.ndarray, block: np.ndarray, apart: bool) -> np.ndarray:
-        other = np.triu(comp[:, None] != comp[None, :], 1)
-        if apart:
-            other &= block[:, None] != block[None, :]
-        # sizes alone rule out most of a mixed cell, then a few coarse bins, then all bins
-        other &= like.over * np.minimum.outer(sizes, sizes) >= like.under * np.maximum.outer(sizes, sizes)
-        hit = np.zeros(len(sizes), bool)
-        x, y = np.nonzero(other)
-        if not len(x):
-            return hit
-        parts = [_bins(p)[1] for p in packed]
-        width = min(len(b) for b in parts)
-        bins = np.stack([_coarse(b, width) for b in parts])
-        for layer in (bins.reshape(len(bins), 64, -1).sum(axis=2, dtype=np.int32), bins)[: 1 + (width > 64)]:
-            keep, step = np.zeros(len(x), bool), max(1, _COMPARED // layer.shape[1])
-            for at in range(0, len(x), step):
-                i, j = x[at: at + step], y[at: at + step]
-                least = np.abs(layer[i] - layer[j]).sum(axis=1)
-                keep[at: at + step] = (like.over - like.under) * (sizes[i] + sizes[j]) >= (like.over + like.under) * least
-            x, y = x[keep], y[keep]
-        hit[x], hit[y] = True, True
+        hit, width = np.zeros(len(sizes), bool), min(len(p) for p in packed) - 8
+        tiles = [np.arange(at, min(at + _TILE, len(sizes))) for at in range(0, len(sizes), _TILE)]
+        for t, a in enumerate(tiles):
+            for b in tiles[t:]:
+                other = comp[a][:, None] != comp[b][None, :]
+                if a is b:
+                    other = np.triu(other, 1)
+                if apart:
+                    other &= block[a][:, None] != block[b][None, :]
+                # sizes alone rule out most of a mixed cell, then a few coarse bins, then all bins
+                other &= like.over * np.minimum.outer(sizes[a], sizes[b]) >= like.under * np.maximum.outer(sizes[a], sizes[b])
+                x, y = np.nonzero(other)
+                if not len(x):
+                    continue
+                x, y = x + a[0], y + b[0]
+                some, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+                bins = np.stack([_coarse(_bins(packed[r])[1], width) for r in some])
+                x, y = where[: len(x)], where[len(x):]
+                for layer in (bins.reshape(len(bins), 64, -1).sum(axis=2, dtype=np.int32), bins)[: 1 + (width > 64)]:
+                    keep, step = np.zeros(len(x), bool), max(1, _COMPARED // layer.shape[1])
+                    for at in range(0, len(x), step):
+                        i, j = x[at: at + step], y[at: at + step]
+                        least = np.abs(layer[i] - layer[j]).sum(axis=1)
+                        n = sizes[some[i]] + sizes[some[j]]
+                        keep[at: at + step] = (like.over - like.under) * n >= (like.over + like.under) * least
+                    x, y = x[keep], y[keep]
+                hit[some[x]], hit[some[y]] = True, True
         return hit
 
     def look(table: pa.Table, heads: np.ndarray):
@@ -382,16 +416,15 @@ def _candidates_in_cells(cells: DataFrame, binned: DataFrame, like: Likeness) ->
     return _by_cell(cells.join(binned, "id").select(*columns, "packed"), look, kinds)
 
 
-def _merged(cells: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of cells once each, dealt anew with buckets that share rows as one: like rows meet in many buckets.
-
-    Rows of one bucket stay together, so no pair is lost, and a whole set travels once for each pair of blocks of its group.
-    """
-    first = cells.groupBy("bucket").agg(F.min("id").alias("u"))
-    ties = put(cells.join(first, "bucket").where("u != id").select("u", F.col("id").alias("v")).distinct(), "ties")
-    groups = put(components(ties), "groups")
-    sizes = groups.groupBy("component").agg(F.greatest(F.count("*"), F.lit(3)).alias("held"))
-    return _cells(groups.join(sizes, "component").select(F.col("component").alias("bucket"), "id", "held"), comps)
+def _dealt_anew(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of cells once a bucket, gathered and dealt anew: few are left, and a whole set travels once for each block."""
+    rows = put(cells.select("bucket", "id", "component").distinct(), "left")
+    sizes = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("held"))
+    groups = put(_gathered(rows.join(sizes, "bucket")), "groups")
+    lengths = sets.select("id", F.octet_length("packed").alias("bytes"))
+    weights = groups.join(lengths, "id").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    most = F.greatest(F.lit(MOST_BLOCKS), (F.col("bytes") / BLOCK_BYTES).cast("int") + 1)
+    return _cells(groups.join(weights, "bucket"), most)
 
 
 def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -469,11 +502,12 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     ends = near.select(F.col("u").alias("id")).union(near.select("v"))
     links = put(_checked(near, _sets_of(usable, ends, like, _whole), like, _set_link), "links")
     comps = put(components(links), "components")
-    mixed = put(_candidates_in_cells(_cells(buckets, comps), put(_few_bins(binned), "few-bins"), like), "mixed")
+    groups = _cells(_gathered(_open(buckets, comps)), MOST_BLOCKS)
+    mixed = put(_candidates_in_cells(groups, put(_few_bins(binned), "few-bins"), like), "mixed")
     cells = put(_candidates_in_cells(mixed, binned, like), "cells")
     if not cells.isEmpty():
         sets = _sets_of(usable, cells, like, _whole)
-        rest = put(_links_in_cells(put(_merged(cells, comps), "merged"), sets, like), "rest")
+        rest = put(_links_in_cells(put(_dealt_anew(cells, sets), "dealt"), sets, like), "rest")
         comps = put(components(links.union(rest)), "components")
     equal = copies.select(F.col("id").alias("u"), F.col("first").alias("v"))
     return _reported(keys, comps, equal)

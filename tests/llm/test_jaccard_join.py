@@ -177,3 +177,57 @@ def test_unlike_sets_with_common_lines_seldom_share_signatures():
     sets = [np.unique(np.concatenate([rng.choice(common, 120, replace=False), draw(480)])) for _ in range(200)]
     _, held = np.unique(np.concatenate([J.signatures(s, like) for s in sets]), return_counts=True)
     assert held[held > 1].sum() < 3000
+
+
+def test_rows_grow_with_a_group_and_not_with_its_square(docs_of, monkeypatch):
+    """Texts just below the threshold, all with one base: no two link, so every signature stays open."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "MOST_BLOCKS", 3, raising=False)
+    written, put = {}, J.put
+
+    def counted(df, label):
+        table = put(df, label)
+        written[label] = written.get(label, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(J, "put", counted)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for m in (40, 120):
+        written.clear()
+        texts = [" ".join(base + [f"own{i}x{j}" for j in range(9)]) for i in range(m)]
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.similar_groups(docs_of(texts), 4, 85, 100).collect()}
+        assert got == {(i, 106, i) for i in range(m)}
+        rows.append(dict(written))
+    few, many = rows
+    assert many["mixed"] > many["few-bins"] and all(many[k] <= 3.9 * n + 40 for k, n in few.items())
+
+
+@pytest.mark.parametrize("block, most, size", [(3, 2, 1), (2, 32, 10**9), (256, 32, 16 << 20)])
+def test_buckets_are_dealt_without_loss(docs_of, monkeypatch, block, most, size):
+    """However blocks are cut and tiles laid, the groups are those of brute force."""
+    for name, value in (("BLOCK", block), ("MOST_BLOCKS", most), ("BLOCK_BYTES", size), ("_TILE", 5)):
+        monkeypatch.setattr(J, name, value)
+    rnd, texts = random.Random(block), []
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(90)]
+        for i in range(25):
+            own = words[:]
+            for at in rnd.sample(range(90), rnd.choice([1, 1, 2, 3])):
+                own[at] = f"b{base}o{rnd.randrange(6)}"
+            texts.append(" ".join(own + [f"b{base}e{rnd.randrange(4)}"] * (i % 3)))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.similar_groups(docs_of(texts), 4, 85, 100).collect()}
+    assert got == brute(texts, 4, 85, 100)
+
+
+def test_alike_buckets_become_one_and_others_stay(spark):
+    """Each bucket's rows stay together, and neither rows nor pairs grow."""
+    held = {1: range(0, 30), 2: range(0, 31), 3: [0, 40, 41, 42], 4: [50, 60, 61, 62], 5: [50, 70, 71, 72], 6: [50, 80, 81, 82]}
+    rows = [(b, i, i, min(ids), len(ids)) for b, ids in held.items() for i in ids]
+    got = J._gathered(spark.createDataFrame(rows, "bucket long, id long, component long, low long, held long")).collect()
+    sets, says = {}, {}
+    for r in got:
+        sets.setdefault(r.bucket, set()).add(r.id)
+        says[r.bucket] = r.held
+    assert says == {b: len(s) for b, s in sets.items()} and len(got) == sum(says.values()) == 34 + 12
+    assert all(any(set(ids) <= s for s in sets.values()) for ids in held.values())
+    assert {b for b in sets if b in held} == {4, 5, 6}
