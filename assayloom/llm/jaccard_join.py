@@ -10,8 +10,9 @@ whole sets. Shingles go by 64-bit hashes of their words, which have no algebra t
 Equal sets are folded first. Signatures travel as packed arrays, dealt by signature. A signature's sets are compared with
 the smallest of them; where a signature still holds more than one component, its sets are compared in blocks, pairs that
 already are in one component excepted. So no link between components is missed and no group emits all its pairs. Like sets
-meet in many signatures, so signatures of one smallest set are compared as one where that makes fewer pairs. Before whole
-sets travel, counts of their shingles in a few bins bound the difference from below and rule out most pairs safely.
+meet in many signatures, so signatures of one smallest set, and those whose smallest sets meet each other, are compared as one
+where that makes fewer pairs. Before whole sets travel, counts of their shingles in a few bins bound the difference from below
+and rule out most pairs safely.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayloom.llm.components import components
 from assayloom.llm.registry import query
@@ -34,14 +35,15 @@ SIGNATURES_PER_TASK = 500_000
 #: Signatures a task gathers before it hands them on, packed.
 SIGNATURES_PER_PACK = 300_000
 #: Sets of one block of a large signature, until there are MOST_BLOCKS; then the blocks grow, as each row goes to every block.
-BLOCK = 256
-MOST_BLOCKS = 32
-#: Whole sets get more blocks than that only if a block would hold more bytes.
+BLOCK = 1024
+MOST_BLOCKS = 8
+#: There are more blocks than that only if one would hold more bytes of packed sets.
 BLOCK_BYTES = 16 << 20
 _ROWS = 512
-#: Bins of pairs that are compared at once, and rows of a cell whose pairs are listed at once.
+#: Bins of pairs that are compared at once, rows of a cell whose pairs are listed at once, and shingles counted at once.
 _COMPARED = 1 << 20
 _TILE = 512
+_COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -318,23 +320,42 @@ def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, id, component, held) of buckets, those of one smallest id as one bucket where that makes fewer pairs.
+    """Rows (bucket, id, component, low, held) of buckets, some as one bucket where that makes fewer pairs.
 
-    Rows of one bucket stay together, so no pair is lost, and neither rows nor pairs grow in number.
+    First those of one smallest id are put together, then those whose smallest ids lie in buckets of one smallest id. Rows of
+    one bucket stay together, so no pair is lost, and neither rows nor pairs grow in number.
     """
-    rows = put(rows, "open")
-    apart = rows.where("id = low").groupBy("low").agg(F.sum(F.col("held").cast("double") * F.col("held")).alias("apart"))
-    whole = rows.select("low", "id").distinct().groupBy("low").agg(F.count("*").alias("whole"))
-    alike = whole.join(apart, "low").where("whole * cast(whole as double) <= apart").select("low", "whole")
-    placed = rows.join(put(alike, "alike"), "low", "left")
-    bucket = F.when(F.col("whole").isNull(), F.col("bucket")).otherwise(F.xxhash64("low"))
-    return placed.select(bucket.alias("bucket"), "id", "component", F.coalesce("whole", "held").alias("held")).distinct()
-
-
-def _cells(rows: DataFrame, most: int | Column) -> DataFrame:
-    """Rows (bucket, id, component, own, i, j) dealt to pairs of blocks, at most so many blocks a bucket."""
-    blocks = F.least((F.col("held") / BLOCK).cast("int") + 1, F.lit(most) if isinstance(most, int) else most)
-    rows = rows.withColumn("blocks", blocks)
+    rows = put(_as_one(put(rows, "open").withColumn("lead", F.col("low"))), "open")
+    leads = rows.groupBy(F.col("id").alias("low")).agg(F.min("low").alias("lead"))
+    return _as_one(put(rows.join(leads, "low"), "led"))
+
+
+def _as_one(rows: DataFrame) -> DataFrame:
+    """Rows with the buckets of one lead as one bucket where that makes fewer pairs."""
+    apart = rows.where("id = low").select("lead", "bucket", "held").distinct().groupBy("lead").agg(
+        F.sum(F.col("held").cast("double") * F.col("held")).alias("apart"),
+        F.count("*").alias("buckets"), F.xxhash64(F.min("bucket")).alias("name"),
+    )
+    whole = rows.select("lead", "id").distinct().groupBy("lead").agg(F.count("*").alias("whole"), F.min("id").alias("first"))
+    alike = whole.join(apart, "lead").where("buckets > 1 and whole * cast(whole as double) <= apart").select("lead", "whole", "first", "name")
+    placed = rows.join(put(alike, "alike"), "lead", "left")
+    return placed.select(
+        F.coalesce("name", "bucket").alias("bucket"), "id", "component",
+        F.coalesce("first", "low").alias("low"), F.coalesce("whole", "held").alias("held"),
+    ).distinct()
+
+
+def _cells(rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """Rows (bucket, id, component, own, i, j) dealt to pairs of blocks: few blocks a bucket, however many rows it holds.
+
+    Only where a block would hold too many bytes of the packed sets there are more.
+    """
+    groups = put(rows, "groups")
+    lengths = packed.select("id", F.octet_length("packed").alias("bytes"))
+    weights = groups.join(lengths, "id").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    few = F.least((F.col("held") / BLOCK).cast("int") + 1, F.lit(MOST_BLOCKS))
+    light = F.least((F.col("bytes") / BLOCK_BYTES).cast("long") + 1, "held")
+    rows = groups.join(weights, "bucket").withColumn("blocks", F.greatest(few, light.cast("int")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     return (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -420,37 +441,67 @@ def _dealt_anew(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows of cells once a bucket, gathered and dealt anew: few are left, and a whole set travels once for each block."""
     rows = put(cells.select("bucket", "id", "component").distinct(), "left")
     sizes = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("held"))
-    groups = put(_gathered(rows.join(sizes, "bucket")), "groups")
-    lengths = sets.select("id", F.octet_length("packed").alias("bytes"))
-    weights = groups.join(lengths, "id").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
-    most = F.greatest(F.lit(MOST_BLOCKS), (F.col("bytes") / BLOCK_BYTES).cast("int") + 1)
-    return _cells(groups.join(weights, "bucket"), most)
+    return _cells(_gathered(rows.join(sizes, "bucket")), sets)
 
 
-def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Links between components, cell by cell; a pair already joined within its cell is passed over."""
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of all sets of x with all of y, by matrix products over the shingles of several sets.
+
+    Where y is x, a set's number with itself is not its size.
+    """
+    sets = x if y is x else [*x, *y]
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = held > 1
+    kept = several[column]
+    row, column = row[kept], (np.cumsum(several) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, int(several.sum()), _COLUMNS):
+        a, z = np.searchsorted(column, [at, at + _COLUMNS])
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[row[a:z], column[a:z] - at] = 1
+        out += (has[: len(x)] @ (has if y is x else has[len(x):]).T).astype(np.int64)
+    return out
 
-    def links(ids: list, comp: list, blocks: list, whole: list, apart: bool) -> list[tuple]:
-        root, out = {c: c for c in comp}, []
 
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
+def _links_in_cells(cells: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Links between components, cell by cell; a pair already joined within its cell is passed over."""
 
-        for x in range(len(ids)):
-            for y in range(x):
-                if not (apart and blocks[x] == blocks[y]) and find(comp[x]) != find(comp[y]) and _linked(whole[x], whole[y], like):
-                    root[find(comp[x])] = find(comp[y])
-                    out.append((ids[x], ids[y]))
+    def links(ids: list, comp: np.ndarray, block: np.ndarray, whole: list, apart: bool) -> list[tuple]:
+        out, sizes = [], np.array([len(w) for w in whole])
+        comp = np.unique(comp, return_inverse=True)[1]
+        tiles = [np.arange(at, min(at + _TILE, len(ids))) for at in range(0, len(ids), _TILE)]
+        for t, a in enumerate(tiles):
+            for b in tiles[t:]:
+                other = comp[a][:, None] != comp[b][None, :]
+                if apart:
+                    other &= block[a][:, None] != block[b][None, :]
+                other &= like.over * np.minimum.outer(sizes[a], sizes[b]) >= like.under * np.maximum.outer(sizes[a], sizes[b])
+                if not other.any():
+                    continue
+                x, y = a[other.any(axis=1)], b[other.any(axis=0)]
+                some = [whole[r] for r in x]
+                common = _common(some, some if a is b else [whole[r] for r in y])
+                alike = like.over * common >= like.under * (np.add.outer(sizes[x], sizes[y]) - common)
+                alike &= other[np.ix_(x - a[0], y - b[0])]
+                for r, linked in zip(x, alike):
+                    linked &= comp[y] != comp[r]
+                    while linked.any():
+                        s = y[linked.argmax()]
+                        out.append((ids[r], ids[s]))
+                        comp[comp == comp[s]] = comp[r]
+                        linked &= comp[y] != comp[r]
         return out
 
     def look(table: pa.Table, heads: np.ndarray):
-        ids, comp, blocks, i, j, packed = [table.column(c).to_pylist() for c in ("id", "component", "own", "i", "j", "packed")]
+        ids, i, j, packed = [table.column(c).to_pylist() for c in ("id", "i", "j", "packed")]
+        comp, block = table.column("component").to_numpy(), table.column("own").to_numpy()
         whole, out = [np.frombuffer(p, _U) for p in packed], []
         for a, z in zip(heads.tolist(), [*heads.tolist()[1:], len(ids)]):
-            out += links(ids[a:z], comp[a:z], blocks[a:z], whole[a:z], i[a] != j[a])
+            if z - a > 1:
+                out += links(ids[a:z], comp[a:z], block[a:z], whole[a:z], i[a] != j[a])
         u, v = zip(*out) if out else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -502,7 +553,7 @@ def similar_groups(docs: DataFrame, n: int = 5, under: int = 80, over: int = 100
     ends = near.select(F.col("u").alias("id")).union(near.select("v"))
     links = put(_checked(near, _sets_of(usable, ends, like, _whole), like, _set_link), "links")
     comps = put(components(links), "components")
-    groups = _cells(_gathered(_open(buckets, comps)), MOST_BLOCKS)
+    groups = _cells(_gathered(_open(buckets, comps)), binned)
     mixed = put(_candidates_in_cells(groups, put(_few_bins(binned), "few-bins"), like), "mixed")
     cells = put(_candidates_in_cells(mixed, binned, like), "cells")
     if not cells.isEmpty():

@@ -231,3 +231,58 @@ def test_alike_buckets_become_one_and_others_stay(spark):
     assert says == {b: len(s) for b, s in sets.items()} and len(got) == sum(says.values()) == 34 + 12
     assert all(any(set(ids) <= s for s in sets.values()) for ids in held.values())
     assert {b for b in sets if b in held} == {4, 5, 6}
+
+
+def test_buckets_whose_smallest_ids_meet_become_one(spark):
+    """Like sets without their smallest ones: the buckets nest, and their rows are dealt once."""
+    held = {1: range(0, 30), 2: range(1, 31), 3: range(2, 32), 4: [0, 90, 91], 5: [90, 91, 92, 93], 6: [92, 94, 95, 96]}
+    rows = [(b, i, i, min(ids), len(ids)) for b, ids in held.items() for i in ids]
+    got = J._gathered(spark.createDataFrame(rows, "bucket long, id long, component long, low long, held long")).collect()
+    sets, says = {}, {}
+    for r in got:
+        sets.setdefault(r.bucket, set()).add(r.id)
+        says.setdefault(r.bucket, set()).add(r.held)
+    assert says == {b: {len(s)} for b, s in sets.items()} and len(got) == sum(map(len, sets.values()))
+    assert all(any(set(ids) <= s for s in sets.values()) for ids in held.values())
+    assert sorted(map(len, sets.values())) == [4, 36]
+
+
+def test_rows_of_cells_grow_no_faster_than_a_group(docs_of, monkeypatch):
+    """Sizes at which blocks of 256 rows made 16 times the rows out of 4 times the texts; none of the texts link."""
+    written, put = {}, J.put
+
+    def counted(df, label):
+        table = put(df, label)
+        written[label] = table.count()
+        return table
+
+    monkeypatch.setattr(J, "put", counted)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for m in (250, 1000):
+        texts = [" ".join(base + [f"own{i}x{j}" for j in range(9)]) for i in range(m)]
+        assert J.similar_groups(docs_of(texts), 4, 85, 100).where("doc_id != component_id").count() == 0
+        rows.append(written["mixed"])
+    assert 250 <= rows[0] and rows[1] <= 4 * rows[0]
+
+
+def test_blocks_are_few_however_large_a_bucket_but_for_bytes(spark):
+    def cells(m, size):
+        rows = spark.range(m).selectExpr("7L AS bucket", "id", "id AS component", "0L AS low", f"{m}L AS held")
+        sets = spark.range(m).selectExpr("id", f"cast(repeat('x', {size}) AS binary) AS packed")
+        return J._cells(rows, sets)
+
+    for m in (900, 9_000, 90_000):
+        assert cells(m, 8).count() <= 8 * m
+    heavy = cells(40, 2 << 20)  # 80 MB in blocks of 16 MB
+    assert heavy.count() == 6 * 40 and heavy.groupBy("i", "j").count().agg({"count": "max"}).first()[0] < 40
+
+
+def test_common_shingles_by_products_of_columns(monkeypatch):
+    monkeypatch.setattr(J, "_COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    x, y = ([np.unique(rng.integers(0, 90, rng.integers(1, 40))).astype(np.uint64) for _ in range(n)] for n in (9, 5))
+    for a, b in ((x, y), (x, x), (x[:1], y[:1]), ([x[0] + np.uint64(1000)], y)):
+        got, want = J._common(a, b), np.array([[len(np.intersect1d(s, t)) for t in b] for s in a])
+        if a is b:  # a set has nothing to say about itself
+            np.fill_diagonal(got, 0), np.fill_diagonal(want, 0)
+        assert got.tolist() == want.tolist()
