@@ -355,7 +355,8 @@ def _cells(rows: DataFrame, packed: DataFrame) -> DataFrame:
     weights = groups.join(lengths, "id").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
     few = F.least((F.col("held") / BLOCK).cast("int") + 1, F.lit(MOST_BLOCKS))
     light = F.least((F.col("bytes") / BLOCK_BYTES).cast("long") + 1, "held")
-    rows = groups.join(weights, "bucket").withColumn("blocks", F.greatest(few, light.cast("int")))
+    weighed = groups.join(narrow_side(put(weights, "weights")), "bucket")
+    rows = weighed.withColumn("blocks", F.greatest(few, light.cast("int")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     return (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
